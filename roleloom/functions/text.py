@@ -165,8 +165,9 @@ def bigrams(c: Column) -> Column:
 
 def numbered_bigrams(c: Column) -> Column:
     """Bigrams with their occurrence number, so a multiset overlap becomes a plain set intersection."""
-    return let(bigrams(sub(c, r"\s+", " ")), lambda g: F.transform(
-        g, lambda x, i: F.concat(x, F.size(F.filter(F.slice(g, F.lit(1), i + 1), lambda y: y == x)).cast("string"))))
+    return let(bigrams(sub(c, r"\s+", " ")), lambda g: F.transform(g, lambda x, i: (
+        F.when(F.array_position(g, x) == i + 1, F.concat(x, F.lit("1")))
+        .otherwise(F.concat(x, F.size(F.filter(F.slice(g, F.lit(1), i + 1), lambda y: y == x)).cast("string"))))))
 
 
 def tokens(c: Column) -> Column:
