@@ -14,6 +14,53 @@ _END = r"(?![A-Za-z0-9_])"
 _EITHER = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
+def _branches(body: str) -> list[str]:
+    """Alternatives of a group body, split at its own level only."""
+    parts, depth, cur, i = [], 0, "", 0
+    while i < len(body):
+        if body[i] == "\\":
+            cur += body[i:i + 2]
+            i += 2
+            continue
+        depth += (body[i] == "(") - (body[i] == ")")
+        if body[i] == "|" and depth == 0:
+            parts.append(cur)
+            cur = ""
+        else:
+            cur += body[i]
+        i += 1
+    return parts + [cur]
+
+
+def _closing(pattern: str, start: int) -> int:
+    depth, i = 0, start
+    while True:
+        if pattern[i] == "\\":
+            i += 2
+            continue
+        depth += (pattern[i] == "(") - (pattern[i] == ")")
+        if depth == 0:
+            return i
+        i += 1
+
+
+def _boundary(pattern: str, i: int) -> str:
+    """A one-sided look-around where the neighbour is always a word character, the full boundary otherwise."""
+    rest, before = pattern[i + 2:], pattern[:i]
+    if rest.startswith("("):
+        body = rest[1:_closing(rest, 0)].removeprefix("?:")
+        return _START if all(b[:1].isalnum() or b[:2] in (r"\d", r"\w") for b in _branches(body)) else _EITHER
+    if rest[:2] in (r"\d", r"\w") or rest[:1].isalnum():
+        return _START
+    if rest[:1] == "\\":
+        return _EITHER
+    if before.endswith(")") and not before.endswith(r"\)"):
+        start = next(k for k in range(len(before)) if before[k] == "(" and before[k - 1:k] != "\\" and _closing(before, k) == len(before) - 1)
+        if any(b.endswith(r"\)") for b in _branches(before[start + 1:-1])):
+            return _EITHER
+    return _END
+
+
 def spell(pattern: str, engine: str = "java") -> str:
     out, i, in_class = [], 0, False
     while i < len(pattern):
@@ -22,14 +69,7 @@ def spell(pattern: str, engine: str = "java") -> str:
             out.append(_SPACE if in_class else f"[{_SPACE}]")
             i += 2
         elif two == r"\b" and not in_class and engine == "java":
-            nxt = pattern[i + 2:i + 3]
-            after = pattern[i + 2:i + 4]
-            if after in (r"\d", r"\w") or nxt == "(" or nxt.isalnum():
-                out.append(_START)
-            elif nxt == "\\":
-                out.append(_EITHER)
-            else:
-                out.append(_END)
+            out.append(_boundary(pattern, i))
             i += 2
         elif ch == "\\":
             out.append(two)

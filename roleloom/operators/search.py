@@ -226,7 +226,9 @@ def home_stats(jobs: DataFrame, sources: DataFrame, now) -> DataFrame:
         F.count_if(c("status") == "CLOSING_SOON").alias("closing"))
     with_any = visible.select("org_id").unionByName(sources.where(c("org_id").isNotNull()).select("org_id"))
     orgs = with_any.agg(F.count_distinct("org_id").alias("orgs"))
-    return counts.join(orgs, F.lit(True))  # one row each
+    zero = F.lit(0).cast("bigint")
+    both = counts.withColumn("orgs", zero).unionByName(orgs.select(*[zero.alias(n) for n in ("open_jobs", "today", "closing")], "orgs"))
+    return both.agg(*[F.sum(n).alias(n) for n in ("open_jobs", "today", "closing", "orgs")])
 
 
 def count_by_category(jobs: DataFrame) -> DataFrame:

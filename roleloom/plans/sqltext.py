@@ -25,7 +25,10 @@ def strip(e: str) -> str:
 
 def has(e: str, pattern: str) -> str:
     """Rules with look-ahead or look-behind get an RE2 spelling that decides the same."""
-    pattern = pattern.replace(r"\bcomputer science\b(?! (and|&) engineering)", r"\bcomputer science( (and|&)? ?([^ea& ]|e[^n]|a[^n]|an[^d]|$)| [^a& ]|[^ a-z0-9_]|$)")
+    ahead = r"|\bcomputer science\b(?! (and|&) engineering)"
+    if ahead in pattern:
+        rest = f"regexp_replace({e}, 'computer science (and|&) engineering', '#', 'g')"
+        return f"(regexp_matches({e}, {re2(pattern.replace(ahead, ''))}) OR regexp_matches({rest}, '\\bcomputer science\\b'))"
     pattern = pattern.replace(r"(?<![.\w])js\b", r"(^|[^.\w])js\b")
     return f"regexp_matches({e}, {re2(pattern)})"
 
