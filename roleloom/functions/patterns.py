@@ -6,6 +6,8 @@ covers Unicode white space in both spellings, and ``$`` is the end of the text
 (Java's ``$`` would also match before a final line break).
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 _SPACE = r"\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
@@ -96,9 +98,76 @@ def let(value: Column, fn) -> Column:
     return F.transform(F.array(value), fn)[0]
 
 
+def _sequence_needs(branch: str) -> list[str] | None:
+    """Literals of which any match of one alternative contains at least one; the most selective choice."""
+    options, run, i = [], "", 0
+
+    def close():
+        nonlocal run
+        if run:
+            options.append([run])
+        run = ""
+    while i < len(branch):
+        ch, item = branch[i], None
+        if ch == "(":
+            end = _closing(branch, i)
+            body = branch[i + 1:end]
+            i = end + 1
+            if body[:2] in ("?=", "?!", "?<"):
+                continue
+            item = needs(body.removeprefix("?:"))
+            optional = branch[i:i + 1] in ("?", "*", "{")
+            close()
+            if item and not optional:
+                options.append(item)
+        elif ch == "[":
+            i = branch.index("]", i + 2) + 1
+            close()
+        elif ch == "\\" and branch[i + 1] == "b":
+            i += 2
+            continue
+        elif ch == "\\" and branch[i + 1].isalnum() or ch in ".^$":
+            i += 2 if ch == "\\" else 1
+            close()
+        else:
+            i += 2 if ch == "\\" else 1
+            run += branch[i - 1]
+            if branch[i:i + 1] in ("?", "*", "{"):
+                run = run[:-1]
+                close()
+        if branch[i:i + 1] in ("?", "*", "+", "{"):
+            close()
+            i = branch.index("}", i) + 1 if branch[i] == "{" else i + 1
+            if branch[i:i + 1] == "?":
+                i += 1
+    close()
+    return max(options, key=lambda o: (min(map(len, o)), -len(o))) if options else None
+
+
+def needs(pattern: str) -> list[str] | None:
+    """Literals without which ``pattern`` cannot match, null when there are none."""
+    out: list[str] = []
+    for branch in _branches(pattern):
+        found = _sequence_needs(branch)
+        if not found:
+            return None
+        out += found
+    return list(dict.fromkeys(out))
+
+
 def has(col: Column, pattern: str) -> Column:
-    """True where ``pattern`` occurs; ``col`` must already be lower case if the rule asks for it."""
-    return col.rlike(spell(pattern))
+    """True where ``pattern`` occurs; ``col`` must already be lower case if the rule asks for it.
+
+    A plain substring test runs first: most rules do not apply to most texts, and
+    a byte search is far cheaper than starting the regex at every position.
+    """
+    hit = col.rlike(spell(pattern))
+    words = needs(pattern)
+    if not words or "(?i)" in pattern:
+        return hit
+    # a longer literal that contains a shorter one adds nothing
+    words = [w for w in words if not any(v != w and v in w for v in words)]
+    return reduce(lambda a, b: a | b, [col.contains(w) for w in words]) & hit
 
 
 def group(col: Column, pattern: str, idx: int = 1) -> Column:

@@ -82,8 +82,7 @@ def detect_level(title: Column) -> Column:
 
 # --- E4–E9: numbers and flags -----------------------------------------------------
 def _number(text: Column, pattern: str, ok) -> Column:
-    value = group(text, pattern).cast("double")
-    return F.when(ok(value), value)
+    return let(group(text, pattern).cast("double"), lambda v: F.when(ok(v), v))
 
 
 def extract_cgpa(text: Column) -> Column:

@@ -49,3 +49,13 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str], next_path: s
     The stored files are only read, so a lost executor or a failed job leaves them whole.
     """
     write_table(upserted(current, changes, keys), next_path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a badly split input over all cores before CPU-heavy text work.
+
+    Only inputs with fewer splits than cores are shuffled; a large input already
+    has more splits and passes through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
