@@ -229,7 +229,7 @@ SELECT j.job_id AS posting_id, j.job_id % 8 AS kind,
   j.org_id, concat('org-', cast(j.org_id as $STR$)) AS org_slug,
   CASE j.job_id % 8 WHEN 2 THEN replace(replace(j.title, 'Senior', 'Sr.'), ' & ', ' and ')
        WHEN 4 THEN concat('Urgent hiring: ', j.title, ' Team') WHEN 5 THEN concat(j.title, ' III')
-       WHEN 7 THEN concat('Regional ', {pick(div('j.job_id', 3), 'Branch', 'Treasury', 'Audit', 'Trade')}, ' Coordinator ', cast(j.job_id % 500 as $STR$)) ELSE j.title END AS title,
+       WHEN 7 THEN concat('Regional ', {pick(div('j.job_id', 3), 'Branch', 'Treasury', 'Audit', 'Trade')}, ' Coordinator ', cast(j.job_id % 50 as $STR$)) ELSE j.title END AS title,
   j.department, j.summary,
   CASE WHEN j.job_id % 8 IN (1, 6) THEN NULL WHEN j.job_id % 8 = 4 THEN j.deadline + INTERVAL '2' DAY WHEN j.job_id % 8 = 5 THEN j.deadline + INTERVAL '10' DAY ELSE j.deadline END AS deadline,
   CASE WHEN j.job_id % 8 = 1 THEN concat('http://www.careers.example.com/apply/', cast(j.job_id as $STR$), '/?utm_source=feed&ref=x#top')
