@@ -127,14 +127,20 @@ def similar_titles(left: DataFrame, right: DataFrame, threshold: float = R.REVIE
     filtering), equal titles are joined directly, and every candidate is verified.
     """
     lt, rt = (d.select("org_id", c("normalized_title").alias("title")).distinct() for d in (left, right))
-    pre = _prefixes(lt.select("title").unionByName(rt.select("title")).distinct(), threshold)
+    pre = checkpointed(_prefixes(lt.select("title").unionByName(rt.select("title")).distinct(), threshold))
     lp = lt.join(pre, "title").select("org_id", "kind", "token", c("title").alias("left_title"))
     rp = rt.join(pre, "title").select("org_id", "kind", "token", c("title").alias("right_title"))
-    la, lb = F.length("left_title"), F.length("right_title")
-    room = F.lit(2.0) * F.least(la, lb) / (la + lb) >= threshold - 0.1  # loose length bound for the bigram side
+    la, lb = F.length("left_title") - 1, F.length("right_title") - 1  # numbers of bigrams
+    room = F.lit(2.0) * F.least(la, lb) / (la + lb) >= threshold - 1e-9
     found = lp.join(rp, ["org_id", "kind", "token"]).where((c("kind") == "w") | room).select("org_id", "left_title", "right_title").distinct()
-    pairs = found.select("left_title", "right_title").distinct()
-    scored = pairs.withColumn("score", F.when(c("left_title") != c("right_title"), T.title_similarity_normalized(c("left_title"), c("right_title")))).where(c("score") >= threshold)
+    # Features are prepared once per title; a candidate pair only intersects two small arrays, and only once.
+    def features(side: str) -> DataFrame:
+        titles = (lt if side == "left" else rt).select("title").distinct()
+        return titles.select(c("title").alias(f"{side}_title"), T.numbered_bigrams(c("title")).alias(f"{side}_g"), T.tokens(c("title")).alias(f"{side}_w"))
+    pairs = found.select("left_title", "right_title").where(c("left_title") != c("right_title")).distinct()
+    full = pairs.join(features("left"), "left_title").join(features("right"), "right_title")
+    score = F.greatest(T.dice_of(c("left_title"), c("right_title"), c("left_g"), c("right_g")), T.jaccard_of(c("left_w"), c("right_w")))
+    scored = full.select("left_title", "right_title", F.explode(F.filter(F.array(score), lambda x: x >= threshold)).alias("score"))
     near = found.join(scored, ["left_title", "right_title"]).select("org_id", "left_title", "right_title", "score")
     same = lt.join(rt, ["org_id", "title"]).select("org_id", c("title").alias("left_title"), c("title").alias("right_title"), F.lit(1.0).alias("score"))
     return near.unionByName(same)
@@ -183,7 +189,7 @@ def class_candidates(incoming: DataFrame, pool: DataFrame, titles: DataFrame, id
 def review_candidates(incoming: DataFrame, stored: DataFrame, now, k: int = R.REVIEW_CANDIDATES) -> DataFrame:
     """Best k candidates per incoming class: score first, then the lowest job id."""
     pool = fuzzy_pool(stored, now)
-    cand = class_candidates(incoming, pool, similar_titles(incoming, pool))
+    cand = class_candidates(incoming, pool, checkpointed(similar_titles(incoming, pool)))
     cls = ["org_id", "normalized_title", "deadline"]
     w = W.partitionBy(*cls).orderBy(c("score").desc(), c("job_id").asc())
     return cand.withColumn("rank", F.row_number().over(w)).where(c("rank") <= k)
@@ -201,9 +207,10 @@ def dedupe_decide(incoming: DataFrame, stored: DataFrame, links: DataFrame, now)
     decisions(posting_id, action, job_id, score): ``same-source``, ``merge`` or ``create``;
     reviews(posting_id, job_id, score, rank): up to three candidates of every created posting.
     """
-    exact = dedupe_exact(incoming, stored, links, now)
+    # Both intermediate results feed several outputs, so they are materialised once.
+    exact = checkpointed(dedupe_exact(incoming, stored, links, now))
     rest = incoming.join(exact.select("posting_id"), "posting_id", "left_anti")
-    listed = _class_join(rest.select("posting_id", "org_id", "normalized_title", "deadline"), review_candidates(rest, stored, now), "left")
+    listed = checkpointed(_class_join(rest.select("posting_id", "org_id", "normalized_title", "deadline"), review_candidates(rest, stored, now), "left"))
     best = c("rank") == 1
     merged = listed.where(best & (c("score") >= R.AUTO_MERGE_SIMILARITY) & c("dated")).select("posting_id", F.lit("merge").alias("action"), "job_id", "score")
     known = exact.select("posting_id", F.when(c("rung") == 1, "same-source").otherwise("merge").alias("action"), "job_id", F.lit(1.0).alias("score"))
@@ -287,6 +294,10 @@ def ingest_submissions(submissions: DataFrame, stored: DataFrame, links: DataFra
     A community entry that is already listed adds nothing; a trusted one attaches its link or updates the job.
     """
     decisions, _ = dedupe_decide(prepare_incoming(submissions), stored, links, now)
+    return submission_outcomes(submissions, decisions)
+
+
+def submission_outcomes(submissions: DataFrame, decisions: DataFrame) -> DataFrame:
     d = submissions.select("posting_id", "trusted").join(decisions, "posting_id")
     outcome = (F.when(c("action") == "create", "created").when(~c("trusted"), "already listed").when(c("action") == "same-source", "updated").otherwise("merged"))
     return d.select("posting_id", outcome.alias("outcome"), "job_id")
@@ -303,9 +314,9 @@ def batch_parents(rows: DataFrame) -> DataFrame:
         first = rows.where(c(key).isNotNull()).groupBy(key).agg(F.min("seq").alias(f"_f{i}"))
         out = out.join(first, key, "left")
     earlier = F.coalesce(*[F.when(c(f"_f{i}") < c("seq"), c(f"_f{i}")) for i in range(len(RUNGS))])
-    out = out.withColumn("parent", earlier)
+    out = checkpointed(out.withColumn("parent", earlier))
     rest = out.where(c("parent").isNull())  # at most one row per fingerprint
-    titles = similar_titles(rest, rows)
+    titles = checkpointed(similar_titles(rest, rows))
     # A row may only look back, so a class is represented by its first row.
     pool = rows.groupBy("org_id", "normalized_title", "deadline").agg(F.min("seq").alias("seq"))
     mine = rest.select("seq", "org_id", c("normalized_title").alias("left_title"), "deadline").join(titles, ["org_id", "left_title"])

@@ -23,15 +23,35 @@ _CTE = f"""WITH st AS (SELECT *, coalesce(stale, {_FP}) AS fingerprint, {_CH} AS
   lk AS (SELECT l.* FROM {{v_links}} l JOIN live USING (job_id)), """
 
 
+_MEMO: dict = {}
+
+
+def _once(t, name, build):
+    """Materialise an intermediate table once per session and data folder; later queries read it."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, name)
+    if key not in _MEMO:
+        _MEMO[key] = build()
+    return _MEMO[key]
+
+
 def stored(t):
     from .views import _fill
-    s = t.spark.sql(_fill(_STORED, "spark"), v_jobs=t.v_jobs)
-    k = X.with_keys(s)
-    return k.withColumn("fingerprint", F.coalesce("stale", "fingerprint")).drop("stale")
+
+    def build():
+        k = X.with_keys(t.spark.sql(_fill(_STORED, "spark"), v_jobs=t.v_jobs))
+        return X.checkpointed(k.withColumn("fingerprint", F.coalesce("stale", "fingerprint")).drop("stale"))
+    return _once(t, "stored", build)
 
 
 def incoming(t):
-    return X.prepare_incoming(t.v_postings0)
+    return _once(t, "incoming", lambda: X.checkpointed(X.prepare_incoming(t.v_postings0)))
+
+
+def decided(t):
+    def build():
+        d, r = X.dedupe_decide(incoming(t), stored(t), t.v_links, NOW)
+        return X.checkpointed(d), r
+    return _once(t, "decided", build)
 
 
 @register("dup_candidates", _CTE + """kk AS (SELECT external_key, count(*) AS n, min(job_id) AS j FROM lk GROUP BY 1), ff AS (SELECT fingerprint, count(*) AS n, min(job_id) AS j FROM live GROUP BY 1),
@@ -92,13 +112,13 @@ _DECIDE = _CTE + _EXACT + ", re AS (SELECT * FROM ic ANTI JOIN ex USING (posting
 
 @register("dedupe_decide", _DECIDE + " SELECT posting_id, action, job_id, round(score, 6) AS score FROM de")
 def _(t):
-    d, _r = X.dedupe_decide(incoming(t), stored(t), t.v_links, NOW)
+    d, _r = decided(t)
     return d.withColumn("score", F.round("score", 6))
 
 
 @register("review_candidates", _DECIDE + " SELECT posting_id, job_id, round(score, 6) AS score, rank::int AS rank FROM li ANTI JOIN mg USING (posting_id)")
 def _(t):
-    _d, r = X.dedupe_decide(incoming(t), stored(t), t.v_links, NOW)
+    _d, r = decided(t)
     return r.withColumn("score", F.round("score", 6))
 
 
@@ -110,7 +130,7 @@ _EXTRA = """SELECT p.posting_id, CASE WHEN j.job_id % 16 = 0 THEN j.source_name
 
 def _matched(t):
     i = incoming(t)
-    d, _r = X.dedupe_decide(i, stored(t), t.v_links, NOW)
+    d, _r = decided(t)
     extra = t.spark.sql(_EXTRA, v_postings0=t.v_postings0, v_jobs=t.v_jobs)
     return i.join(d.where(c("action") != "create").select("posting_id", "action", "job_id"), "posting_id").join(extra, "posting_id")
 
@@ -130,7 +150,7 @@ _MSQL = _DECIDE + f""", me AS (SELECT ic.posting_id, de.action, de.job_id, e.*
   g AS (SELECT b.job_id, b.title, coalesce(b.deadline, f_deadline) AS deadline, coalesce(coalesce(b.deadline, f_deadline), old_deadline) AS next_deadline, CASE WHEN coalesce(b.application_url, '') = '' THEN coalesce(f_url, b.application_url) ELSE b.application_url END AS application_url,
     CASE WHEN coalesce(b.salary, '') = '' THEN coalesce(f_salary, b.salary) ELSE b.salary END AS salary, CASE WHEN coalesce(b.vacancies, 0) = 0 THEN coalesce(f_vac, b.vacancies) ELSE b.vacancies END AS vacancies,
     CASE WHEN NOT parsed AND req IS NOT NULL THEN q.min_cgpa ELSE b.min_cgpa END AS min_cgpa, CASE WHEN NOT parsed AND req IS NOT NULL THEN q.age_limit ELSE b.age_limit END AS age_limit,
-    parsed OR req IS NOT NULL AS requirements_parsed, changed AS deadline_changed, b.review_status, b.first_discovered_at FROM b LEFT JOIN mo q ON q.posting_id = b.req) """
+    parsed OR req IS NOT NULL AS requirements_parsed, b.changed AS deadline_changed, b.review_status, b.first_discovered_at FROM b LEFT JOIN mo q ON q.posting_id = b.req) """
 
 
 @register("merge_survivorship", _MSQL + f"""SELECT job_id, title, deadline, application_url, salary, vacancies, min_cgpa, age_limit, requirements_parsed, deadline_changed,
@@ -143,7 +163,7 @@ def _(t):
 @register("deadline_changed", _DECIDE + """ SELECT posting_id, job_id, coalesce(ic.deadline <> st.deadline, false) AS changed FROM de JOIN ic USING (posting_id) JOIN st USING (job_id)""")
 def _(t):
     i, s = incoming(t), stored(t)
-    d, _r = X.dedupe_decide(i, s, t.v_links, NOW)
+    d, _r = decided(t)
     new = d.where(c("job_id").isNotNull()).join(i.select("posting_id", c("deadline").alias("n")), "posting_id").join(s.select("job_id", c("deadline").alias("o")), "job_id")
     return new.select("posting_id", "job_id", F.coalesce(c("n") != c("o"), F.lit(False)).alias("changed"))
 
@@ -154,7 +174,7 @@ def _(t):
   FROM {v_links} l FULL JOIN se ON se.external_key = l.external_key""")
 def _(t):
     i = incoming(t)
-    d, _r = X.dedupe_decide(i, stored(t), t.v_links, NOW)
+    d, _r = decided(t)
     seen = i.join(d.select("posting_id", "job_id"), "posting_id").select("external_key", F.coalesce(c("job_id"), -c("posting_id")).alias("job_id"), F.lit(1).cast("bigint").alias("source_id"), "source_url", "posting_id")
     return X.link_upsert(t.v_links, seen, NOW)
 
@@ -163,13 +183,13 @@ def _(t):
   CASE WHEN deadline <= $NOW$ THEN 'EXPIRED' WHEN deadline <= $NOW$ + INTERVAL 72 HOUR THEN 'CLOSING_SOON' ELSE 'NEW' END AS status FROM ic JOIN de USING (posting_id) WHERE action = 'create'""")
 def _(t):
     i = incoming(t)
-    d, _r = X.dedupe_decide(i, stored(t), t.v_links, NOW)
+    d, _r = decided(t)
     return X.create_jobs(i, d, NOW).select("new_job_id", "posting_id", "slug", "title", "normalized_title", "status")
 
 
 @register("ingest_submissions", _DECIDE + """ SELECT posting_id, CASE WHEN action = 'create' THEN 'created' WHEN posting_id % 3 <> 0 THEN 'already listed' WHEN action = 'same-source' THEN 'updated' ELSE 'merged' END AS outcome, job_id FROM de""")
 def _(t):
-    return X.ingest_submissions(t.v_postings0.withColumn("trusted", c("posting_id") % 3 == 0), stored(t), t.v_links, NOW)
+    return X.submission_outcomes(t.v_postings0.withColumn("trusted", c("posting_id") % 3 == 0), decided(t)[0])
 
 
 # One batch with every stored job followed by its copy.
