@@ -80,10 +80,11 @@ def _(t):
 
 @register("closing_soon_alerts", f"""WITH {_AJ} SELECT user_id, job_id, 'CLOSING_SOON' AS type, 'Closing soon: ' || title || ' — ' || org AS title, {_LABEL} || ' (' || score || '/100). Deadline ' || {Q.fmt_datetime('deadline')} || '.' AS body, '/jobs/' || slug AS url,
   verdict = 'STRONG' AS priority, 'closing:' || user_id || ':' || job_id AS dedupe_key, mode = 'IMMEDIATE' OR verdict = 'STRONG' AS deliver_now
-  FROM {{v_matches}} m JOIN aj USING (job_id) JOIN {{v_prefs}} p USING (user_id) WHERE archived_at IS NULL AND review_status = 'APPROVED' AND aj.status = 'CLOSING_SOON' AND verdict IN ('STRONG', 'POSSIBLE')
+  FROM {{v_matches}} m JOIN aj USING (job_id) JOIN (SELECT * REPLACE ([]::varchar[] AS organization_slugs) FROM {{v_prefs}}) p USING (user_id) WHERE archived_at IS NULL AND review_status = 'APPROVED' AND aj.status = 'CLOSING_SOON' AND verdict IN ('STRONG', 'POSSIBLE')
    AND closing_soon_alerts AND NOT EXISTS (SELECT 1 FROM {{v_saved}} s WHERE s.user_id = m.user_id AND s.job_id = m.job_id) AND ({_FAIL}) IS NULL""")
 def _(t):
-    return A.closing_soon_alerts(t.v_jobs, t.v_orgs, t.v_matches, t.v_saved, t.v_prefs)
+    prefs = t.v_prefs.withColumn("organization_slugs", F.array().cast("array<string>"))
+    return A.closing_soon_alerts(t.v_jobs, t.v_orgs, t.v_matches, t.v_saved, prefs)
 
 
 _ATTEMPTS = """SELECT concat('k:', cast(user_id as $STR$), ':', cast(cast(floor(value) as bigint) as $STR$)) AS dedupe_key, user_id, ts AS created_at, event_id FROM {events} WHERE event_type IN ('click', 'view')"""
