@@ -8,7 +8,8 @@ from .registry import register
 from .views import NOW, div, pick
 
 c = F.col
-NOW_COL = D.ts_lit(NOW)
+def now_col():
+    return D.ts_lit(NOW)
 
 _TEXTS = "CASE cast(o_orderkey % 10 as int) " + " ".join(f"WHEN {k} THEN {v}" for k, v in {
     0: "concat(cast(1 + o_orderkey % 31 as $STR$), '/', cast(1 + o_orderkey % 12 as $STR$), '/2026')",
@@ -47,7 +48,7 @@ def _(t):
 
 @register("hours_until", f"SELECT job_id, round({Q.hours_until('deadline', '$NOW$')}, 6) AS hours FROM {{v_jobs0}}")
 def _(t):
-    return t.v_jobs0.select("job_id", F.round(D.hours_until(c("deadline"), NOW_COL), 6).alias("hours"))
+    return t.v_jobs0.select("job_id", F.round(D.hours_until(c("deadline"), now_col()), 6).alias("hours"))
 
 
 @register("add_hours", "SELECT o_orderkey, o_orderdate + INTERVAL '1' MINUTE * (30 * (o_orderkey % 100)) AS later FROM orders")
@@ -62,7 +63,7 @@ def _(t):
 
 @register("hours_ago", "SELECT o_orderkey, $NOW$ - INTERVAL '1' HOUR * (o_orderkey % 100) AS earlier FROM orders")
 def _(t):
-    return t.orders.select("o_orderkey", D.add_hours(NOW_COL, -(c("o_orderkey") % 100).cast("double")).alias("earlier"))
+    return t.orders.select("o_orderkey", D.add_hours(now_col(), -(c("o_orderkey") % 100).cast("double")).alias("earlier"))
 
 
 _H = Q.hours_until("deadline", "$NOW$")
@@ -72,7 +73,7 @@ _H = Q.hours_until("deadline", "$NOW$")
   WHEN h < 48 THEN concat(cast(floor(h) as bigint), CASE WHEN floor(h) = 1 THEN ' hour left' ELSE ' hours left' END) ELSE concat(cast(floor(h / 24) as bigint), ' days left') END AS label
   FROM (SELECT job_id, deadline, {_H} AS h FROM {{v_jobs0}}) x""")
 def _(t):
-    return t.v_jobs0.select("job_id", D.time_left_label(c("deadline"), NOW_COL).alias("label"))
+    return t.v_jobs0.select("job_id", D.time_left_label(c("deadline"), now_col()).alias("label"))
 
 
 @register("format_local_date", f"SELECT job_id, {Q.fmt_date('deadline')} AS label FROM {{v_jobs0}}")

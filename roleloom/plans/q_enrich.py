@@ -74,15 +74,14 @@ def _(t):
     return _cat(E.categorize(t.v_circulars, text="description"))
 
 
-@F.pandas_udf("string")
-def guess_category(title: pd.Series, text: pd.Series) -> pd.Series:
+def _guess(title: pd.Series, text: pd.Series) -> pd.Series:
     """Example hook: anything that mentions Python is data work."""
     return text.str.contains("Python", regex=False).map({True: "DATA_BI", False: None})
 
 
 @register("set_category_fallback", _cat_sql("CASE WHEN contains(description, 'Python') THEN 'DATA_BI' ELSE 'GENERAL_IT_OFFICER' END"))
 def _(t):
-    return _cat(E.categorize(t.v_circulars, text="description", fallback=guess_category))
+    return _cat(E.categorize(t.v_circulars, text="description", fallback=F.pandas_udf(_guess, "string")))
 
 
 @register("detect_level", _B + f"SELECT posting_id, {first_rule("replace(lt, '.', ' ')", R.LEVEL_RULES)} AS level FROM b")

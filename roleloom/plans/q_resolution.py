@@ -84,12 +84,12 @@ def _grams(x):
 def titles_sql(left, right, t=R.REVIEW_SIMILARITY):
     """CTEs ending in ``tp(org_id, lt, rt, score)``."""
     return f"""tl AS (SELECT DISTINCT org_id, normalized_title AS t FROM {left}), tr AS (SELECT DISTINCT org_id, normalized_title AS t FROM {right}),
-  tf AS (SELECT t, {_grams('t')} AS g, list_distinct(list_filter(string_split(t, ' '), lambda x: x <> '')) AS w FROM (SELECT t FROM tl UNION SELECT t FROM tr) q),
+  tf AS MATERIALIZED (SELECT t, {_grams('t')} AS g, list_distinct(list_filter(string_split(t, ' '), lambda x: x <> '')) AS w FROM (SELECT t FROM tl UNION SELECT t FROM tr) q),
   tq AS (SELECT DISTINCT tl.t AS lt, tr.t AS rt FROM tl JOIN tr USING (org_id)),
   ts AS (SELECT lt, rt, CASE WHEN lt = rt THEN 1.0 ELSE greatest(CASE WHEN length(lt) < 2 OR length(rt) < 2 THEN 0.0 ELSE 2.0::double * len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g)) END,
       CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0.0 ELSE len(list_intersect(a.w, b.w))::double / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) END) END AS score
     FROM tq JOIN tf a ON a.t = lt JOIN tf b ON b.t = rt),
-  tp AS (SELECT tl.org_id, lt, rt, score FROM tl JOIN ts ON ts.lt = tl.t JOIN tr ON tr.org_id = tl.org_id AND tr.t = ts.rt WHERE score >= {t})"""
+  tp AS MATERIALIZED (SELECT tl.org_id, lt, rt, score FROM tl JOIN ts ON ts.lt = tl.t JOIN tr ON tr.org_id = tl.org_id AND tr.t = ts.rt WHERE score >= {t})"""
 
 
 @register("dedupe_fuzzy", _CTE + titles_sql("ic", "recent") + " SELECT org_id, lt AS left_title, rt AS right_title, round(score, 6) AS score FROM tp")
@@ -202,14 +202,15 @@ def batch(t):
     return s.unionByName(i)
 
 
-_BSQL = _CTE + "ba AS (SELECT posting_id * 2 + 1 AS seq, org_id, normalized_title, deadline, external_key, norm_url, fingerprint, content_hash FROM ic UNION ALL SELECT job_id * 2, org_id, normalized_title, deadline, concat('job:', job_id), norm_url, fingerprint, content_hash FROM st), " + ", ".join(
+_BSQL = _CTE + "ba AS MATERIALIZED (SELECT posting_id * 2 + 1 AS seq, org_id, normalized_title, deadline, external_key, norm_url, fingerprint, content_hash FROM ic UNION ALL SELECT job_id * 2, org_id, normalized_title, deadline, concat('job:', job_id), norm_url, fingerprint, content_hash FROM st), " + ", ".join(
     f"k{i} AS (SELECT {k}, min(seq) AS f{i} FROM ba WHERE {k} IS NOT NULL GROUP BY 1)" for i, k in enumerate(X.RUNGS)) + """,
-  pa AS (SELECT ba.*, coalesce(CASE WHEN f0 < seq THEN f0 END, CASE WHEN f1 < seq THEN f1 END, CASE WHEN f2 < seq THEN f2 END, CASE WHEN f3 < seq THEN f3 END) AS parent
+  pa AS MATERIALIZED (SELECT ba.*, coalesce(CASE WHEN f0 < seq THEN f0 END, CASE WHEN f1 < seq THEN f1 END, CASE WHEN f2 < seq THEN f2 END, CASE WHEN f3 < seq THEN f3 END) AS parent
     FROM ba LEFT JOIN k0 USING (external_key) LEFT JOIN k1 USING (norm_url) LEFT JOIN k2 USING (fingerprint) LEFT JOIN k3 USING (content_hash)),
-  rr AS (SELECT * FROM pa WHERE parent IS NULL), """ + titles_sql("rr", "ba") + """,
-  pc AS (SELECT org_id, normalized_title, deadline, min(seq) AS other FROM ba GROUP BY 1, 2, 3),
-  be AS (SELECT seq, other, score, pc.deadline IS NOT NULL AS both_dated, row_number() OVER (PARTITION BY seq ORDER BY score DESC, other) AS r FROM rr JOIN tp ON tp.org_id = rr.org_id AND tp.lt = rr.normalized_title
-    JOIN pc ON pc.org_id = rr.org_id AND pc.normalized_title = tp.rt WHERE other < seq AND rr.deadline IS NOT NULL AND (pc.deadline IS NULL OR abs(epoch_us(rr.deadline) - epoch_us(pc.deadline)) <= 3 * 86400000000)),
+  rr AS MATERIALIZED (SELECT * FROM pa WHERE parent IS NULL), """ + titles_sql("rr", "ba") + """,
+  pc AS MATERIALIZED (SELECT org_id, normalized_title, deadline, min(seq) AS other FROM ba GROUP BY 1, 2, 3),
+  rt2 AS MATERIALIZED (SELECT rr.org_id, rr.seq, rr.deadline, tp.rt, tp.score FROM rr JOIN tp ON tp.org_id = rr.org_id AND tp.lt = rr.normalized_title),
+  be AS MATERIALIZED (SELECT seq, other, score, pc.deadline IS NOT NULL AS both_dated, row_number() OVER (PARTITION BY seq ORDER BY score DESC, other) AS r FROM rt2 rr
+    JOIN pc ON pc.org_id = rr.org_id AND pc.normalized_title = rr.rt WHERE other < seq AND rr.deadline IS NOT NULL AND (pc.deadline IS NULL OR abs(epoch_us(rr.deadline) - epoch_us(pc.deadline)) <= 3 * 86400000000)),
   pp AS MATERIALIZED (SELECT pa.seq, coalesce(pa.parent, be.other, pa.seq) AS parent FROM pa LEFT JOIN be ON be.seq = pa.seq AND r = 1 AND score >= 0.92 AND both_dated)"""
 
 
