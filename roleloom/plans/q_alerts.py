@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..operators import alerts as A
 from . import sqltext as Q
-from .registry import register
+from .core import register
 from .views import EVENTS_NOW, NOW, _fill
 
 c = F.col

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from . import sqltext as Q
-from .registry import register
+from .core import register
 from .views import NOW, div, pick
 
 c = F.col

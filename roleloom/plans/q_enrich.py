@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R, text as T
 from ..operators import enrich as E
 from . import sqltext as Q
-from .registry import register
+from .core import register
 
 c = F.col
 ID = "posting_id"

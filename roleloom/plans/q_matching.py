@@ -7,7 +7,7 @@ from ..operators import match as M
 from . import sqltext as Q
 from .q_enrich import CANON_SQL, _CATS, score_codes
 from .q_search import ACTIVE
-from .registry import register
+from .core import register
 
 c = F.col
 

@@ -6,7 +6,7 @@ from ..functions import rules as R
 from ..operators import resolve as X
 from . import sqltext as Q
 from .q_lifecycle import status_sql
-from .registry import register
+from .core import register
 from .views import NOW
 
 c = F.col

@@ -6,7 +6,7 @@ from ..functions import rules as R
 from ..sources import feeds as Fe, markup as Mk, registry as Rg, tables as Tb
 from . import sqltext as Q
 from .q_search import ACTIVE
-from .registry import register
+from .core import register
 from .views import NOW, _fill
 
 c = F.col
