@@ -7,6 +7,7 @@ from ..operators import match as M
 from . import sqltext as Q
 from .q_enrich import CANON_SQL, _CATS, score_codes
 from .q_search import ACTIVE
+from ..sources.tables import spread
 from .core import register
 
 c = F.col
@@ -114,7 +115,7 @@ def _joined(reasons):
 
 
 def _prepared(t):
-    return M.prepare(t.v_views, t.v_profiles, t.v_jobs, t.v_orgs)
+    return M.prepare(t.v_views, spread(t.v_profiles), spread(t.v_jobs), t.v_orgs)
 
 
 def _part(name, sql, build, prepared=_prepared, flags=(), points=None):
@@ -143,7 +144,7 @@ _part("score_org", "org_points AS points", M.score_org, points="points")
 
 
 def _matched(t):
-    return M.match(t.v_views, t.v_profiles, t.v_jobs, t.v_orgs)
+    return M.match(t.v_views, spread(t.v_profiles), spread(t.v_jobs), t.v_orgs)
 
 
 @register("match_score", _Z + "SELECT user_id, job_id, score FROM z")
@@ -171,9 +172,9 @@ CHANGED = [5, 42, 77, 138, 301]
 
 @register("match_for_jobs", pairs_sql(f"SELECT user_id, unnest({CHANGED})::bigint AS job_id FROM {{v_profiles}}") + f"SELECT user_id, job_id, verdict, score, {REASONS} AS reasons FROM z")
 def _(t):
-    return _full(M.match_for_jobs(CHANGED, t.v_profiles, t.v_jobs, t.v_orgs))
+    return _full(M.match_for_jobs(CHANGED, spread(t.v_profiles), t.v_jobs, t.v_orgs))
 
 
 @register("match_for_user", pairs_sql(f"SELECT 7::bigint AS user_id, job_id FROM {{v_jobs}} WHERE {ACTIVE}") + f"SELECT user_id, job_id, verdict, score, {REASONS} AS reasons FROM z")
 def _(t):
-    return _full(M.match_for_user(7, t.v_profiles, t.v_jobs, t.v_orgs))
+    return _full(M.match_for_user(7, t.v_profiles, spread(t.v_jobs), t.v_orgs))

@@ -6,6 +6,7 @@ from ..functions import rules as R
 from ..operators import resolve as X
 from . import sqltext as Q
 from .q_lifecycle import status_sql
+from ..sources.tables import spread
 from .core import register
 from .views import NOW
 
@@ -38,13 +39,13 @@ def stored(t):
     from .views import _fill
 
     def build():
-        k = X.with_keys(t.spark.sql(_fill(_STORED, "spark"), v_jobs=t.v_jobs))
+        k = X.with_keys(t.spark.sql(_fill(_STORED, "spark"), v_jobs=spread(t.v_jobs)))
         return X.checkpointed(k.withColumn("fingerprint", F.coalesce("stale", "fingerprint")).drop("stale"))
     return _once(t, "stored", build)
 
 
 def incoming(t):
-    return _once(t, "incoming", lambda: X.checkpointed(X.prepare_incoming(t.v_postings0)))
+    return _once(t, "incoming", lambda: X.checkpointed(X.prepare_incoming(spread(t.v_postings0))))
 
 
 def decided(t):
