@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rules as R
 from ..functions.dates import hours, ts_lit
@@ -82,7 +82,7 @@ def consecutive_failures(runs: DataFrame) -> DataFrame:
     """Failures since the last success per source: two map-side combined aggregates and no per-source window."""
     good = runs.where(c("status").isin("SUCCESS", "PARTIAL")).groupBy("source_id").agg(
         F.max(F.struct("started_at", "run_id")).alias("last_good"))
-    # failures may be many per source, so they are counted by (source, position against the last success) after a broadcastable join
+    # One row per source meets the failures; the count combines map-side, so a source with most of the runs stays cheap.
     bad = runs.where(c("status") == "FAILED").select("source_id", F.struct("started_at", "run_id").alias("at"))
     streak = (bad.join(good, "source_id", "left").where(c("last_good").isNull() | (c("at") > c("last_good")))
               .groupBy("source_id").agg(F.count("*").alias("failures")))
