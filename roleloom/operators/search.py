@@ -438,3 +438,29 @@ def notification_history(notifications: DataFrame, deliveries: DataFrame, k: int
 def is_indexable(now) -> Column:
     fresh = c("deadline").isNull() | (c("deadline") >= ts_lit(now) - days(R.NOINDEX_AFTER_DAYS))
     return ~c("is_demo") & VISIBLE() & (c("status") != "REMOVED") & fresh
+
+
+# --- logged searches -----------------------------------------------------------------
+LOG_LISTS = {"orgType": R.ORG_TYPES, "category": R.CATEGORIES, "level": R.LEVELS, "workMode": R.WORK_MODES, "verdict": R.VERDICTS}
+LOG_CHOICES = {"masters": ["any", "not-required", "required"], "published": ["24h", "7d", "30d"], "deadline": ["3d", "7d", "30d"], "status": ["active", "expired", "all"],
+               "sort": ["newest", "deadline", "match", "experience", "organization", "verified"]}
+LOG_TEXT_LIMITS = {"q": 100, "org": 80, "location": 60}
+LOG_NUMBERS = ["maxExperience", "myCgpa", "minScore", "page"]
+
+
+def parse_search_log(log: DataFrame) -> DataFrame:
+    """Typed filters from logged ``params``; unknown words are dropped, but one over-long text resets the whole search."""
+    def p(name: str) -> Column:
+        return F.try_element_at("params", F.lit(name))
+
+    def known(name: str, values: list[str]) -> Column:
+        return F.filter(F.split(F.coalesce(p(name), F.lit("")), ","), lambda x: x.isin(values))
+    broken = reduce(lambda a, b: a | b, [F.coalesce(F.length(p(n)) > limit, F.lit(False)) for n, limit in LOG_TEXT_LIMITS.items()])
+    out = {n: F.nullif(p(n) if n == "org" else F.trim(p(n)), F.lit("")) for n in LOG_TEXT_LIMITS}
+    out |= {n: known(n, values) for n, values in LOG_LISTS.items()}
+    out |= {n: F.when(p(n).isin(values), p(n)) for n, values in LOG_CHOICES.items()}
+    for n in LOG_NUMBERS:
+        number = F.trim(p(n)).try_cast("double")
+        out[n] = F.when(F.abs(number) < float("inf"), number)
+    blank = {n: F.array().cast("array<string>") if n in LOG_LISTS else F.lit(None) for n in out}
+    return log.withColumns({n: F.when(broken, blank[n]).otherwise(v) for n, v in out.items()})

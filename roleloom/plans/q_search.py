@@ -365,3 +365,18 @@ def _(t):
 @register("is_indexable", f"""SELECT job_id, NOT is_demo AND {VIS} AND status <> 'REMOVED' AND (deadline IS NULL OR deadline >= $NOW$ - INTERVAL 14 DAY) AS indexable FROM {{v_jobs}}""")
 def _(t):
     return t.v_jobs.select("job_id", S.is_indexable(NOW).alias("indexable"))
+
+
+_LOG = """SELECT event_id, CASE WHEN event_id % 10 = 9 THEN repeat('x', 120) WHEN event_id % 4 = 0 THEN '  ' ELSE concat(' Java ', cast(user_id as $STR$), ' ') END AS q,
+  split_part('NETWORK,DATA_BI|OOPS,DATABASE||nothing', '|', cast(event_id % 4 + 1 as int)) AS category, split_part('required|maybe|any', '|', cast(event_id % 3 + 1 as int)) AS masters,
+  split_part('45| 7.5 |abc|', '|', cast(event_id % 4 + 1 as int)) AS score FROM {events}"""
+
+
+@register("parse_search_log", f"""SELECT event_id, CASE WHEN length(q) <= 100 THEN nullif(trim(q), '') END AS q, CASE WHEN length(q) <= 100 THEN array_to_string(list_filter(string_split(category, ','), lambda x: x IN {Q.strings(R.CATEGORIES)}), ',') ELSE '' END AS category,
+   CASE WHEN length(q) <= 100 AND masters IN ('any', 'not-required', 'required') THEN masters END AS masters, CASE WHEN length(q) <= 100 THEN try_cast(trim(score) as double) END AS min_score FROM ({_LOG}) l""")
+def _(t):
+    from .views import _fill
+    raw = t.spark.sql(_fill(_LOG, "spark"), events=t.events)
+    params = F.create_map(F.lit("q"), "q", F.lit("category"), "category", F.lit("masters"), "masters", F.lit("minScore"), "score")
+    f = S.parse_search_log(raw.select("event_id", params.alias("params")))
+    return f.select("event_id", "q", F.array_join("category", ",").alias("category"), "masters", c("minScore").alias("min_score"))
