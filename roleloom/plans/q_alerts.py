@@ -163,3 +163,14 @@ def _(t):
 def _(t):
     valid = t.events.where((c("value") >= 0) & c("props").isNotNull()).drop("event_type")
     return A.latest_per(valid, ["user_id"], ["ts", "event_id"])
+
+
+_PREF_EVENTS = "SELECT event_id, user_id, ts, event_id % 3 = 0 AS push_enabled, CASE WHEN event_id % 2 = 0 THEN 'IMMEDIATE' ELSE 'DAILY_DIGEST' END AS mode FROM {events} WHERE event_type = 'purchase'"
+
+
+@register("preference_state", f"""WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM ({_PREF_EVENTS}) p) q WHERE r = 1),
+  s AS (SELECT user_id, max(ts) AS sub FROM ({_SUBS}) u WHERE action = 'subscribe' GROUP BY 1)
+  SELECT coalesce(l.user_id, s.user_id) AS user_id, event_id, mode, coalesce(push_enabled, false) OR coalesce(sub > ts, ts IS NULL) AS push_enabled FROM l FULL JOIN s ON s.user_id = l.user_id""")
+def _(t):
+    p = t.spark.sql(_fill(_PREF_EVENTS, "spark"), events=t.events)
+    return A.preference_state(p, t.spark.sql(_fill(_SUBS, "spark"), events=t.events)).select("user_id", "event_id", "mode", "push_enabled")
