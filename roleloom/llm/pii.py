@@ -142,15 +142,15 @@ def pseudonymize(documents: DataFrame, key: str, text: str = "text", inverse: bo
     Card numbers have to pass Luhn's check and their pseudonyms pass it too; dates have to exist between 1800 and 2199 and stay dates;
     phone numbers keep country code and punctuation; numbers that fail validation stay as they are.  ``inverse`` undoes numbers and dates
     with the same key, but for dates only spelled month first (their pseudonym may read day first).  Null texts stay null and
-    empty ones empty; every row stays, in its own form, repeated rows alike; columns named n_masked or masked_kinds are replaced.
+    empty ones empty; every row stays, repeated rows alike; columns named n_masked or masked_kinds are replaced, all others stay.
     """
     t = c(text)
     found = F.when(t.rlike("[0-9@=:]"), F.regexp_extract_all(t, lit(ANY), lit(0)))
-    out = documents.withColumn("_m", F.coalesce(found, F.array().cast("array<string>")))
-    out = out.withColumn("_k", F.transform("_m", lambda m: F.struct(m.alias("m"), _kind(m).alias("k"))))
-    out = out.withColumn("_p", F.transform("_k", lambda s: _pseudonym(s["m"], s["k"], key, inverse)))
-    joined = F.array_join(F.zip_with(F.split(t, ANY, -1), F.concat("_p", F.array(lit(""))), lambda gap, p: F.concat(gap, p)), "")
-    count = lambda k: F.size(F.filter("_k", lambda s: F.coalesce(s["k"] == k, lit(False)))).cast("long")
+    out = documents.withColumn("__pii_m", F.coalesce(found, F.array().cast("array<string>")))
+    out = out.withColumn("__pii_k", F.transform("__pii_m", lambda m: F.struct(m.alias("m"), _kind(m).alias("k"))))
+    out = out.withColumn("__pii_p", F.transform("__pii_k", lambda s: _pseudonym(s["m"], s["k"], key, inverse)))
+    joined = F.array_join(F.zip_with(F.split(t, ANY, -1), F.concat("__pii_p", F.array(lit(""))), lambda gap, p: F.concat(gap, p)), "")
+    count = lambda k: F.size(F.filter("__pii_k", lambda s: F.coalesce(s["k"] == k, lit(False)))).cast("long")
     kinds = F.map_from_entries(F.array(*[F.struct(lit(k), count(k)) for k in sorted(KINDS)]))
-    return (out.withColumn(text, F.when(F.size("_m") == 0, t).otherwise(joined)).withColumn("n_masked", F.size(F.filter("_k", lambda s: s["k"].isNotNull())).cast("long"))
-            .withColumn("masked_kinds", kinds).drop("_m", "_k", "_p"))
+    return (out.withColumn(text, F.when(F.size("__pii_m") == 0, t).otherwise(joined)).withColumn("n_masked", F.size(F.filter("__pii_k", lambda s: s["k"].isNotNull())).cast("long"))
+            .withColumn("masked_kinds", kinds).drop("__pii_m", "__pii_k", "__pii_p"))
