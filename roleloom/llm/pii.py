@@ -101,6 +101,14 @@ def _address_permuted(m: Column, key: str, inverse: bool) -> Column:
     return F.element_at(F.transform(F.array(out), lambda s: F.concat_ws(".", *[F.floor(s[h] / 256).cast("string") if top else (s[h] % 256).cast("string") for h in "ab" for top in (True, False)])), 1)
 
 
+def _ssn_permuted(digits: Column, key: str, inverse: bool) -> Column:
+    """Numbers that were ever given out: area 001-899 but 666, group 01-99, serial 0001-9999."""
+    area, group, serial = (F.substr(digits, lit(a), lit(n)).cast("long") for a, n in ((1, 3), (4, 2), (6, 4)))
+    out = feistel(area - F.when(area > 666, 2).otherwise(1), (group - 1) * 9999 + serial - 1, lit(898), lit(99 * 9999), lit("ssn"), key, inverse)
+    padded = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    return F.element_at(F.transform(F.array(out), lambda s: F.concat(padded(s["a"] + F.when(s["a"] >= 665, 2).otherwise(1), 3), padded(F.floor(s["b"] / 9999) + 1, 2), padded(s["b"] % 9999 + 1, 4))), 1)
+
+
 def _kind(m: Column) -> Column:
     """Kind of a match, or null for one that fails validation."""
     digits = F.regexp_replace(m, r"\D", "")
@@ -126,7 +134,7 @@ def _pseudonym(m: Column, kind: Column, key: str, inverse: bool) -> Column:
     country = F.length(F.regexp_replace(F.when(m.startswith("+"), F.regexp_extract(m, r"^\+(\d{1,3}?)(?=[ .(-]|\d{10}$|$)", 1)).otherwise(""), r"\D", ""))
     national = F.substr(digits, country + 1)
     phone = F.concat(F.substr(digits, lit(1), country), _digits_permuted(national, lit("phone"), key, inverse))
-    spelled = (F.when(kind == "card", _refilled(m, card)).when(kind == "phone", _refilled(m, phone)).when(kind == "ssn", _refilled(m, _digits_permuted(digits, lit("ssn"), key, inverse)))
+    spelled = (F.when(kind == "card", _refilled(m, card)).when(kind == "phone", _refilled(m, phone)).when(kind == "ssn", _refilled(m, _ssn_permuted(digits, key, inverse)))
                .when(kind == "address", _address_permuted(m, key, inverse)).when(kind == "date", _date_permuted(m, key, inverse)))
     if inverse:
         return spelled.otherwise(m)
