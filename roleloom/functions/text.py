@@ -1,6 +1,8 @@
-"""Scalar text, URL, hash and similarity functions.  All of them are built from
-native column expressions, so they stay inside whole-stage code generation."""
+"""Scalar text, URL, hash and similarity functions, built from native column
+expressions.  Those with a lambda over an array (``transform``, ``filter``, ``exists``,
+``aggregate``) are evaluated in the JVM but outside whole-stage code generation."""
 
+import functools
 import unicodedata
 
 from pyspark.sql import Column, functions as F
@@ -91,7 +93,7 @@ def normalize_url(c: Column) -> Column:
     raw_path = _tidy_path(F.regexp_extract(url, _URL, 3))
     path = F.regexp_replace(raw_path, r"/+\z", "")
     path = F.when(path == "", F.lit("/")).otherwise(path)
-    pairs = F.filter(F.split(F.substring(F.regexp_extract(url, _URL, 4), 2, 100000), "&"), lambda p: p != "")
+    pairs = F.filter(F.split(F.substr(F.regexp_extract(url, _URL, 4), F.lit(2)), "&"), lambda p: p != "")
     params = F.transform(pairs, lambda p: F.struct(
         _decode(F.regexp_extract(p, r"^([^=]*)", 1)).alias("k"),
         _decode(F.regexp_extract(p, r"^[^=]*=(.*)\z", 1)).alias("v")))
@@ -204,13 +206,36 @@ def title_similarity(a: Column, b: Column) -> Column:
 
 
 # --- small helpers ----------------------------------------------------------------
-_ACCENTED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
-_PLAIN = "".join(unicodedata.normalize("NFKD", ch)[0] for ch in _ACCENTED)
+@functools.cache
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """Characters with a compatibility decomposition: those of one plain character (from, to), and the longer ones."""
+    one_from, one_to, longer = [], [], {}
+    for i in range(0x80, 0x110000):
+        ch = chr(i)
+        if unicodedata.category(ch) in ("Cs", "Co", "Cn") or 0xAC00 <= i <= 0xD7A3:  # nothing of Hangul is plain
+            continue
+        plain = "".join(x for x in unicodedata.normalize("NFKD", ch).lower() if not "\u0300" <= x <= "\u036f")
+        if plain != ch and any("a" <= x <= "z" or "0" <= x <= "9" for x in plain):
+            if len(plain) == 1:
+                one_from.append(ch)
+                one_to.append(plain)
+            else:
+                longer[ch] = plain
+    return "".join(one_from), "".join(one_to), longer
+
+
 _MARKS = r"[\x{0300}-\x{036F}]"
 
 
 def slugify(c: Column) -> Column:
-    t = F.regexp_replace(F.translate(F.lower(c), _ACCENTED, _PLAIN), _MARKS, "")
+    """Lower-case letters and digits of the text's NFKD form, joined by hyphens."""
+    folded, plain, longer = _folding()
+    t = F.translate(F.lower(c), folded, plain)
+    # Ligatures and the like become several characters; a text without any skips the lookup.
+    table = F.create_map(*[F.lit(x) for kv in longer.items() for x in kv])
+    opened = F.array_join(F.transform(F.split(t, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    t = F.when(t.rlike("[" + "".join(longer) + "]"), opened).otherwise(t)
+    t = F.regexp_replace(t, _MARKS, "")
     t = F.regexp_replace(F.regexp_replace(t, r"[^a-z0-9]+", "-"), r"^-+|-+\z", "")
     return F.substring(t, 1, 80)
 

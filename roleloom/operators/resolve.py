@@ -9,32 +9,17 @@ lowest job ids can ever matter.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import rules as R, text as T
 from ..functions.dates import ts_lit
+from ..sources.tables import materialised
 from .lifecycle import days, status_column
 
 c = F.col
 MICROS_PER_DAY = 86_400_000_000
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names; a local session without one gets a scratch folder."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="roleloom-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def with_keys(rows: DataFrame) -> DataFrame:
     """Adds normalised title and URL, fingerprint and content hash where they are not stored yet."""
     out = rows.withColumn("normalized_title", T.normalize_title(c("title"))).withColumn("norm_url", T.normalize_url(c("application_url")))
@@ -77,38 +62,36 @@ def dup_candidates(incoming: DataFrame, stored: DataFrame, links: DataFrame, now
 RUNGS = ["external_key", "norm_url", "fingerprint", "content_hash"]
 
 
-def dedupe_exact(incoming: DataFrame, stored: DataFrame, links: DataFrame, now) -> DataFrame:
-    """(posting_id, rung, job_id): first rung with evidence — source key, URL, fingerprint, content hash — and its lowest job id."""
-    live = stored.where(c("archived_at").isNull())
-    recent = live.where(c("created_at") >= ts_lit(now) - days(R.CANDIDATE_WINDOW_DAYS))
-    out = incoming
+def _evidence(rung: int, kind: str, *parts: Column) -> Column:
+    """One piece of evidence; a null part makes its key null."""
+    key = parts[0].cast("string")
+    for p in parts[1:]:
+        key = F.concat(key, F.lit("\x1f"), p.cast("string"))
+    return F.struct(F.lit(rung).alias("rung"), F.lit(kind).alias("kind"), key.alias("key"))
 
-    def attach(df: DataFrame, right: DataFrame, on: dict[str, str], name: str) -> DataFrame:
-        """Left join of the lowest job id per stored key; ``on`` maps incoming to stored columns."""
-        best = _per_key(right, list(on.values())).drop("candidates").select(*[c(s).alias(f"_{i}") for i, s in enumerate(on.values())], c("first_job_id").alias(name))
-        cond = [c(col) == c(f"_{i}") for i, col in enumerate(on)]
-        return df.join(best, cond, "left").drop(*[f"_{i}" for i in range(len(on))])
 
-    by_key = links.join(live.select("job_id"), "job_id", "left_semi")
-    out = attach(out, by_key, {"external_key": "external_key"}, "_key")
-    # A stored URL counts when its raw form is one of ours, or when the job is a candidate for another reason.
-    out = attach(out, live, {"norm_url": "norm_url", "application_url": "application_url"}, "_u1")
-    out = out.withColumn("_norm", c("norm_url"))
-    out = attach(out, live, {"norm_url": "norm_url", "_norm": "application_url"}, "_u2")
-    out = attach(out, recent, {"norm_url": "norm_url", "org_id": "org_id"}, "_u3")
-    out = attach(out, live, {"norm_url": "norm_url", "fingerprint": "fingerprint"}, "_u4")
-    out = attach(out, live, {"norm_url": "norm_url", "content_hash": "content_hash"}, "_u5")
-    out = attach(out, live, {"fingerprint": "fingerprint"}, "_fp")
-    out = attach(out, live, {"content_hash": "content_hash"}, "_ch")
-    by_url = F.least("_u1", "_u2", "_u3", "_u4", "_u5")  # ignores nulls
-    hit = F.coalesce(c("_key"), by_url, c("_fp"), c("_ch"))
-    rung = F.when(c("_key").isNotNull(), 1).when(by_url.isNotNull(), 2).when(c("_fp").isNotNull(), 3).when(c("_ch").isNotNull(), 4)
-    return out.select("posting_id", rung.alias("rung"), hit.alias("job_id")).where(c("job_id").isNotNull())
+def dedupe_exact(incoming: DataFrame, stored: DataFrame, links: DataFrame, now) -> DataFrame:
+    """(posting_id, rung, job_id): first rung with evidence — source key, URL, fingerprint, content hash — and its lowest job id.
+
+    All evidence of a row is stacked, so either side is shuffled once.  A stored URL counts when its raw form is one of
+    ours, or when the job is a candidate for another reason.
+    """
+    live = stored.where(c("archived_at").isNull())
+    url = c("norm_url")
+    recent = F.when(c("created_at") >= ts_lit(now) - days(R.CANDIDATE_WINDOW_DAYS), c("org_id"))
+    both = [_evidence(2, "fingerprint", url, c("fingerprint")), _evidence(2, "hash", url, c("content_hash")), _evidence(3, "fingerprint", c("fingerprint")), _evidence(4, "hash", c("content_hash"))]
+    theirs = F.array(_evidence(2, "raw", url, c("application_url")), _evidence(2, "org", url, recent), *both)
+    ours = F.array(_evidence(1, "key", c("external_key")), _evidence(2, "raw", url, c("application_url")), _evidence(2, "raw", url, url), _evidence(2, "org", url, c("org_id")), *both)
+    stack = lambda df, id_col, items: df.select(id_col, F.explode(F.array_distinct(items)).alias("e")).select(id_col, "e.*").where(c("key").isNotNull())
+    by_key = links.join(live.select("job_id"), "job_id", "left_semi").select("job_id", _evidence(1, "key", c("external_key")).alias("e")).select("job_id", "e.*").where(c("key").isNotNull())
+    best = stack(live, "job_id", theirs).unionByName(by_key).groupBy("rung", "kind", "key").agg(F.min("job_id").alias("job_id"))
+    hit = stack(incoming, "posting_id", ours).join(best, ["rung", "kind", "key"])
+    return hit.groupBy("posting_id").agg(F.min(F.struct("rung", "job_id")).alias("m")).select("posting_id", "m.rung", "m.job_id")
 
 
 # --- R3: similar titles inside an organisation --------------------------------------
 def _prefixes(titles: DataFrame, threshold: float) -> DataFrame:
-    """(title, kind, token): the rarest bigrams and words a title must share with any title that is similar enough."""
+    """(title, kind, token, pos, n): the rarest bigrams and words a title must share with any title that is similar enough, their place among its ``n`` features."""
     feats = titles.select("title", F.explode(F.concat(
         F.transform(T.numbered_bigrams(c("title")), lambda x: F.struct(F.lit("g").alias("kind"), x.alias("token"))),
         F.transform(T.tokens(c("title")), lambda x: F.struct(F.lit("w").alias("kind"), x.alias("token"))))).alias("f")).select("title", "f.kind", "f.token")
@@ -117,7 +100,7 @@ def _prefixes(titles: DataFrame, threshold: float) -> DataFrame:
     ordered = feats.join(common, ["kind", "token"]).groupBy("title", "kind").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("a"))
     share = F.when(c("kind") == "g", F.lit(threshold / (2 - threshold))).otherwise(F.lit(threshold))
     keep = F.size("a") - F.ceil(F.size("a") * share - 1e-9).cast("int") + 1
-    return ordered.select("title", "kind", F.explode(F.slice("a", F.lit(1), keep)).alias("x")).select("title", "kind", "x.token")
+    return ordered.select("title", "kind", F.size("a").alias("n"), F.posexplode(F.slice("a", F.lit(1), keep)).alias("pos", "x")).select("title", "kind", "x.token", "pos", "n")
 
 
 def similar_titles(left: DataFrame, right: DataFrame, threshold: float = R.REVIEW_SIMILARITY) -> DataFrame:
@@ -127,12 +110,13 @@ def similar_titles(left: DataFrame, right: DataFrame, threshold: float = R.REVIE
     filtering), equal titles are joined directly, and every candidate is verified.
     """
     lt, rt = (d.select("org_id", c("normalized_title").alias("title")).distinct() for d in (left, right))
-    pre = checkpointed(_prefixes(lt.select("title").unionByName(rt.select("title")).distinct(), threshold))
-    lp = lt.join(pre, "title").select("org_id", "kind", "token", c("title").alias("left_title"))
-    rp = rt.join(pre, "title").select("org_id", "kind", "token", c("title").alias("right_title"))
-    la, lb = F.length("left_title") - 1, F.length("right_title") - 1  # numbers of bigrams
-    room = F.lit(2.0) * F.least(la, lb) / (la + lb) >= threshold - 1e-9
-    found = lp.join(rp, ["org_id", "kind", "token"]).where((c("kind") == "w") | room).select("org_id", "left_title", "right_title").distinct()
+    pre = materialised(_prefixes(lt.select("title").unionByName(rt.select("title")).distinct(), threshold))
+    lp = lt.join(pre, "title").select("org_id", "kind", "token", c("title").alias("left_title"), c("pos").alias("lp"), c("n").alias("ln"))
+    rp = rt.join(pre, "title").select("org_id", "kind", "token", c("title").alias("right_title"), c("pos").alias("rp"), c("n").alias("rn"))
+    # Features that two similar titles share at least, against those that their sizes and the places of this one leave possible.
+    need = F.when(c("kind") == "w", threshold / (1 + threshold)).otherwise(threshold / 2) * (c("ln") + c("rn"))
+    room = F.least(c("ln") - c("lp"), c("rn") - c("rp")) >= need - 1e-9
+    found = lp.join(rp, ["org_id", "kind", "token"]).where(room).select("org_id", "left_title", "right_title").distinct()
     # Features are prepared once per title; a candidate pair only intersects two small arrays, and only once.
     def features(side: str) -> DataFrame:
         titles = (lt if side == "left" else rt).select("title").distinct()
@@ -154,8 +138,17 @@ def fuzzy_pool(stored: DataFrame, now) -> DataFrame:
     return stored.where(c("archived_at").isNull() & (c("created_at") >= ts_lit(now) - days(R.CANDIDATE_WINDOW_DAYS)))
 
 
-def _bucket(deadline: Column) -> Column:
-    return F.floor(F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), deadline) / F.lit(float(R.DEADLINE_WINDOW_DAYS * MICROS_PER_DAY)))
+def _day(deadline: Column) -> Column:
+    return F.unix_date(deadline.cast("date"))
+
+
+#: Days that lie inside the deadline window of every instant of day 0, and those that only some of it reaches.
+_INNER = list(range(1 - R.DEADLINE_WINDOW_DAYS, R.DEADLINE_WINDOW_DAYS))
+_EDGE = [-R.DEADLINE_WINDOW_DAYS, R.DEADLINE_WINDOW_DAYS]
+
+
+def _days(deadline: Column, offsets: list[int]) -> Column:
+    return F.explode(F.transform(F.array(*[F.lit(x) for x in offsets]), lambda i: _day(deadline) + i))
 
 
 def _lowest(df: DataFrame, keys: list[str], id_col: str, k: int, salts: int = 32) -> DataFrame:
@@ -174,13 +167,15 @@ def class_candidates(incoming: DataFrame, pool: DataFrame, titles: DataFrame, id
     theirs = pool.select("org_id", c("normalized_title").alias("right_title"), c("deadline").alias("d"), c(id_col).alias("job_id"))
     on = ["org_id", "right_title"]
     dated = theirs.where(c("d").isNotNull())
-    by_instant = _lowest(dated, on + ["d"], "job_id", k).withColumn("b", _bucket(c("d")))
+    by_day = _lowest(dated.withColumn("b", _day(c("d"))), on + ["b"], "job_id", k)
+    by_instant = _lowest(dated, on + ["d"], "job_id", k).withColumn("b", _day(c("d")))
     undated = _lowest(theirs.where(c("d").isNull()), on, "job_id", k)
     any_date = _lowest(theirs, on, "job_id", k)
     limit = R.DEADLINE_WINDOW_DAYS * MICROS_PER_DAY
     with_date = mine.where(c("deadline").isNotNull())
-    near = (with_date.withColumn("b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: _bucket(c("deadline")) + i)))
-            .join(by_instant, on + ["b"]).where(F.abs(F.timestamp_diff("MICROSECOND", "deadline", "d")) <= limit))
+    # Whole days need their lowest ids only; instants are compared on the two days at the window's ends.
+    near = (with_date.withColumn("b", _days(c("deadline"), _INNER)).join(by_day, on + ["b"])
+            .unionByName(with_date.withColumn("b", _days(c("deadline"), _EDGE)).join(by_instant, on + ["b"]).where(F.abs(F.timestamp_diff("MICROSECOND", "deadline", "d")) <= limit)))
     cols = ["org_id", c("left_title").alias("normalized_title"), "deadline", "job_id", "score", (c("deadline").isNotNull() & c("d").isNotNull()).alias("dated")]
     return (near.select(*cols).unionByName(with_date.join(undated, on).select(*cols))
             .unionByName(mine.where(c("deadline").isNull()).join(any_date, on).select(*cols)))
@@ -189,7 +184,7 @@ def class_candidates(incoming: DataFrame, pool: DataFrame, titles: DataFrame, id
 def review_candidates(incoming: DataFrame, stored: DataFrame, now, k: int = R.REVIEW_CANDIDATES) -> DataFrame:
     """Best k candidates per incoming class: score first, then the lowest job id."""
     pool = fuzzy_pool(stored, now)
-    cand = class_candidates(incoming, pool, checkpointed(similar_titles(incoming, pool)))
+    cand = class_candidates(incoming, pool, materialised(similar_titles(incoming, pool)))
     cls = ["org_id", "normalized_title", "deadline"]
     w = W.partitionBy(*cls).orderBy(c("score").desc(), c("job_id").asc())
     return cand.withColumn("rank", F.row_number().over(w)).where(c("rank") <= k)
@@ -208,9 +203,9 @@ def dedupe_decide(incoming: DataFrame, stored: DataFrame, links: DataFrame, now)
     reviews(posting_id, job_id, score, rank): up to three candidates of every created posting.
     """
     # Both intermediate results feed several outputs, so they are materialised once.
-    exact = checkpointed(dedupe_exact(incoming, stored, links, now))
+    exact = materialised(dedupe_exact(incoming, stored, links, now))
     rest = incoming.join(exact.select("posting_id"), "posting_id", "left_anti")
-    listed = checkpointed(_class_join(rest.select("posting_id", "org_id", "normalized_title", "deadline"), review_candidates(rest, stored, now), "left"))
+    listed = materialised(_class_join(rest.select("posting_id", "org_id", "normalized_title", "deadline"), review_candidates(rest, stored, now), "left"))
     best = c("rank") == 1
     merged = listed.where(best & (c("score") >= R.AUTO_MERGE_SIMILARITY) & c("dated")).select("posting_id", F.lit("merge").alias("action"), "job_id", "score")
     known = exact.select("posting_id", F.when(c("rung") == 1, "same-source").otherwise("merge").alias("action"), "job_id", F.lit(1.0).alias("score"))
@@ -221,8 +216,10 @@ def dedupe_decide(incoming: DataFrame, stored: DataFrame, links: DataFrame, now)
 
 
 # --- R5–R7, R9, R13: writing the decisions --------------------------------------------
-OWNED = ["title", "department", "deadline", "application_url", "salary", "vacancies", "education_disciplines", "min_cgpa", "masters_required",
-         "no_third_division", "min_experience_years", "max_experience_years", "age_limit", "requirements_parsed"]
+#: Columns of a job that its owning source writes.
+OWNED = ["title", "normalized_title", "department", "category", "secondary_categories", "level", "summary", "responsibilities", "required_skills", "preferred_skills", "education_disciplines", "discipline_note",
+         "min_cgpa", "ssc_hsc_requirement", "min_ssc_gpa", "min_hsc_gpa", "masters_required", "no_third_division", "min_experience_years", "max_experience_years", "age_limit", "banking_experience_preferred",
+         "requirements_parsed", "location", "work_mode", "employment_type", "salary", "vacancies", "published_at", "deadline", "application_url", "content_hash", "fingerprint"]
 REQUIREMENTS = ["education_disciplines", "min_cgpa", "masters_required", "no_third_division", "min_experience_years", "max_experience_years", "age_limit"]
 
 
@@ -271,36 +268,72 @@ def link_upsert(links: DataFrame, seen: DataFrame, now) -> DataFrame:
         F.when(hit, t).otherwise(c("last_seen_at")).alias("last_seen_at"))
 
 
-def job_key(*parts: Column) -> Column:
-    """Deterministic surrogate id: the same posting always becomes the same job."""
-    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)
+def _hashed_id(key: Column, attempt: int) -> Column:
+    text = F.concat(key, F.lit(f"#{attempt}")) if attempt else key
+    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
 
 
-def create_jobs(incoming: DataFrame, decisions: DataFrame, now) -> DataFrame:
-    """Canonical rows for created postings, with their status at birth; ``manual`` and ``review_status`` come from the submission options."""
-    new = incoming.join(decisions.where(c("action") == "create").select("posting_id"), "posting_id", "left_semi")
-    review = F.coalesce("review_status", F.lit("APPROVED")) if "review_status" in new.columns else F.lit("APPROVED")
-    manual = F.coalesce("manual", F.lit(False)) if "manual" in new.columns else F.lit(False)
-    t = ts_lit(now)
+def new_job_ids(keys: DataFrame, stored: DataFrame) -> DataFrame:
+    """(external_key, job_id): a number for each distinct key, the same whenever the key is met, and never one that a stored job or another key has.
+
+    60 bits of the key's hash; where they are taken, the keys but the first take those of their next hash.
+    """
+    todo, taken, out, attempt = keys.select("external_key").distinct(), stored.select("job_id"), None, 0
+    while True:
+        tried = todo.withColumn("job_id", _hashed_id(c("external_key"), attempt))
+        first = tried.groupBy("job_id").agg(F.min("external_key").alias("external_key")).join(taken, "job_id", "left_anti").select("external_key", "job_id")
+        first = materialised(first)
+        out = first if out is None else out.unionByName(first)
+        todo = todo.join(first, "external_key", "left_anti")
+        if todo.isEmpty():
+            return out
+        taken, attempt = taken.unionByName(first.select("job_id")), attempt + 1
+
+
+def settle(incoming: DataFrame, decisions: DataFrame, stored: DataFrame) -> DataFrame:
+    """Decisions in which every posting has a job: of the created ones, the first of each duplicate group keeps ``create`` and the new job's number, the others update or merge into it."""
+    created = incoming.join(decisions.where(c("action") == "create").select("posting_id"), "posting_id", "left_semi")
+    roots = materialised(resolve_batch(created.withColumnRenamed("posting_id", "seq")))
+    keyed = created.select(c("posting_id").alias("seq"), "external_key").join(roots, "seq")
+    root_key = keyed.where(c("seq") == c("root")).select("root", c("external_key").alias("root_key"))
+    ids = new_job_ids(root_key.select(c("root_key").alias("external_key")), stored)
+    made = keyed.join(root_key, "root").join(ids.select(c("external_key").alias("root_key"), "job_id"), "root_key")
+    action = F.when(c("seq") == c("root"), "create").when(c("external_key") == c("root_key"), "same-source").otherwise("merge")
+    return decisions.where(c("action") != "create").select("posting_id", "action", "job_id").unionByName(made.select(c("seq").alias("posting_id"), action.alias("action"), "job_id"))
+
+
+def create_jobs(incoming: DataFrame, settled: DataFrame, orgs: DataFrame, now) -> DataFrame:
+    """Whole canonical rows of created jobs, with their status at birth.
+
+    ``incoming`` holds the enriched columns and source_name, source_url, source_job_id; ``manual``, ``review_status``, ``is_demo`` and ``submitted_by`` come from the submission options.
+    """
+    new = incoming.join(settled.where(c("action") == "create").select("posting_id", "job_id"), "posting_id").join(orgs.select("org_id", F.coalesce("short_name", "name").alias("_org")), "org_id")
+    option = lambda name, default: F.coalesce(name, default) if name in new.columns else default
+    review, manual, t = option("review_status", F.lit("APPROVED")), option("manual", F.lit(False)), ts_lit(now)
     status = status_column(now, missing=F.lit(0), review=review, verified=t, discovered=t, manual=manual)
-    slug = F.concat(T.slugify(F.concat_ws(" ", "org_slug", "title")), F.lit("-"), F.substring(F.sha2(c("external_key"), 256), 1, 6))
-    return new.select(job_key(c("external_key")).alias("new_job_id"), "posting_id", slug.alias("slug"), "title", "normalized_title", "org_id", "deadline", "application_url",
-                      "fingerprint", "content_hash", "external_key", review.alias("review_status"), status.alias("status"), t.alias("first_discovered_at"))
+    slug = F.concat(T.slugify(F.concat_ws(" ", "_org", "title")), F.lit("-"), F.lower(F.hex("job_id")))
+    return new.select("job_id", "posting_id", slug.alias("slug"), "org_id", *OWNED, "source_name", "source_url", "source_job_id", "external_key", t.alias("first_discovered_at"), t.alias("last_verified_at"),
+                      F.lit(0).alias("missing_runs"), review.alias("review_status"), option("is_demo", F.lit(False)).alias("is_demo"), option("submitted_by", F.lit(None).cast("long")).alias("submitted_by"), status.alias("status"))
 
 
 def ingest_submissions(submissions: DataFrame, stored: DataFrame, links: DataFrame, now) -> DataFrame:
-    """(posting_id, outcome, job_id): entries by administrators (trusted) and by the community.
+    """(posting_id, outcome, job_id, review_status, linked): entries by administrators (``trusted``) and by the community.
 
-    A community entry that is already listed adds nothing; a trusted one attaches its link or updates the job.
+    A community entry has to be a technology role, adds nothing where its job is already listed, and waits for review (PENDING);
+    a trusted one passes the gate, is APPROVED, and attaches its link or updates the job.  Entries of one batch that are the same job count in order.
     """
-    decisions, _ = dedupe_decide(prepare_incoming(submissions), stored, links, now)
-    return submission_outcomes(submissions, decisions)
-
-
-def submission_outcomes(submissions: DataFrame, decisions: DataFrame) -> DataFrame:
-    d = submissions.select("posting_id", "trusted").join(decisions, "posting_id")
-    outcome = (F.when(c("action") == "create", "created").when(~c("trusted"), "already listed").when(c("action") == "same-source", "updated").otherwise("merged"))
-    return d.select("posting_id", outcome.alias("outcome"), "job_id")
+    from .enrich import is_tech_job
+    low = [F.lower(F.coalesce(c(n), F.lit(""))) for n in ("title", "department", "summary")]
+    rows = submissions.withColumn("_ok", c("trusted") | is_tech_job(*low))
+    ready = materialised(prepare_incoming(rows.where("_ok")))
+    decisions, _ = dedupe_decide(ready, stored, links, now)
+    settled = settle(ready, decisions, stored)
+    d = ready.select("posting_id", "trusted").join(settled, "posting_id")
+    outcome = F.when(c("action") == "create", "created").when(~c("trusted"), "already listed").when(c("action") == "same-source", "updated").otherwise("merged")
+    review = F.when(c("action") == "create", F.when(c("trusted"), "APPROVED").otherwise("PENDING"))
+    done = d.select("posting_id", outcome.alias("outcome"), "job_id", review.alias("review_status"), (c("trusted") | (c("action") == "create")).alias("linked"))
+    skipped = rows.where("NOT _ok").select("posting_id", F.lit("not a technology role").alias("outcome"), F.lit(None).cast("bigint").alias("job_id"), F.lit(None).cast("string").alias("review_status"), F.lit(False).alias("linked"))
+    return done.unionByName(skipped)
 
 
 # --- R8: duplicates inside one batch -----------------------------------------------------
@@ -309,24 +342,24 @@ def batch_parents(rows: DataFrame) -> DataFrame:
 
     ``rows`` carry ``seq`` (the arrival order) and the keys of :func:`prepare_incoming`.
     """
-    out = rows
-    for i, key in enumerate(RUNGS):
-        first = rows.where(c(key).isNotNull()).groupBy(key).agg(F.min("seq").alias(f"_f{i}"))
-        out = out.join(first, key, "left")
-    earlier = F.coalesce(*[F.when(c(f"_f{i}") < c("seq"), c(f"_f{i}")) for i in range(len(RUNGS))])
-    out = checkpointed(out.withColumn("parent", earlier))
+    keys = F.array(*[F.struct(F.lit(i).alias("rung"), c(k).alias("key")) for i, k in enumerate(RUNGS)])
+    evidence = rows.select("seq", F.explode(keys).alias("e")).select("seq", "e.rung", "e.key").where(c("key").isNotNull())
+    first = evidence.groupBy("rung", "key").agg(F.min("seq").alias("first"))
+    earlier = evidence.join(first, ["rung", "key"]).where(c("first") < c("seq")).groupBy("seq").agg(F.min(F.struct("rung", "first")).alias("m")).select("seq", c("m.first").alias("parent"))
+    out = materialised(rows.select("seq", "org_id", "normalized_title", "deadline").join(earlier, "seq", "left"))
     rest = out.where(c("parent").isNull())  # at most one row per fingerprint
-    titles = checkpointed(similar_titles(rest, rows))
+    titles = materialised(similar_titles(rest, rows))
     # A row may only look back, so a class is represented by its first row.
     pool = rows.groupBy("org_id", "normalized_title", "deadline").agg(F.min("seq").alias("seq"))
     mine = rest.select("seq", "org_id", c("normalized_title").alias("left_title"), "deadline").join(titles, ["org_id", "left_title"])
     theirs = pool.select("org_id", c("normalized_title").alias("right_title"), c("deadline").alias("d"), c("seq").alias("other"))
     limit = R.DEADLINE_WINDOW_DAYS * MICROS_PER_DAY
-    step = F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: _bucket(c("deadline")) + i))
     on = ["org_id", "right_title"]
     dated = mine.where(c("deadline").isNotNull())
-    near = (dated.withColumn("b", step).join(theirs.where(c("d").isNotNull()).withColumn("b", _bucket(c("d"))), on + ["b"])
-            .where(F.abs(F.timestamp_diff("MICROSECOND", "deadline", "d")) <= limit))
+    by_instant = theirs.where(c("d").isNotNull()).withColumn("b", _day(c("d")))
+    by_day = by_instant.groupBy(*on, "b").agg(F.min("other").alias("other"), F.min("d").alias("d"))
+    near = (dated.withColumn("b", _days(c("deadline"), _INNER)).join(by_day, on + ["b"])
+            .unionByName(dated.withColumn("b", _days(c("deadline"), _EDGE)).join(by_instant, on + ["b"]).where(F.abs(F.timestamp_diff("MICROSECOND", "deadline", "d")) <= limit)))
     blank = dated.join(theirs.where(c("d").isNull()), on)
     cols = ["seq", "other", "score", c("d").isNotNull().alias("both")]
     cand = near.select(*cols).unionByName(blank.select(*cols)).where(c("other") < c("seq"))
@@ -335,20 +368,25 @@ def batch_parents(rows: DataFrame) -> DataFrame:
     return out.select("seq", "parent").join(fuzzy, "seq", "left").select("seq", F.coalesce("parent", "near", "seq").alias("parent"))
 
 
-def resolve_batch(rows: DataFrame, max_rounds: int = 64) -> DataFrame:
+def resolve_batch(rows: DataFrame) -> DataFrame:
     """(seq, root): the canonical row of every row of a batch.
 
-    Pointers are doubled until none moves, so a chain of n rows takes log2(n) rounds; each round is
-    checkpointed to shared storage, which cuts the lineage and survives the loss of executors.
+    Pointers are doubled until every row has reached its root, so a chain of n rows takes log2(n) rounds, and rows that have
+    reached it rest.  Each round is a table in shared storage, which cuts the lineage and survives the loss of executors.
     """
-    p = checkpointed(batch_parents(rows))
-    for _ in range(max_rounds):
-        step = p.alias("a").join(p.select(c("seq").alias("_s"), c("parent").alias("_p")), c("a.parent") == c("_s")).select("seq", c("_p").alias("parent"), (c("_p") != c("a.parent")).alias("moved"))
-        step = checkpointed(step)
-        p = step.select("seq", "parent")
-        if step.where("moved").isEmpty():
-            break
-    return p.select("seq", c("parent").alias("root"))
+    p = materialised(batch_parents(rows))
+    done = p.where(c("seq") == c("parent")).withColumnRenamed("parent", "root")
+    moving, found = p.where(c("seq") != c("parent")), None  # found: those whose root is known
+    while not moving.isEmpty():
+        known = moving.select(c("seq").alias("_s"), c("parent").alias("_p"), F.lit(False).alias("_end"))
+        if found is not None:
+            known = known.unionByName(found.select(c("seq").alias("_s"), c("root").alias("_p"), F.lit(True).alias("_end")))
+        # A parent that is in neither is a root itself.
+        step = materialised(moving.join(known, c("parent") == c("_s"), "left").select("seq", F.coalesce("_p", "parent").alias("parent"), F.coalesce("_end", F.lit(True)).alias("_end")))
+        ended = step.where("_end").select("seq", c("parent").alias("root"))
+        found = ended if found is None else found.unionByName(ended)
+        moving = step.where("NOT _end").select("seq", "parent")
+    return done if found is None else done.unionByName(found)
 
 
 # --- R10–R12 ---------------------------------------------------------------------------
@@ -376,19 +414,31 @@ def apply_merge(resolved: DataFrame, links: DataFrame, saved: DataFrame, applica
             "jobs": jobs.join(m.select(c("drop").alias("job_id")), "job_id", "left_anti")}
 
 
+#: Columns that an administrator may set.
+EDITABLE = ["title", "department", "category", "level", "summary", "location", "work_mode", "salary", "vacancies", "deadline", "application_url", "education_disciplines", "min_cgpa", "masters_required", "no_third_division",
+            "min_experience_years", "max_experience_years", "age_limit", "required_skills", "preferred_skills"]
+
+
 def apply_edits(jobs: DataFrame, edits: DataFrame, links: DataFrame, orgs: DataFrame, now) -> DataFrame:
-    """Edited jobs.  ``edits(job_id, edited_at, title?, deadline?, decision?, toggle_archive?)``: the latest edit per job counts."""
+    """Edited jobs, with ``rescore`` for those whose matches are to be computed anew and ``announce`` for newly approved ones.
+
+    ``edits(job_id, edited_at, edited, decision?, toggle_archive?, <editable columns>)``: the latest edit of a job counts.  Where ``edited`` is true, all editable columns that
+    ``edits`` has are set, to null too; the others stay.  A review or archive step alone leaves fingerprint and status as they are, unless it approves.
+    """
+    from .enrich import requirements_parsed
     from .lifecycle import manual_flags
     last = edits.groupBy("job_id").agg(F.max_by(F.struct(*[x for x in edits.columns if x != "job_id"]), "edited_at").alias("e"))
-    j = jobs.join(last, "job_id").join(manual_flags(links), "job_id", "left").join(orgs.select("org_id", c("slug").alias("org_slug")), "org_id")
+    j = jobs.drop("org_slug").join(last, "job_id").join(manual_flags(links), "job_id", "left").join(orgs.select("org_id", c("slug").alias("org_slug")), "org_id")
+    edited, approved = F.coalesce("e.edited", F.lit(False)), F.coalesce(c("e.decision") == "approve", F.lit(False))
+    j = j.withColumns({x: F.when(edited, c(f"e.{x}")).otherwise(c(x)) for x in EDITABLE if x in edits.columns})
+    parsed = requirements_parsed(c("education_disciplines"), c("min_cgpa"), c("masters_required"), c("min_experience_years"), c("age_limit"), c("no_third_division"))
+    recheck = edited | approved
     j = j.withColumns({
-        "title": F.coalesce("e.title", "title"), "deadline": F.when(c("e.title").isNotNull(), c("e.deadline")).otherwise(c("deadline")),
-        "review_status": F.when(c("e.decision") == "approve", "APPROVED").when(c("e.decision") == "reject", "REJECTED").otherwise(c("review_status")),
-        "archived_at": F.when(c("e.toggle_archive"), F.when(c("archived_at").isNull(), ts_lit(now))).otherwise(c("archived_at"))})
-    recheck = c("e.title").isNotNull() | F.coalesce(c("e.decision") == "approve", F.lit(False))
-    j = j.withColumn("last_verified_at", F.when(c("e.title").isNotNull() | c("e.decision").isNotNull(), ts_lit(now)).otherwise(c("last_verified_at")))
-    j = j.withColumn("normalized_title", T.normalize_title(c("title")))
+        "requirements_parsed": F.when(edited, parsed).otherwise(c("requirements_parsed")), "normalized_title": F.when(recheck, T.normalize_title(c("title"))).otherwise(c("normalized_title")),
+        "review_status": F.when(approved, "APPROVED").when(c("e.decision") == "reject", "REJECTED").otherwise(c("review_status")),
+        "archived_at": F.when(c("e.toggle_archive"), F.when(c("archived_at").isNull(), ts_lit(now))).otherwise(c("archived_at")),
+        "last_verified_at": F.when(edited | c("e.decision").isNotNull(), ts_lit(now)).otherwise(c("last_verified_at"))})
     manual = ~F.coalesce("sourced", F.lit(False))
     return j.withColumns({
-        "fingerprint": F.when(recheck, T.job_fingerprint(c("org_slug"), c("normalized_title"), c("deadline"))),
-        "status": F.when(recheck, status_column(now, manual=manual)).otherwise(c("status")), "rescore": recheck}).drop("e", "sourced")
+        "fingerprint": F.when(recheck, T.job_fingerprint(c("org_slug"), c("normalized_title"), c("deadline"))).otherwise(c("fingerprint")),
+        "status": F.when(recheck, status_column(now, manual=manual)).otherwise(c("status")), "rescore": recheck, "announce": approved}).drop("e", "sourced", "org_slug")

@@ -5,14 +5,16 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..operators import resolve as X
 from . import sqltext as Q
+from .q_enrich import tech_sql
 from .q_lifecycle import status_sql
-from ..sources.tables import spread
+from ..sources.tables import materialised, spread
 from .core import register
 from .views import NOW
 
 c = F.col
 
-_STORED = "SELECT j.*, concat('org-', cast(org_id as $STR$)) AS org_slug, CASE WHEN job_id % 8 = 3 THEN concat('stale-', cast(job_id as $STR$)) END AS stale FROM {v_jobs} j"
+_STORED = """SELECT j.*, concat('org-', cast(org_id as $STR$)) AS org_slug, CASE WHEN job_id % 8 = 3 THEN concat('stale-', cast(job_id as $STR$)) END AS stale,
+  CASE WHEN job_id % 3 = 1 THEN required_skills ELSE $EMPTY$ END AS responsibilities, CASE WHEN job_id % 4 = 1 THEN concat('note ', cast(job_id as $STR$)) END AS discipline_note, CASE WHEN job_id % 5 = 1 THEN 'both' END AS ssc_hsc_requirement FROM {v_jobs} j"""
 NT, NU = Q.normalize_title("title"), Q.normalize_url("application_url")
 _FP = Q.fingerprint("org_slug", "normalized_title", "deadline")
 _CH = Q.content_hash("org_slug", "title", "department", "summary", Q.iso_utc("deadline"))
@@ -24,15 +26,11 @@ _CTE = f"""WITH st AS (SELECT *, coalesce(stale, {_FP}) AS fingerprint, {_CH} AS
   lk AS (SELECT l.* FROM {{v_links}} l JOIN live USING (job_id)), """
 
 
-_MEMO: dict = {}
-
-
 def _once(t, name, build):
-    """Materialise an intermediate table once per session and data folder; later queries read it."""
-    key = (t.spark.sparkContext.applicationId, t.sf_dir, name)
-    if key not in _MEMO:
-        _MEMO[key] = build()
-    return _MEMO[key]
+    """Intermediate tables of one query, made once for it."""
+    if name not in t.__dict__:
+        t.__dict__[name] = build()
+    return t.__dict__[name]
 
 
 def stored(t):
@@ -40,19 +38,23 @@ def stored(t):
 
     def build():
         k = X.with_keys(t.spark.sql(_fill(_STORED, "spark"), v_jobs=spread(t.v_jobs)))
-        return X.checkpointed(k.withColumn("fingerprint", F.coalesce("stale", "fingerprint")).drop("stale"))
-    return _once(t, "stored", build)
+        return materialised(k.withColumn("fingerprint", F.coalesce("stale", "fingerprint")).drop("stale"))
+    return _once(t, "_stored", build)
 
 
 def incoming(t):
-    return _once(t, "incoming", lambda: X.checkpointed(X.prepare_incoming(spread(t.v_postings0))))
+    return _once(t, "_incoming", lambda: materialised(X.prepare_incoming(spread(t.v_postings0))))
 
 
 def decided(t):
     def build():
         d, r = X.dedupe_decide(incoming(t), stored(t), t.v_links, NOW)
-        return X.checkpointed(d), r
-    return _once(t, "decided", build)
+        return materialised(d), r
+    return _once(t, "_decided", build)
+
+
+def settled(t):
+    return _once(t, "_settled", lambda: materialised(X.settle(incoming(t), decided(t)[0], stored(t))))
 
 
 @register("dup_candidates", _CTE + """kk AS (SELECT external_key, count(*) AS n, min(job_id) AS j FROM lk GROUP BY 1), ff AS (SELECT fingerprint, count(*) AS n, min(job_id) AS j FROM live GROUP BY 1),
@@ -82,15 +84,15 @@ def _grams(x):
     return f"list_transform({g}, lambda y, i: y || len(list_filter(({g})[1:i], lambda z: z = y)))"
 
 
-def titles_sql(left, right, t=R.REVIEW_SIMILARITY):
-    """CTEs ending in ``tp(org_id, lt, rt, score)``."""
-    return f"""tl AS (SELECT DISTINCT org_id, normalized_title AS t FROM {left}), tr AS (SELECT DISTINCT org_id, normalized_title AS t FROM {right}),
-  tf AS MATERIALIZED (SELECT t, {_grams('t')} AS g, list_distinct(list_filter(string_split(t, ' '), lambda x: x <> '')) AS w FROM (SELECT t FROM tl UNION SELECT t FROM tr) q),
-  tq AS (SELECT DISTINCT tl.t AS lt, tr.t AS rt FROM tl JOIN tr USING (org_id)),
-  ts AS (SELECT lt, rt, CASE WHEN lt = rt THEN 1.0 ELSE greatest(CASE WHEN length(lt) < 2 OR length(rt) < 2 THEN 0.0 ELSE 2.0::double * len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g)) END,
+def titles_sql(left, right, t=R.REVIEW_SIMILARITY, p="t"):
+    """CTEs ending in ``<p>p(org_id, lt, rt, score)``."""
+    return f"""{p}l AS (SELECT DISTINCT org_id, normalized_title AS t FROM {left}), {p}r AS (SELECT DISTINCT org_id, normalized_title AS t FROM {right}),
+  {p}f AS MATERIALIZED (SELECT t, {_grams('t')} AS g, list_distinct(list_filter(string_split(t, ' '), lambda x: x <> '')) AS w FROM (SELECT t FROM {p}l UNION SELECT t FROM {p}r) q),
+  {p}q AS (SELECT DISTINCT {p}l.t AS lt, {p}r.t AS rt FROM {p}l JOIN {p}r USING (org_id)),
+  {p}s AS (SELECT lt, rt, CASE WHEN lt = rt THEN 1.0 ELSE greatest(CASE WHEN length(lt) < 2 OR length(rt) < 2 THEN 0.0 ELSE 2.0::double * len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g)) END,
       CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0.0 ELSE len(list_intersect(a.w, b.w))::double / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) END) END AS score
-    FROM tq JOIN tf a ON a.t = lt JOIN tf b ON b.t = rt),
-  tp AS MATERIALIZED (SELECT tl.org_id, lt, rt, score FROM tl JOIN ts ON ts.lt = tl.t JOIN tr ON tr.org_id = tl.org_id AND tr.t = ts.rt WHERE score >= {t})"""
+    FROM {p}q JOIN {p}f a ON a.t = lt JOIN {p}f b ON b.t = rt),
+  {p}p AS MATERIALIZED (SELECT {p}l.org_id, lt, rt, score FROM {p}l JOIN {p}s ON {p}s.lt = {p}l.t JOIN {p}r ON {p}r.org_id = {p}l.org_id AND {p}r.t = {p}s.rt WHERE score >= {t})"""
 
 
 @register("dedupe_fuzzy", _CTE + titles_sql("ic", "recent") + " SELECT org_id, lt AS left_title, rt AS right_title, round(score, 6) AS score FROM tp")
@@ -123,42 +125,48 @@ def _(t):
     return r.withColumn("score", F.round("score", 6))
 
 
-# Enriched columns of the incoming rows, for survivorship.
-_EXTRA = """SELECT p.posting_id, CASE WHEN j.job_id % 16 = 0 THEN j.source_name ELSE 'Another portal' END AS source_name, CASE WHEN j.job_id % 3 = 0 THEN '' ELSE 'BDT 1' END AS salary, cast(j.job_id % 3 as int) AS vacancies,
-  j.education_disciplines, j.min_cgpa, j.masters_required, j.no_third_division, j.min_experience_years, j.max_experience_years, j.age_limit, j.job_id % 2 = 0 AS requirements_parsed
-  FROM {v_postings0} p JOIN {v_jobs} j ON j.job_id = (p.posting_id + 1)"""
+# Enriched columns of the incoming rows: those of the job after the one a posting was made from, so that most differ from the stored ones.
+_OWN_KEYS = ["title", "normalized_title", "department", "summary", "deadline", "application_url", "fingerprint", "content_hash"]
+_NESTED = ["secondary_categories", "responsibilities", "required_skills", "preferred_skills", "education_disciplines"]
+_EXTRA = f"""SELECT p.posting_id, CASE WHEN j.job_id % 16 = 0 THEN j.source_name ELSE 'Another portal' END AS source_name, CASE WHEN j.job_id % 3 = 0 THEN '' ELSE 'BDT 1' END AS salary, cast(j.job_id % 3 as int) AS vacancies,
+  j.required_skills AS responsibilities, concat('seen ', cast(j.job_id as $STR$)) AS discipline_note, cast(NULL as $STR$) AS ssc_hsc_requirement, j.job_id % 2 = 0 AS requirements_parsed,
+  {', '.join('j.' + x for x in X.OWNED if x not in [*_OWN_KEYS, 'salary', 'vacancies', 'responsibilities', 'discipline_note', 'ssc_hsc_requirement', 'requirements_parsed'])}
+  FROM {{v_postings0}} p JOIN {{v_jobs}} j ON j.job_id = (p.posting_id + 1)"""
+
+
+def _extra(t):
+    from .views import _fill
+    return t.spark.sql(_fill(_EXTRA, "spark"), v_postings0=t.v_postings0, v_jobs=t.v_jobs)
 
 
 def _matched(t):
-    i = incoming(t)
     d, _r = decided(t)
-    extra = t.spark.sql(_EXTRA, v_postings0=t.v_postings0, v_jobs=t.v_jobs)
-    return i.join(d.where(c("action") != "create").select("posting_id", "action", "job_id"), "posting_id").join(extra, "posting_id")
+    return incoming(t).join(d.where(c("action") != "create").select("posting_id", "action", "job_id"), "posting_id").join(_extra(t), "posting_id")
 
 
-_MSQL = _DECIDE + f""", me AS (SELECT ic.posting_id, de.action, de.job_id, e.*  EXCLUDE (posting_id), ic.title, ic.department, ic.deadline, ic.application_url FROM ic JOIN de USING (posting_id) JOIN ({_EXTRA}) e USING (posting_id) WHERE action <> 'create'),
+_FILLED = {"deadline": "IS NOT NULL", "application_url": "<> ''", "salary": "<> ''", "vacancies": "<> 0"}
+_MSQL = _DECIDE + f""", me AS (SELECT ic.posting_id, de.action, de.job_id, e.* EXCLUDE (posting_id), {', '.join('ic.' + x for x in _OWN_KEYS)} FROM ic JOIN de USING (posting_id) JOIN ({_EXTRA}) e USING (posting_id) WHERE action <> 'create'),
   mo AS (SELECT me.*, me.action = 'same-source' AND me.source_name = st.source_name AS owns, coalesce(me.deadline <> st.deadline, false) AS changed FROM me JOIN st USING (job_id)),
   ow AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY posting_id DESC) AS r FROM mo WHERE owns) z WHERE r = 1),
-  fi AS (SELECT job_id, arg_min(deadline, posting_id) FILTER (NOT owns AND deadline IS NOT NULL) AS deadline, arg_min(application_url, posting_id) FILTER (NOT owns AND application_url <> '') AS application_url,
-    arg_min(salary, posting_id) FILTER (NOT owns AND salary <> '') AS salary, arg_min(vacancies, posting_id) FILTER (NOT owns AND vacancies <> 0) AS vacancies, bool_or(changed) AS changed,
+  fi AS (SELECT job_id, {', '.join(f"arg_min({x}, posting_id) FILTER (NOT owns AND {x} {test}) AS f_{x}" for x, test in _FILLED.items())}, bool_or(changed) AS changed,
     min(posting_id) FILTER (NOT owns AND requirements_parsed) AS req FROM mo GROUP BY 1),
-  b AS (SELECT st.job_id, st.review_status, st.first_discovered_at, st.deadline AS old_deadline, fi.changed, ow.job_id IS NOT NULL AS owned, fi.req, fi.deadline AS f_deadline, fi.application_url AS f_url, fi.salary AS f_salary, fi.vacancies AS f_vac,
-    CASE WHEN ow.job_id IS NOT NULL THEN ow.title ELSE st.title END AS title, CASE WHEN ow.job_id IS NOT NULL THEN ow.deadline ELSE st.deadline END AS deadline,
-    CASE WHEN ow.job_id IS NOT NULL THEN ow.application_url ELSE st.application_url END AS application_url, CASE WHEN ow.job_id IS NOT NULL THEN ow.salary ELSE st.salary END AS salary,
-    CASE WHEN ow.job_id IS NOT NULL THEN ow.vacancies ELSE st.vacancies END AS vacancies, CASE WHEN ow.job_id IS NOT NULL THEN ow.min_cgpa ELSE st.min_cgpa END AS min_cgpa,
-    CASE WHEN ow.job_id IS NOT NULL THEN ow.age_limit ELSE st.age_limit END AS age_limit, CASE WHEN ow.job_id IS NOT NULL THEN ow.requirements_parsed ELSE st.requirements_parsed END AS parsed
+  b AS (SELECT st.job_id, st.review_status, st.first_discovered_at, st.deadline AS old_deadline, fi.* EXCLUDE (job_id), {', '.join(f"CASE WHEN ow.job_id IS NOT NULL THEN ow.{x} ELSE st.{x} END AS {x}" for x in X.OWNED)}
     FROM fi JOIN st USING (job_id) LEFT JOIN ow USING (job_id)),
-  g AS (SELECT b.job_id, b.title, coalesce(b.deadline, f_deadline) AS deadline, coalesce(coalesce(b.deadline, f_deadline), old_deadline) AS next_deadline, CASE WHEN coalesce(b.application_url, '') = '' THEN coalesce(f_url, b.application_url) ELSE b.application_url END AS application_url,
-    CASE WHEN coalesce(b.salary, '') = '' THEN coalesce(f_salary, b.salary) ELSE b.salary END AS salary, CASE WHEN coalesce(b.vacancies, 0) = 0 THEN coalesce(f_vac, b.vacancies) ELSE b.vacancies END AS vacancies,
-    CASE WHEN NOT parsed AND req IS NOT NULL THEN q.min_cgpa ELSE b.min_cgpa END AS min_cgpa, CASE WHEN NOT parsed AND req IS NOT NULL THEN q.age_limit ELSE b.age_limit END AS age_limit,
-    parsed OR req IS NOT NULL AS requirements_parsed, b.changed AS deadline_changed, b.review_status, b.first_discovered_at FROM b LEFT JOIN mo q ON q.posting_id = b.req) """
+  g AS (SELECT b.job_id, b.review_status, b.first_discovered_at, b.changed AS deadline_changed, coalesce(b.deadline, f_deadline, old_deadline) AS next_deadline,
+    coalesce(b.deadline, f_deadline) AS deadline, CASE WHEN coalesce(b.application_url, '') = '' THEN coalesce(f_application_url, b.application_url) ELSE b.application_url END AS application_url,
+    CASE WHEN coalesce(b.salary, '') = '' THEN coalesce(f_salary, b.salary) ELSE b.salary END AS salary, CASE WHEN coalesce(b.vacancies, 0) = 0 THEN coalesce(f_vacancies, b.vacancies) ELSE b.vacancies END AS vacancies,
+    {', '.join(f"CASE WHEN NOT b.requirements_parsed AND req IS NOT NULL THEN q.{x} ELSE b.{x} END AS {x}" for x in X.REQUIREMENTS)}, b.requirements_parsed OR req IS NOT NULL AS requirements_parsed,
+    {', '.join('b.' + x for x in X.OWNED if x not in [*_FILLED, *X.REQUIREMENTS, 'requirements_parsed'])} FROM b LEFT JOIN mo q ON q.posting_id = b.req) """
+_SHOWN = ", ".join(f"array_to_string({x}, ',') AS {x}" if x in _NESTED else x for x in X.OWNED)
+
 
+def _shown(df, *others):
+    return df.select(*others, *[F.array_join(x, ",").alias(x) if x in _NESTED else c(x) for x in X.OWNED])
 
-@register("merge_survivorship", _MSQL + f"""SELECT job_id, title, deadline, application_url, salary, vacancies, min_cgpa, age_limit, requirements_parsed, deadline_changed,
-  {status_sql(deadline='next_deadline', missing='0', verified='$NOW$')} AS status FROM g""")
+
+@register("merge_survivorship", _MSQL + f"""SELECT job_id, deadline_changed, {status_sql(deadline='next_deadline', missing='0', verified='$NOW$')} AS status, {_SHOWN} FROM g""")
 def _(t):
-    m = X.merge_survivorship(stored(t), _matched(t), NOW)
-    return m.select("job_id", "title", "deadline", "application_url", "salary", "vacancies", "min_cgpa", "age_limit", "requirements_parsed", "deadline_changed", "status")
+    return _shown(X.merge_survivorship(stored(t), _matched(t), NOW), "job_id", "deadline_changed", "status")
 
 
 @register("deadline_changed", _DECIDE + """ SELECT posting_id, job_id, coalesce(ic.deadline <> st.deadline, false) AS changed FROM de JOIN ic USING (posting_id) JOIN st USING (job_id)""")
@@ -169,30 +177,6 @@ def _(t):
     return new.select("posting_id", "job_id", F.coalesce(c("n") != c("o"), F.lit(False)).alias("changed"))
 
 
-@register("link_upsert", _DECIDE + """, se AS (SELECT external_key, arg_min(coalesce(de.job_id, -posting_id), posting_id) AS job_id, arg_max(source_url, posting_id) AS url FROM ic JOIN de USING (posting_id) GROUP BY 1)
-  SELECT coalesce(l.external_key, se.external_key) AS external_key, coalesce(l.job_id, se.job_id) AS job_id, CASE WHEN l.job_id IS NOT NULL THEN l.source_id ELSE 1 END AS source_id, coalesce(se.url, l.source_url) AS source_url,
-    CASE WHEN l.job_id IS NOT NULL THEN l.first_seen_at ELSE $NOW$ END AS first_seen_at, CASE WHEN se.external_key IS NOT NULL THEN $NOW$ ELSE l.last_seen_at END AS last_seen_at
-  FROM {v_links} l FULL JOIN se ON se.external_key = l.external_key""")
-def _(t):
-    i = incoming(t)
-    d, _r = decided(t)
-    seen = i.join(d.select("posting_id", "job_id"), "posting_id").select("external_key", F.coalesce(c("job_id"), -c("posting_id")).alias("job_id"), F.lit(1).cast("bigint").alias("source_id"), "source_url", "posting_id")
-    return X.link_upsert(t.v_links, seen, NOW)
-
-
-@register("create_jobs", _DECIDE + f""" SELECT substr(sha256(external_key), 1, 16) AS new_job_id, posting_id, concat({Q.slugify("concat(org_slug, ' ', title)")}, '-', substr(sha256(external_key), 1, 6)) AS slug, title, normalized_title,
-  CASE WHEN deadline <= $NOW$ THEN 'EXPIRED' WHEN deadline <= $NOW$ + INTERVAL 72 HOUR THEN 'CLOSING_SOON' ELSE 'NEW' END AS status FROM ic JOIN de USING (posting_id) WHERE action = 'create'""")
-def _(t):
-    i = incoming(t)
-    d, _r = decided(t)
-    return X.create_jobs(i, d, NOW).select("new_job_id", "posting_id", "slug", "title", "normalized_title", "status")
-
-
-@register("ingest_submissions", _DECIDE + """ SELECT posting_id, CASE WHEN action = 'create' THEN 'created' WHEN posting_id % 3 <> 0 THEN 'already listed' WHEN action = 'same-source' THEN 'updated' ELSE 'merged' END AS outcome, job_id FROM de""")
-def _(t):
-    return X.submission_outcomes(t.v_postings0.withColumn("trusted", c("posting_id") % 3 == 0), decided(t)[0])
-
-
 # One batch with every stored job followed by its copy.
 _BATCH_COLS = ["seq", "org_id", "normalized_title", "deadline", "external_key", "norm_url", "fingerprint", "content_hash"]
 
@@ -203,16 +187,23 @@ def batch(t):
     return s.unionByName(i)
 
 
-_BSQL = _CTE + "ba AS MATERIALIZED (SELECT posting_id * 2 + 1 AS seq, org_id, normalized_title, deadline, external_key, norm_url, fingerprint, content_hash FROM ic UNION ALL SELECT job_id * 2, org_id, normalized_title, deadline, concat('job:', job_id), norm_url, fingerprint, content_hash FROM st), " + ", ".join(
-    f"k{i} AS (SELECT {k}, min(seq) AS f{i} FROM ba WHERE {k} IS NOT NULL GROUP BY 1)" for i, k in enumerate(X.RUNGS)) + """,
+def _batch_sql(rows: str) -> str:
+    """CTEs ending in ``pp(seq, parent)`` for the rows of a batch."""
+    firsts = ", ".join(f"k{i} AS (SELECT {k}, min(seq) AS f{i} FROM ba WHERE {k} IS NOT NULL GROUP BY 1)" for i, k in enumerate(X.RUNGS))
+    return f"""ba AS MATERIALIZED ({rows}), {firsts},
   pa AS MATERIALIZED (SELECT ba.*, coalesce(CASE WHEN f0 < seq THEN f0 END, CASE WHEN f1 < seq THEN f1 END, CASE WHEN f2 < seq THEN f2 END, CASE WHEN f3 < seq THEN f3 END) AS parent
     FROM ba LEFT JOIN k0 USING (external_key) LEFT JOIN k1 USING (norm_url) LEFT JOIN k2 USING (fingerprint) LEFT JOIN k3 USING (content_hash)),
-  rr AS MATERIALIZED (SELECT * FROM pa WHERE parent IS NULL), """ + titles_sql("rr", "ba") + """,
+  rr AS MATERIALIZED (SELECT * FROM pa WHERE parent IS NULL), {titles_sql("rr", "ba", p="u")},
   pc AS MATERIALIZED (SELECT org_id, normalized_title, deadline, min(seq) AS other FROM ba GROUP BY 1, 2, 3),
-  rt2 AS MATERIALIZED (SELECT rr.org_id, rr.seq, rr.deadline, tp.rt, tp.score FROM rr JOIN tp ON tp.org_id = rr.org_id AND tp.lt = rr.normalized_title),
+  rt2 AS MATERIALIZED (SELECT rr.org_id, rr.seq, rr.deadline, up.rt, up.score FROM rr JOIN up ON up.org_id = rr.org_id AND up.lt = rr.normalized_title),
   be AS MATERIALIZED (SELECT seq, other, score, pc.deadline IS NOT NULL AS both_dated, row_number() OVER (PARTITION BY seq ORDER BY score DESC, other) AS r FROM rt2 rr
     JOIN pc ON pc.org_id = rr.org_id AND pc.normalized_title = rr.rt WHERE other < seq AND rr.deadline IS NOT NULL AND (pc.deadline IS NULL OR abs(epoch_us(rr.deadline) - epoch_us(pc.deadline)) <= 3 * 86400000000)),
-  pp AS MATERIALIZED (SELECT pa.seq, coalesce(pa.parent, be.other, pa.seq) AS parent FROM pa LEFT JOIN be ON be.seq = pa.seq AND r = 1 AND score >= 0.92 AND both_dated)"""
+  pp AS MATERIALIZED (SELECT pa.seq, coalesce(pa.parent, be.other, pa.seq) AS parent FROM pa LEFT JOIN be ON be.seq = pa.seq AND r = 1 AND score >= 0.92 AND both_dated),
+  walk AS (SELECT seq, parent FROM pp UNION SELECT walk.seq, pp.parent FROM walk JOIN pp ON pp.seq = walk.parent), ro AS MATERIALIZED (SELECT seq, min(parent) AS root FROM walk GROUP BY 1)"""
+
+
+_RCTE = _CTE.replace("WITH st", "WITH RECURSIVE st", 1)
+_BSQL = _RCTE + _batch_sql("SELECT posting_id * 2 + 1 AS seq, org_id, normalized_title, deadline, external_key, norm_url, fingerprint, content_hash FROM ic UNION ALL SELECT job_id * 2, org_id, normalized_title, deadline, concat('job:', job_id), norm_url, fingerprint, content_hash FROM st")
 
 
 @register("batch_parents", _BSQL + " SELECT seq, parent FROM pp")
@@ -220,12 +211,45 @@ def _(t):
     return X.batch_parents(batch(t))
 
 
-@register("resolve_batch", _BSQL.replace("WITH st", "WITH RECURSIVE st", 1) + """, up AS (SELECT seq, parent FROM pp UNION SELECT up.seq, pp.parent FROM up JOIN pp ON pp.seq = up.parent)
-  SELECT seq, min(parent) AS root FROM up GROUP BY 1""")
+@register("resolve_batch", _BSQL + " SELECT seq, root FROM ro")
 def _(t):
     return X.resolve_batch(batch(t))
 
 
+# Decisions in which every posting has a job: new jobs are numbered by a hash of their key.
+_ID = "('0x' || substr(sha256({}), 1, 15))::bigint"
+_SETTLE = _DECIDE.replace("WITH st", "WITH RECURSIVE st", 1) + ", " + _batch_sql("SELECT posting_id AS seq, org_id, normalized_title, deadline, external_key, norm_url, fingerprint, content_hash FROM ic WHERE posting_id IN (SELECT posting_id FROM de WHERE action = 'create')") + f""",
+  se AS MATERIALIZED (SELECT posting_id, action, job_id FROM de WHERE action <> 'create' UNION ALL SELECT ro.seq, CASE WHEN ro.seq = root THEN 'create' WHEN a.external_key = b.external_key THEN 'same-source' ELSE 'merge' END, {_ID.format('b.external_key')}
+    FROM ro JOIN ic a ON a.posting_id = ro.seq JOIN ic b ON b.posting_id = ro.root)"""
+
+
+@register("link_upsert", _SETTLE + """, sn AS (SELECT external_key, arg_min(se.job_id, posting_id) AS job_id, arg_max(source_url, posting_id) AS url FROM ic JOIN se USING (posting_id) GROUP BY 1)
+  SELECT coalesce(l.external_key, sn.external_key) AS external_key, coalesce(l.job_id, sn.job_id) AS job_id, CASE WHEN l.job_id IS NOT NULL THEN l.source_id ELSE 1 END AS source_id, coalesce(sn.url, l.source_url) AS source_url,
+    CASE WHEN l.job_id IS NOT NULL THEN l.first_seen_at ELSE $NOW$ END AS first_seen_at, CASE WHEN sn.external_key IS NOT NULL THEN $NOW$ ELSE l.last_seen_at END AS last_seen_at
+  FROM {v_links} l FULL JOIN sn ON sn.external_key = l.external_key""")
+def _(t):
+    seen = incoming(t).join(settled(t).select("posting_id", "job_id"), "posting_id").select("external_key", "job_id", F.lit(1).cast("bigint").alias("source_id"), "source_url", "posting_id")
+    return X.link_upsert(t.v_links, seen, NOW)
+
+
+@register("create_jobs", _SETTLE + f""" SELECT se.job_id, posting_id, concat({Q.slugify("concat(coalesce(o.short_name, o.name), ' ', title)")}, '-', printf('%X', se.job_id).lower()) AS slug, ic.org_id, source_name, source_url, source_job_id, external_key, {_SHOWN},
+  CASE WHEN deadline <= $NOW$ THEN 'EXPIRED' WHEN deadline <= $NOW$ + INTERVAL 72 HOUR THEN 'CLOSING_SOON' ELSE 'NEW' END AS status FROM ic JOIN se USING (posting_id) JOIN ({_EXTRA}) e USING (posting_id) JOIN {{v_orgs}} o ON o.org_id = ic.org_id WHERE action = 'create'""")
+def _(t):
+    rows = incoming(t).join(_extra(t), "posting_id")
+    made = X.create_jobs(rows, settled(t), t.v_orgs, NOW)
+    return _shown(made, "job_id", "posting_id", "slug", "org_id", "source_name", "source_url", "source_job_id", "external_key", "status")
+
+
+_GATED = _SETTLE.replace("FROM {v_postings0}) a)", "FROM {v_postings0} WHERE posting_id % 3 = 0 OR (" + tech_sql("lower(title)", "lower(coalesce(department, ''))", "lower(coalesce(summary, ''))") + ")) a)", 1)
+
+
+@register("ingest_submissions", _GATED + """ SELECT posting_id, CASE WHEN action = 'create' THEN 'created' WHEN posting_id % 3 <> 0 THEN 'already listed' WHEN action = 'same-source' THEN 'updated' ELSE 'merged' END AS outcome, job_id,
+    CASE WHEN action = 'create' THEN CASE WHEN posting_id % 3 = 0 THEN 'APPROVED' ELSE 'PENDING' END END AS review_status, posting_id % 3 = 0 OR action = 'create' AS linked FROM se
+  UNION ALL SELECT posting_id, 'not a technology role', NULL, NULL, false FROM {v_postings0} WHERE posting_id NOT IN (SELECT posting_id FROM ic)""")
+def _(t):
+    return X.ingest_submissions(t.v_postings0.withColumn("trusted", c("posting_id") % 3 == 0), stored(t), t.v_links, NOW)
+
+
 @register("review_queue", """SELECT d.job_id, d.candidate_job_id, d.score, a.title, oa.name AS org, (SELECT count(*) FROM {v_links} l WHERE l.job_id = d.job_id) AS links,
    b.title AS candidate_title, ob.name AS candidate_org, (SELECT count(*) FROM {v_links} l WHERE l.job_id = d.candidate_job_id) AS candidate_links
    FROM (SELECT job_id, candidate_job_id, max(score) AS score FROM {v_duplicates} WHERE status = 'PENDING' GROUP BY 1, 2) d
@@ -258,20 +282,24 @@ def _(t):
             .unionByName(r["jobs"].select(F.lit("jobs").alias("part"), none, "job_id", c("slug").alias("detail"))))
 
 
-_EDITS = """SELECT l_orderkey AS job_id, max(l_shipdate) AS edited_at, CASE WHEN l_orderkey % 3 = 0 THEN concat('Edited Engineer ', cast(l_orderkey as $STR$)) END AS title,
-  CASE WHEN l_orderkey % 6 = 0 THEN $NOW$ + INTERVAL '1' DAY * 2 END AS deadline, CASE WHEN l_orderkey % 3 = 1 THEN 'approve' WHEN l_orderkey % 3 = 2 AND l_orderkey % 2 = 0 THEN 'reject' END AS decision,
-  l_orderkey % 15 = 5 AS toggle_archive FROM {lineitem} WHERE l_linestatus = 'F' GROUP BY l_orderkey"""
+_EDITS = """SELECT e.job_id, edited_at, e.job_id % 3 = 0 AS edited, CASE WHEN e.job_id % 3 = 1 THEN 'approve' WHEN e.job_id % 3 = 2 AND e.job_id % 2 = 0 THEN 'reject' END AS decision, e.job_id % 15 = 5 AS toggle_archive,
+  concat('Edited ', j.title) AS title, CASE WHEN e.job_id % 2 = 0 THEN 'Edited unit' END AS department, j.category, CASE WHEN e.job_id % 4 = 0 THEN NULL ELSE 'MID' END AS level, concat('Edited: ', j.summary) AS summary, 'Sylhet' AS location, 'HYBRID' AS work_mode,
+  cast(NULL as $STR$) AS salary, cast(e.job_id % 7 as int) AS vacancies, CASE WHEN e.job_id % 6 = 0 THEN $NOW$ + INTERVAL '1' DAY * 2 END AS deadline, concat('https://edited.example.org/', cast(e.job_id as $STR$)) AS application_url,
+  CASE WHEN e.job_id % 2 = 0 THEN split('EEE,CSE', ',') ELSE $EMPTY$ END AS education_disciplines, CASE WHEN e.job_id % 4 = 0 THEN cast(3 as double) END AS min_cgpa, cast(NULL as boolean) AS masters_required, CASE WHEN e.job_id % 9 = 0 THEN true END AS no_third_division,
+  cast(NULL as double) AS min_experience_years, cast(NULL as double) AS max_experience_years, cast(NULL as int) AS age_limit, split('Go,Rust', ',') AS required_skills, $EMPTY$ AS preferred_skills
+  FROM (SELECT l_orderkey AS job_id, max(l_shipdate) AS edited_at FROM {lineitem} WHERE l_linestatus = 'F' GROUP BY l_orderkey) e JOIN {v_jobs} j ON j.job_id = e.job_id"""
 
 
-@register("apply_edits", f"""WITH e AS ({_EDITS}), j AS (SELECT j.job_id, j.org_id, coalesce(e.title, j.title) AS title, CASE WHEN e.title IS NOT NULL THEN e.deadline ELSE j.deadline END AS deadline,
-    CASE e.decision WHEN 'approve' THEN 'APPROVED' WHEN 'reject' THEN 'REJECTED' ELSE review_status END AS review_status, CASE WHEN toggle_archive THEN CASE WHEN archived_at IS NULL THEN $NOW$ END ELSE archived_at END AS archived_at,
-    CASE WHEN e.title IS NOT NULL OR e.decision IS NOT NULL THEN $NOW$ ELSE last_verified_at END AS last_verified_at, missing_runs, first_discovered_at, status AS old_status, (e.title IS NOT NULL OR coalesce(e.decision = 'approve', false)) AS rescore
-    FROM {{v_jobs}} j JOIN e USING (job_id)),
-  k AS (SELECT *, {NT} AS normalized_title, coalesce((SELECT bool_and(source_id IS NULL) FROM {{v_links}} l WHERE l.job_id = j.job_id), true) AS manual FROM j)
-  SELECT job_id, title, normalized_title, deadline, review_status, archived_at, rescore, CASE WHEN rescore THEN {Q.fingerprint("concat('org-', org_id)", 'normalized_title', 'deadline')} END AS fingerprint,
-    CASE WHEN rescore THEN {status_sql('manual')} ELSE old_status END AS status FROM k""")
+@register("apply_edits", _CTE + f"""ed AS ({_EDITS}), j AS (SELECT st.job_id, st.org_id, {', '.join(f"CASE WHEN edited THEN ed.{x} ELSE st.{x} END AS {x}" for x in X.EDITABLE)},
+    CASE decision WHEN 'approve' THEN 'APPROVED' WHEN 'reject' THEN 'REJECTED' ELSE review_status END AS review_status, CASE WHEN toggle_archive THEN CASE WHEN archived_at IS NULL THEN $NOW$ END ELSE archived_at END AS archived_at,
+    CASE WHEN edited OR decision IS NOT NULL THEN $NOW$ ELSE last_verified_at END AS last_verified_at, missing_runs, first_discovered_at, status AS old_status, st.fingerprint AS old_print, st.normalized_title AS old_title, st.requirements_parsed AS old_parsed, edited,
+    coalesce(decision = 'approve', false) AS announce, edited OR coalesce(decision = 'approve', false) AS rescore FROM st JOIN ed USING (job_id)),
+  k AS (SELECT *, CASE WHEN rescore THEN {NT} ELSE old_title END AS normalized_title, coalesce((SELECT bool_and(source_id IS NULL) FROM {{v_links}} l WHERE l.job_id = j.job_id), true) AS manual FROM j)
+  SELECT job_id, {', '.join(f"array_to_string({x}, ',') AS {x}" if x in _NESTED else x for x in X.EDITABLE)}, normalized_title, review_status, archived_at, rescore, announce,
+    CASE WHEN edited THEN len(education_disciplines) > 0 OR min_cgpa IS NOT NULL OR masters_required IS NOT NULL OR min_experience_years IS NOT NULL OR age_limit IS NOT NULL OR no_third_division IS NOT NULL ELSE old_parsed END AS requirements_parsed,
+    CASE WHEN rescore THEN {Q.fingerprint("concat('org-', org_id)", 'normalized_title', 'deadline')} ELSE old_print END AS fingerprint, CASE WHEN rescore THEN {status_sql('manual')} ELSE old_status END AS status FROM k""")
 def _(t):
     from .views import _fill
-    edits = t.spark.sql(_fill(_EDITS, "spark"), lineitem=t.lineitem)
-    e = X.apply_edits(t.v_jobs, edits, t.v_links, t.v_orgs, NOW)
-    return e.select("job_id", "title", "normalized_title", "deadline", "review_status", "archived_at", "rescore", "fingerprint", "status")
+    edits = t.spark.sql(_fill(_EDITS, "spark"), lineitem=t.lineitem, v_jobs=t.v_jobs)
+    e = X.apply_edits(stored(t), edits, t.v_links, t.v_orgs, NOW)
+    return e.select("job_id", *[F.array_join(x, ",").alias(x) if x in _NESTED else x for x in X.EDITABLE], "normalized_title", "review_status", "archived_at", "rescore", "announce", "requirements_parsed", "fingerprint", "status")

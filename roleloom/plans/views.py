@@ -15,6 +15,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import rules as R
+from ..sources.tables import scan
 
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -298,7 +299,7 @@ def _fill(text: str, dialect: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return scan(spark, sf_dir, name)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,7 +1,11 @@
-"""Feed items and JSON-LD postings, read with Spark's own XML and variant functions."""
+"""Feed items, read with Spark's own XML functions, and JSON-LD postings, whose nesting has no limit and is walked with a stack."""
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rules as R, text as T
@@ -15,9 +19,11 @@ _ATOM = ("title string, link array<struct<_href string, _rel string>>, id string
 
 def parse_feed(feeds: DataFrame) -> DataFrame:
     """(feed_url, title, link, guid, description, published, categories) of RSS items and Atom entries; blank titles dropped."""
+    # Each text is cut once; an element belongs to the format whose tag it opens.
+    cut = feeds.select(c("url").alias("feed_url"), F.explode(F.regexp_extract_all("xml", F.lit(r"(?s)(<(item|entry)[\s>].*?</\2>)"), 1)).alias("x"))
+
     def elements(tag: str, schema: str) -> DataFrame:
-        xml = F.explode(F.regexp_extract_all("xml", F.lit(rf"(?s)(<{tag}[\s>].*?</{tag}>)"), 1))
-        return feeds.select(c("url").alias("feed_url"), xml.alias("x")).select("feed_url", F.from_xml("x", schema, {"rowTag": tag, "mode": "PERMISSIVE", "valueTag": "_text"}).alias("e"))
+        return cut.where(c("x").startswith(f"<{tag}")).select("feed_url", F.from_xml("x", schema, {"rowTag": tag, "mode": "PERMISSIVE", "valueTag": "_text"}).alias("e"))
     none = F.array().cast("array<string>")
     blank = lambda x: F.nullif(T.clean_text(x), F.lit(""))
     rss = elements("item", _RSS).select("feed_url", T.clean_text(c("e.title")).alias("title"), T.absolute_url(T.clean_text(c("e.link")), c("feed_url")).alias("link"), blank(c("e.guid")).alias("guid"),
@@ -56,24 +62,65 @@ def _get(v: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, path, kind)
 
 
-def _items(nodes: Column) -> Column:
-    """Arrays among the nodes are replaced by their elements."""
-    return F.flatten(F.transform(nodes, lambda v: F.coalesce(_get(v, "$", "array<variant>"), F.array(v))))
+# Texts of a posting that may stand inside {name} or {value} wrappers, at any depth.
+_TEXTS = {name: (name,) for name in ("title", "description", "qualifications", "skills", "occupationalCategory", "industry", "jobLocationType", "datePosted", "validThrough", "url")} | {
+    "identifier": ("identifier", "value"), "employer": ("hiringOrganization", "name"), "currency": ("baseSalary", "currency"), "unit": ("baseSalary", "value", "unitText"), "amount": ("baseSalary", "value", "value")}
+
+
+def _text(value) -> str | None:
+    """A text or number as trimmed text; an object stands for its ``name`` or, without one, its ``value``."""
+    while isinstance(value, dict) and ("name" in value or "value" in value):
+        value = value["name"] if "name" in value else value["value"]
+    if isinstance(value, str):
+        return value.strip() or None
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        return str(int(value)) if float(value).is_integer() else repr(value)
+    return None
+
+
+def _at(value, path: tuple[str, ...]):
+    for step in path:
+        value = value.get(step) if isinstance(value, dict) else None
+    return value
+
 
+def _listed(value) -> list:
+    return [] if value is None else value if isinstance(value, list) else [value]
 
-def extract_jsonld_postings(pages: DataFrame, depth: int = 3) -> DataFrame:
-    """(page_url, posting variant) of every JobPosting node; arrays and ``@graph`` are followed ``depth`` levels down."""
-    block = F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"), 1))
-    root = pages.select(c("url").alias("page_url"), block.alias("b"))
-    root = root.withColumn("v", F.try_parse_json("b")).where(c("v").isNotNull())
-    level = _items(_items(F.array("v")))
-    out = level
-    for _ in range(depth):
-        level = _items(_items(F.filter(F.transform(level, lambda v: _get(v, "$['@graph']")), lambda v: v.isNotNull())))
-        out = F.concat(out, level)
-    kinds = lambda v: F.coalesce(_get(v, "$['@type']", "array<string>"), F.array(_get(v, "$['@type']", "string")))
-    wanted = F.filter(out, lambda v: F.exists(kinds(v), lambda k: F.lower(k) == "jobposting"))
-    return root.select("page_url", F.explode(wanted).alias("posting"))
+
+def _postings(html: str | None) -> list[tuple]:
+    """(posting, texts, places, education) of every JobPosting of a page, in page order; arrays and ``@graph`` are followed all the way, with a stack."""
+    found = []
+    for block in _BLOCK.findall(html or ""):
+        try:
+            stack = [json.loads(block)]
+        except (ValueError, RecursionError):
+            continue  # a malformed block says nothing
+        while stack:
+            node = stack.pop()
+            if isinstance(node, list):
+                stack.extend(reversed(node))
+            elif isinstance(node, dict):
+                if any(str(k).lower() == "jobposting" for k in _listed(node.get("@type"))):
+                    places = [", ".join(filter(None, (_text(_at(x, ("address", "addressLocality"))), _text(_at(x, ("address", "addressRegion")))))) for x in _listed(node.get("jobLocation"))]
+                    own = {k: v for k, v in node.items() if k != "@graph"}
+                    found.append((json.dumps(own, ensure_ascii=False), {k: _text(_at(node, path)) for k, path in _TEXTS.items()}, places, [x for x in map(_text, _listed(node.get("educationRequirements"))) if x]))
+                if node.get("@graph"):
+                    stack.append(node["@graph"])
+    return found
+
+
+_BLOCK = re.compile(r"<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>", re.I | re.S)
+
+
+def extract_jsonld_postings(pages: DataFrame) -> DataFrame:
+    """(page_url, posting variant, texts, places, education) of every JobPosting node, however deep in arrays and ``@graph``."""
+    def run(batches):
+        for pdf in batches:
+            out = [(url, *p) for url, html in zip(pdf["url"], pdf["html"]) for p in _postings(html)]
+            yield pd.DataFrame(out, columns=["page_url", "posting", "texts", "places", "education"])
+    rows = pages.select("url", "html").mapInPandas(run, "page_url string, posting string, texts map<string,string>, places array<string>, education array<string>")
+    return rows.withColumn("posting", F.try_parse_json("posting"))
 
 
 def _plain(v: Column) -> Column:
@@ -82,40 +129,31 @@ def _plain(v: Column) -> Column:
     return F.when(scalar, F.nullif(T.strip(v.cast("string")), F.lit("")))
 
 
-def _str(v: Column, depth: int = 2) -> Column:
-    """Text of a value; ``{name}`` and ``{value}`` wrappers are opened."""
-    if depth == 0:
-        return _plain(v)
-    return F.coalesce(_plain(v), _str(_get(v, "$.name"), depth - 1), _str(_get(v, "$.value"), depth - 1))
-
-
 def _amount(n: Column) -> Column:
     return F.regexp_replace(F.format_number(n, 3), r"\.?0+\z", "")
 
 
 def jsonld_to_postings(raw: DataFrame, organization_slug: str | None = None) -> DataFrame:
     p = c("posting")
-    field = lambda name: _str(_get(p, f"$.{name}"))
+    field = lambda name: c("texts")[name]
     many = lambda name: F.coalesce(_get(p, f"$.{name}", "array<variant>"), F.array(_get(p, f"$.{name}")))
-    place = F.transform(many("jobLocation"), lambda v: F.concat_ws(", ", _str(_get(v, "$.address.addressLocality")), _str(_get(v, "$.address.addressRegion"))))
-    education = F.concat_ws("; ", F.filter(F.transform(many("educationRequirements"), lambda v: _str(v)), lambda x: x.isNotNull()))
+    education = F.concat_ws("; ", "education")
     months = _get(p, "$.experienceRequirements.monthsOfExperience", "double")
-    code = F.upper(_plain(many("employmentType")[0]))
+    code = F.upper(_plain(F.get(many("employmentType"), F.lit(0))))
     employment = F.create_map(*[F.lit(x) for kv in R.EMPLOYMENT_CODES.items() for x in kv])
     pay = _get(p, "$.baseSalary")
     low, high = _get(pay, "$.value.minValue", "double"), _get(pay, "$.value.maxValue", "double")
     flat = _get(pay, "$.value", "double")
-    amount = F.when((low != 0) & (high != 0), F.concat(_amount(low), F.lit("–"), _amount(high))).otherwise(F.coalesce(_amount(F.coalesce(low, high)), _str(_get(pay, "$.value.value"))))
-    currency = F.coalesce(_str(_get(pay, "$.currency")), F.lit("BDT"))
-    unit = F.coalesce(F.concat(F.lit(" per "), F.lower(_str(_get(pay, "$.value.unitText")))), F.lit(""))
+    amount = F.when((low != 0) & (high != 0), F.concat(_amount(low), F.lit("–"), _amount(high))).otherwise(F.coalesce(_amount(F.coalesce(low, high)), field("amount")))
+    currency = F.coalesce(field("currency"), F.lit("BDT"))
+    unit = F.coalesce(F.concat(F.lit(" per "), F.lower(field("unit"))), F.lit(""))
     salary = F.coalesce(_plain(pay), F.concat(currency, F.lit(" "), _amount(flat)), F.concat(currency, F.lit(" "), amount, unit))
     text = T.html_to_text(F.coalesce(field("description"), F.lit("")))
     lines = F.concat_ws("\n", F.nullif(text, F.lit("")), F.when(education != "", F.concat(F.lit("Education: "), education)), field("qualifications"), field("skills"))
-    ident = _get(p, "$.identifier")
     return raw.where(field("title").isNotNull()).select(
-        F.coalesce(_plain(ident), _str(_get(ident, "$.value"))).alias("source_job_id"), field("title").alias("title"), F.lit(organization_slug).cast("string").alias("organization_slug"),
-        _str(_get(p, "$.hiringOrganization.name")).alias("organization_name"), F.coalesce(field("occupationalCategory"), field("industry")).alias("department"), lines.alias("description"),
-        F.nullif(F.array_join(F.filter(place, lambda x: x != ""), " / "), F.lit("")).alias("location"), F.when(F.upper(field("jobLocationType")) == "TELECOMMUTE", "REMOTE").alias("work_mode"),
+        F.coalesce(_plain(_get(p, "$.identifier")), field("identifier")).alias("source_job_id"), field("title").alias("title"), F.lit(organization_slug).cast("string").alias("organization_slug"),
+        field("employer").alias("organization_name"), F.coalesce(field("occupationalCategory"), field("industry")).alias("department"), lines.alias("description"),
+        F.nullif(F.array_join(F.filter("places", lambda x: x != ""), " / "), F.lit("")).alias("location"), F.when(F.upper(field("jobLocationType")) == "TELECOMMUTE", "REMOTE").alias("work_mode"),
         F.try_element_at(employment, F.coalesce(code, F.lit(""))).alias("employment_type"), salary.alias("salary"), _get(p, "$.totalJobOpenings", "int").alias("vacancies"),
         parse_local_date(field("datePosted")).alias("published_at"), parse_local_date(field("validThrough")).alias("deadline"),
         T.absolute_url(F.coalesce(field("url"), c("page_url")), c("page_url")).alias("application_url"), c("page_url").alias("source_url"),

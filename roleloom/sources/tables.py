@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Declared schemas: nothing is inferred, and only the asked columns are read.
@@ -17,6 +20,10 @@ SCHEMAS = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
     "pages": "page_id bigint, url string, html string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
 
 
@@ -51,11 +58,41 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str], next_path: s
     write_table(upserted(current, changes, keys), next_path)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: the folder that spark.checkpoint.dir names, else the warehouse; executors share both."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/roleloom-work").rstrip("/")
+
+
+_MADE: list[tuple[SparkSession, str]] = []
+
+
+def _remove_made() -> None:
+    """Intermediate tables end with the program that made them."""
+    while _MADE:
+        spark, path = _MADE.pop()
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session may be gone; the folder is the operator's to clear then
+            return
+
+
+atexit.register(_remove_made)
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` written to a table of its own in the shared folder and read again: the lineage is cut, lost executors cost nothing, and later steps read only their columns."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _MADE.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a badly split input over all cores before CPU-heavy text work.
+    """Deal the rows over as many tasks as the session setting ``roleloom.spread`` says; without it the scan's own splits stay.
 
-    Only inputs with fewer splits than cores are shuffled; a large input already
-    has more splits and passes through unchanged.
+    It is for inputs of a few unsplittable files, and the caller's choice.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    tasks = df.sparkSession.conf.get("roleloom.spread", None)
+    return df.repartition(int(tasks)) if tasks else df
