@@ -282,9 +282,6 @@ def enrich(postings: DataFrame, org_slug: str = "org_slug", fallback=None) -> Da
 
 
 # --- E22 -----------------------------------------------------------------------------
-_KEY = 8  # aliases are found by their first characters, then compared in full
-
-
 def _alias_text(col: Column) -> Column:
     t = F.regexp_replace(sub(F.lower(col), R.ORG_ALIAS_NOISE, ""), r"[^a-z0-9 ]+", " ")
     return T.collapse(t)
@@ -293,19 +290,18 @@ def _alias_text(col: Column) -> Column:
 def match_aliases(names: DataFrame, orgs: DataFrame) -> DataFrame:
     """(organization_name, alias_org_id, alias_slug): the first organisation, in list order, whose alias occurs in the name.
 
-    Substring containment without a nested-loop join: every position of a distinct
-    name offers its next 3 to 8 characters as keys, an alias waits under its first
-    8 (or all, when shorter); matches of the key are compared in full.
+    Substring containment without a nested-loop join: every position of a distinct name offers its next n characters for each
+    length n that an alias has, and they have to equal a whole alias, so no two aliases share a key.
     """
     aliases = (orgs.select("org_id", "slug", F.explode(F.array("name", "short_name")).alias("a")).where(c("a").isNotNull())
-               .select("org_id", "slug", _alias_text(c("a")).alias("alias")).where(F.length("alias") >= 3)
-               .withColumn("key", F.substring("alias", 1, _KEY)))
+               .select("org_id", "slug", _alias_text(c("a")).alias("alias")).where(F.length("alias") >= 3))
+    first = aliases.groupBy("alias").agg(F.min(F.struct("org_id", "slug")).alias("o")).select("alias", "o.org_id", "o.slug")
+    lengths = [r[0] for r in first.select(F.length("alias")).distinct().collect()]  # as many as the longest alias has characters at most
     distinct = names.select("organization_name").where(c("organization_name").isNotNull() & (c("organization_name") != "")).distinct()
     plain = distinct.withColumn("plain", T.collapse(F.regexp_replace(F.lower("organization_name"), r"[^a-z0-9 ]+", " "))).where(F.length("plain") >= 3)
-    at = plain.select("organization_name", "plain", F.explode(F.sequence(F.lit(1), F.length("plain") - 2)).alias("pos"))
-    keys = at.select("organization_name", "plain", "pos", F.explode(F.sequence(F.lit(3), F.least(F.lit(_KEY), F.length("plain") - c("pos") + 1))).alias("n"))
-    keyed = keys.withColumn("key", F.substr("plain", c("pos"), c("n")))
-    hit = keyed.join(aliases, "key").where(F.substr("plain", c("pos"), F.length("alias")) == c("alias"))
+    fitting = plain.select("organization_name", "plain", F.explode(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>")).alias("n")).where(c("n") <= F.length("plain"))
+    keys = fitting.select("organization_name", "plain", "n", F.explode(F.sequence(F.lit(1), F.length("plain") - c("n") + 1)).alias("pos"))
+    hit = keys.select("organization_name", F.substr("plain", c("pos"), c("n")).alias("alias")).join(first, "alias")
     return hit.groupBy("organization_name").agg(F.min(F.struct("org_id", "slug")).alias("m")).select(
         "organization_name", c("m.org_id").alias("alias_org_id"), c("m.slug").alias("alias_slug"))
 
@@ -317,7 +313,8 @@ def resolve_organization(postings: DataFrame, orgs: DataFrame) -> DataFrame:
     p = p.withColumn("_wanted", wanted).join(orgs.select(c("slug").alias("_known")), c("_wanted") == c("_known"), "left")
     named = c("organization_name").isNotNull() & (c("organization_name") != "")
     slug = F.when(c("_known").isNotNull(), c("_known")).when(named, T.slugify(c("organization_name"))).otherwise(F.lit(R.CATCH_ALL_ORG[0]))
-    return p.withColumn("org_slug", slug).withColumn("_new", c("_known").isNull()).drop("_wanted", "_known", "alias_slug", "alias_org_id").withColumnRenamed("_new", "new_org")
+    p = p.withColumn("org_slug", slug).join(orgs.select(c("slug").alias("_have")), c("org_slug") == c("_have"), "left")
+    return p.withColumn("new_org", c("_have").isNull()).drop("_wanted", "_known", "_have", "alias_slug", "alias_org_id")
 
 
 def new_organizations(resolved: DataFrame, orgs: DataFrame) -> DataFrame:

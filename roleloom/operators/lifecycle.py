@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import rules as R
 from ..functions.dates import hours, ts_lit
@@ -54,12 +54,21 @@ def refresh_statuses(jobs: DataFrame, links: DataFrame, now, only_upcoming: bool
 
 
 def missing_runs(runs: DataFrame, jobs: DataFrame, links: DataFrame) -> DataFrame:
-    """Jobs not seen by the latest successful, non-empty run of one of their sources: counter plus one per such source."""
-    latest = (runs.where(c("status").isin("SUCCESS", "PARTIAL") & (c("items_found") > 0))
-              .groupBy("source_id").agg(F.max("started_at").alias("run_started_at")))
-    seen = (links.where(c("source_id").isNotNull()).groupBy("source_id", "job_id").agg(F.max("last_seen_at").alias("last_seen_at")))
-    missed = (seen.join(latest, "source_id").where(c("last_seen_at") < c("run_started_at"))
-              .groupBy("job_id").agg(F.count("*").alias("misses")))
+    """Jobs that successful, non-empty runs of their sources did not see: counter plus one for each such run since the last sighting.
+
+    Runs after a sighting are those of later days, taken from sums over the days of a source, and the later ones of the same day.
+    """
+    day = lambda x: F.unix_date(c(x).cast("date"))
+    good = runs.where(c("status").isin("SUCCESS", "PARTIAL") & (c("items_found") > 0)).select("source_id", "started_at", day("started_at").alias("day"))
+    seen = links.where(c("source_id").isNotNull()).groupBy("source_id", "job_id").agg(F.max("last_seen_at").alias("last_seen_at")).withColumn("day", day("last_seen_at"))
+    days_ = good.groupBy("source_id", "day").agg(F.count("*").alias("n")).unionByName(seen.select("source_id", "day", F.lit(0).cast("long").alias("n"))).groupBy("source_id", "day").agg(F.sum("n").alias("n"))
+    later = W.partitionBy("source_id").orderBy(c("day").desc()).rowsBetween(W.unboundedPreceding, -1)  # a source's days
+    after = days_.select("source_id", "day", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("later"))
+    # Runs of one source and day, in order, meet the distinct sightings of that day.
+    same = (seen.select("source_id", "day", "last_seen_at").distinct().join(good, ["source_id", "day"]).where(c("started_at") > c("last_seen_at"))
+            .groupBy("source_id", "day", "last_seen_at").agg(F.count("*").alias("same")))
+    missed = (seen.join(after, ["source_id", "day"]).join(same, ["source_id", "day", "last_seen_at"], "left").withColumn("n", c("later") + F.coalesce("same", F.lit(0)))
+              .where(c("n") > 0).groupBy("job_id").agg(F.sum("n").alias("misses")))
     return (jobs.where(c("status") != "EXPIRED").join(missed, "job_id")
             .select("job_id", c("missing_runs").alias("before"), (c("missing_runs") + c("misses")).alias("after")))
 

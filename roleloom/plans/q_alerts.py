@@ -42,11 +42,9 @@ def _(t):
 
 
 _NEW = f"""WITH {_AJ}, nj AS (SELECT * FROM aj WHERE review_status = 'APPROVED' AND {_ACT} AND first_discovered_at >= $NOW$ - INTERVAL 48 HOUR),
-  pk AS (SELECT p.*, unnest(CASE WHEN len(organization_slugs) > 0 THEN organization_slugs ELSE categories END) AS k FROM {{v_prefs}} p),
-  pj AS (SELECT DISTINCT user_id, job_id FROM pk JOIN nj ON k = nj.org_slug OR k = nj.category OR list_contains(nj.secondary_categories, k)),
-  al AS (SELECT p.user_id, nj.job_id, {_HOT} AS hot, mode, title, org, slug, deadline, verdict, score FROM pj JOIN {{v_prefs}} p USING (user_id) JOIN nj USING (job_id) LEFT JOIN {{v_matches}} m ON m.user_id = p.user_id AND m.job_id = nj.job_id WHERE ({_FAIL}) IS NULL)
-  SELECT user_id, job_id, CASE WHEN hot THEN 'HIGH_PRIORITY' ELSE 'NEW_JOB' END AS type, CASE WHEN hot THEN 'Closing soon: ' ELSE 'New: ' END || title || ' — ' || org AS title,
-    coalesce({_LABEL} || ' (' || score || '/100)', 'Fill in your profile to see how well it fits') || '. Deadline: ' || {Q.fmt_date('deadline')} || '.' AS body, '/jobs/' || slug AS url, hot AS priority,
+  al AS (SELECT p.user_id, nj.job_id, {_HOT} AS hot, mode, title, org, slug, deadline, verdict, score FROM {{v_prefs}} p CROSS JOIN nj LEFT JOIN {{v_matches}} m ON m.user_id = p.user_id AND m.job_id = nj.job_id WHERE ({_FAIL}) IS NULL)
+  SELECT user_id, job_id, CASE WHEN hot THEN 'HIGH_PRIORITY' ELSE 'NEW_JOB' END AS type, org || CASE WHEN hot THEN ' hires, last days: ' ELSE ' hires: ' END || title AS title,
+    coalesce('Your fit: ' || {_LABEL} || ' (' || score || '/100)', 'Complete your profile and we rate your fit') || '. Open until ' || {Q.fmt_date('deadline')} || '.' AS body, '/jobs/' || slug AS url, hot AS priority,
     'new:' || user_id || ':' || job_id AS dedupe_key, mode = 'IMMEDIATE' OR hot AS deliver_now FROM al"""
 
 
@@ -59,7 +57,7 @@ def _(t):
     return A.notify_new_jobs(new_jobs(t), t.v_orgs, t.v_prefs, t.v_matches, NOW)
 
 
-@register("notify_job_updates", f"""SELECT u.user_id, j.job_id, 'JOB_UPDATED' AS type, 'Deadline updated: ' || title AS title, 'The deadline is now ' || {Q.fmt_datetime('deadline')} || '.' AS body, '/jobs/' || slug AS url,
+@register("notify_job_updates", f"""SELECT u.user_id, j.job_id, 'JOB_UPDATED' AS type, title || ': new closing date' AS title, 'Applications are now taken until ' || {Q.fmt_datetime('deadline')} || '.' AS body, '/jobs/' || slug AS url,
   false AS priority, 'update:' || u.user_id || ':' || j.job_id || ':' || coalesce({Q.iso_utc('deadline')}, 'none') AS dedupe_key, true AS deliver_now
   FROM {{v_jobs}} j JOIN (SELECT user_id, job_id FROM {{v_saved}} UNION SELECT user_id, job_id FROM {{v_apps}}) u USING (job_id) WHERE j.updated_at >= $NOW$ - INTERVAL 240 HOUR""")
 def _(t):
@@ -72,19 +70,18 @@ _LBL = "CASE win " + " ".join(f"WHEN '{k}' THEN '{label}'" for k, _h, label in R
 
 @register("deadline_reminders", f"""WITH d AS (SELECT *, {_WIN} AS win FROM {{v_jobs}} WHERE deadline > $NOW$ AND deadline <= $NOW$ + INTERVAL 7 DAY AND archived_at IS NULL AND {_ACT}),
   u AS (SELECT user_id, job_id FROM {{v_saved}} UNION SELECT user_id, job_id FROM {{v_apps}} WHERE status IN ('NOT_APPLIED', 'PLANNING'))
-  SELECT u.user_id, d.job_id, 'DEADLINE_REMINDER' AS type, {_LBL} || ' left: ' || title AS title, 'Apply by ' || {Q.fmt_datetime('deadline')} || ' on the official site.' AS body, '/jobs/' || slug AS url,
+  SELECT u.user_id, d.job_id, 'DEADLINE_REMINDER' AS type, title || ' closes in ' || {_LBL} AS title, 'The employer takes applications until ' || {Q.fmt_datetime('deadline')} || '.' AS body, '/jobs/' || slug AS url,
    win IN ('6h', '24h') AS priority, 'deadline:' || win || ':' || u.user_id || ':' || d.job_id AS dedupe_key, true AS deliver_now FROM d JOIN u USING (job_id) LEFT JOIN {{v_prefs}} p ON p.user_id = u.user_id WHERE deadline_reminders IS NOT FALSE""")
 def _(t):
     return A.deadline_reminders(t.v_jobs, t.v_saved, t.v_apps, t.v_prefs, NOW)
 
 
-@register("closing_soon_alerts", f"""WITH {_AJ} SELECT user_id, job_id, 'CLOSING_SOON' AS type, 'Closing soon: ' || title || ' — ' || org AS title, {_LABEL} || ' (' || score || '/100). Deadline ' || {Q.fmt_datetime('deadline')} || '.' AS body, '/jobs/' || slug AS url,
+@register("closing_soon_alerts", f"""WITH {_AJ} SELECT user_id, job_id, 'CLOSING_SOON' AS type, title || ' at ' || org || ' ends shortly' AS title, 'Your fit: ' || {_LABEL} || ' (' || score || '/100). Open until ' || {Q.fmt_datetime('deadline')} || '.' AS body, '/jobs/' || slug AS url,
   verdict = 'STRONG' AS priority, 'closing:' || user_id || ':' || job_id AS dedupe_key, mode = 'IMMEDIATE' OR verdict = 'STRONG' AS deliver_now
-  FROM {{v_matches}} m JOIN aj USING (job_id) JOIN (SELECT * REPLACE ([]::varchar[] AS organization_slugs) FROM {{v_prefs}}) p USING (user_id) WHERE archived_at IS NULL AND review_status = 'APPROVED' AND aj.status = 'CLOSING_SOON' AND verdict IN ('STRONG', 'POSSIBLE')
+  FROM {{v_matches}} m JOIN aj USING (job_id) JOIN {{v_prefs}} p USING (user_id) WHERE archived_at IS NULL AND review_status = 'APPROVED' AND aj.status = 'CLOSING_SOON' AND verdict IN ('STRONG', 'POSSIBLE')
    AND closing_soon_alerts AND NOT EXISTS (SELECT 1 FROM {{v_saved}} s WHERE s.user_id = m.user_id AND s.job_id = m.job_id) AND ({_FAIL}) IS NULL""")
 def _(t):
-    prefs = t.v_prefs.withColumn("organization_slugs", F.array().cast("array<string>"))
-    return A.closing_soon_alerts(t.v_jobs, t.v_orgs, t.v_matches, t.v_saved, prefs)
+    return A.closing_soon_alerts(t.v_jobs, t.v_orgs, t.v_matches, t.v_saved, t.v_prefs)
 
 
 _ATTEMPTS = """SELECT concat('k:', cast(user_id as $STR$), ':', cast(cast(floor(value) as bigint) as $STR$)) AS dedupe_key, user_id, ts AS created_at, event_id FROM {events} WHERE event_type IN ('click', 'view')"""
@@ -106,6 +103,13 @@ def _(t):
     return A.daily_digest(t.v_notifications, t.spark.sql(_fill(_SENT, "spark"), customer=t.customer), NOW)
 
 
+@register("after_digest", f"""WITH d AS (SELECT DISTINCT user_id FROM {{v_notifications}} WHERE digest_pending AND 'digest:' || user_id || ':1998-06-01' NOT IN ({_SENT}))
+  SELECT notification_id, digest_pending AND user_id NOT IN (SELECT user_id FROM d) AS digest_pending FROM {{v_notifications}}""")
+def _(t):
+    sent = A.daily_digest(t.v_notifications, t.spark.sql(_fill(_SENT, "spark"), customer=t.customer), NOW)
+    return A.after_digest(t.v_notifications, sent).select("notification_id", "digest_pending")
+
+
 @register("channel_fanout", """SELECT notification_id, user_id, channel FROM (SELECT n.notification_id, n.user_id, NOT digest_pending AS d, p.* EXCLUDE (user_id) FROM {v_notifications} n LEFT JOIN {v_prefs} p ON p.user_id = n.user_id) q,
   LATERAL (SELECT 'IN_APP' AS channel UNION ALL SELECT 'EMAIL' WHERE d AND email_enabled IS NOT FALSE UNION ALL SELECT 'TELEGRAM' WHERE d AND telegram_enabled AND telegram_chat_id <> '' UNION ALL SELECT 'PUSH' WHERE d AND push_enabled) x""")
 def _(t):

@@ -155,15 +155,17 @@ SELECT c_custkey AS user_id,
   CASE WHEN c_custkey % 11 = 10 THEN NULL ELSE cast(22 + c_custkey % 19 as int) END AS age
 FROM {{customer}}"""
 
-# Every alert filter list is used; the last segment of users leaves the organisation list empty and filters by category.
+# Every alert filter list is used.  Most users name two organisations, some of them the hot one; of 128 users, one each filters by types, levels or places alone, and one by nothing.
+_KIND = "c_custkey % 128"
 VIEWS["v_prefs"] = f"""
 SELECT c_custkey AS user_id,
-  CASE WHEN c_acctbal >= 9900 THEN {pick_list('c_custkey', 'NETWORK', 'DATABASE', 'CYBERSECURITY,QA_TESTING')} ELSE {pick_list('c_custkey', '', 'SOFTWARE_DEVELOPMENT,NETWORK,DATABASE', '', 'DATA_BI,QA_TESTING', '')} END AS categories,
-  CASE WHEN c_acctbal >= 9900 THEN $EMPTY$ ELSE split(concat('org-', cast(1 + c_custkey % (SELECT count(*) - 1 FROM {{supplier}}) as $STR$), ',org-', cast(1 + (c_custkey * 7 + 3) % (SELECT count(*) - 1 FROM {{supplier}}) as $STR$)), ',') END AS organization_slugs,
-  {pick_list(div('c_custkey', 5), '', '', 'PUBLIC_BANK,PRIVATE_BANK,FINTECH', '')} AS org_types,
+  CASE WHEN {_KIND} BETWEEN 40 AND 43 THEN $EMPTY$ WHEN c_acctbal >= 9900 THEN {pick_list('c_custkey', 'NETWORK', 'DATABASE', 'CYBERSECURITY,QA_TESTING')} ELSE {pick_list('c_custkey', '', 'SOFTWARE_DEVELOPMENT,NETWORK,DATABASE', '', 'DATA_BI,QA_TESTING', '')} END AS categories,
+  CASE WHEN c_acctbal >= 9900 OR {_KIND} BETWEEN 40 AND 43 THEN $EMPTY$ WHEN c_custkey % 64 = 7 THEN split('org-0', ',')
+    ELSE split(concat('org-', cast(1 + c_custkey % (SELECT count(*) - 1 FROM {{supplier}}) as $STR$), ',org-', cast(1 + (c_custkey * 7 + 3) % (SELECT count(*) - 1 FROM {{supplier}}) as $STR$)), ',') END AS organization_slugs,
+  CASE WHEN {_KIND} = 40 THEN split('FINTECH,PRIVATE_BANK', ',') WHEN {_KIND} BETWEEN 41 AND 43 THEN $EMPTY$ ELSE {pick_list(div('c_custkey', 5), '', '', 'PUBLIC_BANK,PRIVATE_BANK,FINTECH', '')} END AS org_types,
   cast(CASE WHEN c_custkey % 3 = 0 THEN 45 ELSE c_custkey % 80 END as int) AS min_match_score,
-  {pick_list(div('c_custkey', 2), '', 'Dhaka', 'Khulna,Sylhet')} AS locations,
-  {pick_list(div('c_custkey', 3), '', 'ENTRY,MID,SENIOR', '', 'LEAD,EXECUTIVE')} AS levels,
+  CASE WHEN {_KIND} = 42 THEN split('Dhaka', ',') WHEN {_KIND} BETWEEN 40 AND 43 THEN $EMPTY$ ELSE {pick_list(div('c_custkey', 2), '', 'Dhaka', 'Khulna,Sylhet')} END AS locations,
+  CASE WHEN {_KIND} = 41 THEN split('SENIOR', ',') WHEN {_KIND} BETWEEN 40 AND 43 THEN $EMPTY$ ELSE {pick_list(div('c_custkey', 3), '', 'ENTRY,MID,SENIOR', '', 'LEAD,EXECUTIVE')} END AS levels,
   c_custkey % 2 = 1 AS academic_only, CASE WHEN c_custkey % 3 = 2 THEN 'DAILY_DIGEST' ELSE 'IMMEDIATE' END AS mode,
   c_custkey % 4 <> 3 AS email_enabled, c_custkey % 5 = 0 AS telegram_enabled,
   CASE WHEN c_custkey % 10 = 0 THEN concat('9', cast(c_custkey as $STR$)) ELSE NULL END AS telegram_chat_id,
@@ -246,19 +248,19 @@ SELECT o_orderkey AS posting_id,
   concat({pick('o_orderkey', 'Senior ', 'Sr. ', 'Contractual ', '', 'Intern ', 'Head of ', 'AVP - ')}, {pick(div('o_orderkey', 7), *ROLES, 'Civil Engineer', 'Branch Manager', 'Probationary Officer', 'Cash Officer')}) AS title,
   CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE {pick(div('o_orderkey', 3), 'IT', 'Human Resources', 'Digital Banking', 'Operations')} END AS department,
   concat(
-    {pick('o_orderkey', 'BSc in CSE, CS or EEE from a recognised university. ', 'Bachelor degree in Computer Science and Engineering or related discipline. ', 'Graduation in any discipline with good academic record. ', '', 'B.Sc. in IT or Software Engineering; MBA is a plus. ')},
-    {pick(div('o_orderkey', 2), 'Minimum CGPA 3.00 out of 4.00. ', 'CGPA of at least 2.75 (out of 4.00). ', '', 'CGPA 3.25 or above. ', 'GPA 5.00 out of 5.00 in SSC. ', 'Result 3.5/4.0 expected. ')},
-    {pick(div('o_orderkey', 3), 'Minimum GPA 4.00 in both SSC and HSC. ', '', 'HSC GPA of 3.50 out of 5 required. ', 'Secondary GPA 3.00/5. ')},
-    {pick(div('o_orderkey', 5), 'Masters degree is mandatory. ', 'A Masters degree is not mandatory. ', '', 'Masters preferred. ')},
-    {pick(div('o_orderkey', 4), 'No third division in any examination! ', '', 'Third class will not be accepted. ')},
-    {pick(div('o_orderkey', 7), '3 to 5 years of experience in software development. ', 'Minimum two years experience in a bank. ', 'Freshers are encouraged to apply. ', '', 'At least 7+ years of relevant experience. ', 'No experience required, 1-2 years welcome. ')},
-    {pick(div('o_orderkey', 6), 'Age: maximum 30 years. ', 'Age not more than 35. ', '', 'Age limit: 40 years. ')},
-    {pick(div('o_orderkey', 8), 'Must know Java, Spring Boot and Oracle. Kubernetes experience is preferred. ', 'Cisco, CCNA, routing and firewall skills. ', 'Python, SQL and Power BI for MIS reporting. ', '', 'C# / ASP.NET, SQL Server, REST APIs. Docker is a plus. ', 'SIEM, VAPT, ISO 27001 and PCI-DSS. ')},
-    {pick(div('o_orderkey', 9), 'Banking experience will be preferred. ', '', 'Experience in a bank will be an added advantage. ')},
+    {pick('o_orderkey', 'Candidates hold a BSc in CSE, CS or EEE. ', 'Four-year degree in Computer Science and Engineering or a related discipline. ', 'Graduates of any discipline may apply. ', '', 'B.Sc. in IT or Software Engineering; an MBA helps. ')},
+    {pick(div('o_orderkey', 2), 'CGPA 3.00 out of 4.00 at least. ', 'We ask for a CGPA of 2.75 on a scale of 4.00. ', '', 'CGPA from 3.25 upwards. ', 'SSC with GPA 5.00 out of 5.00. ', 'Final result 3.5/4.0. ')},
+    {pick(div('o_orderkey', 3), 'SSC and HSC both with a GPA of 4.00. ', '', 'In HSC a GPA of 3.50 out of 5. ', 'Secondary school GPA 3.00/5. ')},
+    {pick(div('o_orderkey', 5), 'A Masters degree is mandatory here. ', 'Masters degree is not mandatory for this post. ', '', 'Masters holders are welcome. ')},
+    {pick(div('o_orderkey', 4), 'We accept no third division at any level! ', '', 'A third class will not be accepted by us. ')},
+    {pick(div('o_orderkey', 7), 'You bring 3 to 5 years of experience with software. ', 'Minimum two years experience at a lender. ', 'Freshers may apply. ', '', 'At least 7+ years of experience in this field. ', 'No experience required, though 1-2 years are fine. ')},
+    {pick(div('o_orderkey', 6), 'Age: at most 30 years, maximum 30. ', 'Age not more than 35 on joining. ', '', 'Age limit: 40 years on the closing day. ')},
+    {pick(div('o_orderkey', 8), 'Daily work uses Java, Spring Boot and Oracle. Kubernetes knowledge is preferred. ', 'Cisco gear, CCNA, routing and firewall rules. ', 'Reports in Python, SQL and Power BI for MIS. ', '', 'C# / ASP.NET on SQL Server, REST APIs. Knowing Docker is a plus. ', 'SIEM, VAPT, ISO 27001, PCI-DSS. ')},
+    {pick(div('o_orderkey', 9), 'Banking experience is preferred. ', '', 'Experience in a bank is an added advantage. ')},
     {pick(div('o_orderkey', 10), 'No. of vacancies: 5. ', '', 'Vacancy 12. ')},
-    {pick(div('o_orderkey', 11), 'Salary range: BDT 50000 to 70000 per month. ', '', 'Salary: Negotiable. ')},
-    {pick(div('o_orderkey', 12), 'Job location: Dhaka and Chittagong. ', 'Posting anywhere in Bangladesh. ', '', 'Sylhet office. ')},
-    {pick(div('o_orderkey', 13), 'Hybrid work. ', '', 'Fully remote role. ', 'On-site. ')},
+    {pick(div('o_orderkey', 11), 'Salary range: BDT 50000 to 70000 a month. ', '', 'Salary: Negotiable. ')},
+    {pick(div('o_orderkey', 12), 'Job location: Dhaka and Chittagong. ', 'You may work anywhere in Bangladesh. ', '', 'Based in our Sylhet office. ')},
+    {pick(div('o_orderkey', 13), 'Hybrid work is possible. ', '', 'A fully remote role. ', 'Work is on-site. ')},
     {pick(div('o_orderkey', 14), 'Application deadline: 15 October 2026', 'Last date of submission: 05/11/2026', '', 'Apply by 2026-12-01', 'Deadline: 31 February 2026')}) AS description
 FROM {{orders}}"""
 

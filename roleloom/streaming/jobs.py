@@ -7,26 +7,22 @@ Stream checkpoints and results live in the shared folder the session names.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.alerts import latest_per
 from ..operators.enrich import enrich, resolve_organization
 from ..sources.registry import validate_postings
-from ..sources.tables import SCHEMAS
+from ..sources.tables import SCHEMAS, shared_folder
 
 c = F.col
 
 
-def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return f"{folder.rstrip('/')}/streams-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    return tempfile.mkdtemp(prefix="roleloom-streams-")
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own for one stream, in the shared folder; a stream that is to go on after a restart passes the same one again."""
+    return f"{shared_folder(spark)}/streams-{uuid.uuid4().hex}"
 
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,17 +42,23 @@ def run_to_table(stream: DataFrame, folder: str, mode: str, transform=None) -> D
     return stream.sparkSession.read.parquet(out)
 
 
-def emit_once_stream(alerts: DataFrame, folder: str) -> DataFrame:
-    """Each key at most once, ever: a micro-batch keeps the first alert per key and leaves out keys of earlier batches."""
+def emit_once_stream(alerts: DataFrame, folder: str, stored: DataFrame | None = None) -> DataFrame:
+    """Each key at most once, ever: a micro-batch keeps the first alert per key and leaves out keys of earlier batches and of ``stored``.
+
+    ``folder`` carries the memory: a later run with the same folder goes on where the last one stopped.
+    """
     spark = alerts.sparkSession
     rest = [x for x in alerts.columns if x != "dedupe_key"]
+    shape = StructType([x for x in alerts.schema.fields if x.name == "dedupe_key"] + [StructField("batch", LongType())])
 
     def first_new(df: DataFrame, batch_id: int) -> DataFrame:
         one = df.groupBy("dedupe_key").agg(F.min_by(F.struct(*rest), F.struct("created_at", "event_id")).alias("r")).select("dedupe_key", "r.*")
+        if stored is not None:
+            one = one.join(stored.select("dedupe_key"), "dedupe_key", "left_anti")
         if batch_id == 0:
             return one
-        # earlier batches only: a retried batch must not see its own first attempt
-        seen = spark.read.parquet(f"{folder}/rows").where(c("batch") < batch_id).select("dedupe_key")
+        # The keys alone, of earlier batches only: a retried batch must not see its own first attempt.
+        seen = spark.read.schema(shape).parquet(f"{folder}/rows").where(c("batch") < batch_id).select("dedupe_key")
         return one.join(seen, "dedupe_key", "left_anti")
     return run_to_table(alerts, folder, "append", first_new).drop("batch")
 

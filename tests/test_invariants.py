@@ -53,3 +53,35 @@ def test_every_query_has_a_stable_schema(spark):
     cheap = [n for n in QUERIES if n.startswith(("filter_", "extract_c", "elig_", "source_", "robots_"))]
     for name in cheap:
         assert QUERIES[name](spark, SF).columns
+
+
+def test_new_numbers_never_collide(spark, monkeypatch):
+    """Where hashes are taken, by stored jobs or by each other, keys move on to their next hash."""
+    from roleloom.operators import resolve
+    monkeypatch.setattr(resolve, "_hashed_id", lambda key, attempt: F.pmod(F.xxhash64(key, F.lit(attempt)), F.lit(40)))
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(20)], "external_key string")
+    stored = spark.range(0, 10).withColumnRenamed("id", "job_id")
+    got = [r.job_id for r in resolve.new_job_ids(keys, stored).collect()]
+    assert len(got) == len(set(got)) == 20 and min(got) >= 10
+
+
+def test_chain_of_duplicates_has_one_root(spark, monkeypatch):
+    from roleloom.operators import resolve
+    parents = spark.createDataFrame([(i, max(i - 1, 0)) for i in range(100)] + [(200, 200), (201, 50)], "seq long, parent long")
+    monkeypatch.setattr(resolve, "batch_parents", lambda rows: rows)
+    assert {r.seq: r.root for r in resolve.resolve_batch(parents).collect()} == {i: 0 for i in range(100)} | {200: 200, 201: 0}
+
+
+def test_emit_once_goes_on_after_a_restart(spark, tmp_path):
+    """Several micro-batches, stored keys, and a second run over the same folder."""
+    from roleloom.streaming import jobs as J
+    schema = "dedupe_key string, created_at timestamp, event_id long"
+    put = lambda keys, at: spark.createDataFrame([(k, None, at * 100 + i) for i, k in enumerate(keys)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stored = spark.createDataFrame([("z",)], "dedupe_key string")
+    alerts = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for n, keys in enumerate((["a", "b", "a"], ["b", "c"], ["z", "c", "d"])):
+        put(keys, n)
+    folder = str(tmp_path / "work")
+    assert sorted(r.dedupe_key for r in J.emit_once_stream(alerts(), folder, stored).collect()) == ["a", "b", "c", "d"]
+    put(["a", "e", "z"], 9)
+    assert sorted(r.dedupe_key for r in J.emit_once_stream(alerts(), folder, stored).collect()) == ["a", "b", "c", "d", "e"]
