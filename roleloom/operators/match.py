@@ -310,12 +310,13 @@ def match_for_user(user_id, profiles: DataFrame, jobs: DataFrame, orgs: DataFram
     return match(live.select(F.lit(user_id).cast(profiles.schema["user_id"].dataType).alias("user_id"), "job_id"), profiles.where(c("user_id") == user_id), live, orgs)
 
 
-def match_for_jobs(job_ids: list, profiles: DataFrame, jobs: DataFrame, orgs: DataFrame) -> DataFrame:
-    """A batch of changed jobs against every candidate: linear in the candidates.
+def match_for_jobs(changed: DataFrame, profiles: DataFrame, jobs: DataFrame, orgs: DataFrame, blocks: int = 64) -> DataFrame:
+    """The changed jobs of one tick, ``changed(job_id)``, against every candidate.
 
-    The result has (candidates x changed jobs) rows by definition, so the caller
-    hands over the changed ids of one tick; long lists go through in several calls,
-    each writing its part of the result, and nothing is left out.
+    The result has (candidates x changed jobs) rows by definition.  Candidates are dealt into blocks and every changed id is sent to each
+    block, so the pairs of a block are made and scored by one task and nothing is left out.
     """
-    ids = F.array(*[F.lit(j) for j in job_ids])
-    return match(profiles.select("user_id", F.explode(ids).alias("job_id")), profiles, jobs.where(c("job_id").isin(job_ids)), orgs)
+    asked = changed.select("job_id").distinct()
+    dealt = profiles.select("user_id", F.pmod(F.xxhash64("user_id"), F.lit(blocks)).alias("_b"))
+    pairs = dealt.join(asked.select("job_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_b")), "_b").select("user_id", "job_id")
+    return match(pairs, profiles, jobs.join(asked, "job_id", "left_semi"), orgs)

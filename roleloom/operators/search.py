@@ -96,12 +96,20 @@ PUBLISHED_HOURS = {"24h": 24, "7d": 168, "30d": 720}
 DEADLINE_DAYS = {"3d": 3, "7d": 7, "30d": 30}
 
 
+def published_since(within: str, now) -> Column:
+    return c("first_discovered_at") >= ts_lit(now) - hours(PUBLISHED_HOURS[within])
+
+
 def filter_published(jobs: DataFrame, within: str, now) -> DataFrame:
-    return jobs.where(c("first_discovered_at") >= ts_lit(now) - hours(PUBLISHED_HOURS[within]))
+    return jobs.where(published_since(within, now))
+
+
+def deadline_within(within: str, now) -> Column:
+    return c("deadline").between(ts_lit(now), ts_lit(now) + days(DEADLINE_DAYS[within]))
 
 
 def filter_deadline(jobs: DataFrame, within: str, now) -> DataFrame:
-    return jobs.where(c("deadline").between(ts_lit(now), ts_lit(now) + days(DEADLINE_DAYS[within])))
+    return jobs.where(deadline_within(within, now))
 
 
 def filter_match(jobs: DataFrame, matches: DataFrame, user_id, verdicts=(), min_score=None) -> DataFrame:
@@ -217,6 +225,38 @@ def preset_filters(preset: str, chosen: dict | None = None, org_slug: str | None
     return out
 
 
+def _selects(filters: dict, now) -> Column:
+    """Whether a job with its organisation passes the preset's filters; only those that presets use."""
+    out = F.lit(True)
+    if filters.get("org"):
+        out = out & (c("org_slug") == filters["org"])
+    if filters.get("org_type"):
+        out = out & c("org_type").isin(filters["org_type"])
+    if filters.get("category"):
+        out = out & (c("category").isin(filters["category"]) | F.arrays_overlap("secondary_categories", _strings(filters["category"])))
+    if filters.get("published"):
+        out = out & published_since(filters["published"], now)
+    if filters.get("deadline"):
+        out = out & deadline_within(filters["deadline"], now)
+    return F.coalesce(out, F.lit(False))
+
+
+def preset_pages(jobs: DataFrame, orgs: DataFrame, now, org_slugs: list[str] | None = None, size: int = R.PAGE_SIZE) -> DataFrame:
+    """(preset, total, rank, job_id): the first page of every landing list and of the given organisations, with the number of jobs of the list; one pass over the jobs.
+
+    Each list ranks in two rounds, so that no task sorts a whole list.
+    """
+    lists = {name: preset_filters(name) for name in PRESETS} | {f"org:{s}": preset_filters("", org_slug=s) for s in org_slugs or []}
+    named = F.filter(F.array(*[F.when(_selects(f, now), F.lit(name)) for name, f in lists.items()]), lambda x: x.isNotNull())
+    rows = with_org(jobs.where(active_where()), orgs).select("job_id", "first_discovered_at", "deadline", F.explode(named).alias("preset"))
+    by_deadline = [name for name, f in lists.items() if f.get("sort") == "deadline"]
+    order = [F.when(c("preset").isin(by_deadline), c("deadline")).asc_nulls_last(), c("first_discovered_at").desc(), c("job_id").desc()]
+    totals = rows.groupBy("preset").agg(F.count("*").alias("total"))
+    salted = rows.withColumn("_s", F.pmod(F.xxhash64("job_id"), F.lit(64))).withColumn("rank", F.row_number().over(W.partitionBy("preset", "_s").orderBy(*order))).where(c("rank") <= size)
+    top = salted.withColumn("rank", F.row_number().over(W.partitionBy("preset").orderBy(*order))).where(c("rank") <= size)
+    return top.join(totals, "preset").select("preset", "total", "rank", "job_id")
+
+
 # --- S21–S25: home page -------------------------------------------------------------
 def home_stats(jobs: DataFrame, sources: DataFrame, now) -> DataFrame:
     visible = filter_visible(jobs)

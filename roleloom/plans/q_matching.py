@@ -9,6 +9,7 @@ from .q_enrich import CANON_SQL, _CATS, score_codes
 from .q_search import ACTIVE
 from ..sources.tables import spread
 from .core import register
+from .views import NOW
 
 c = F.col
 
@@ -167,12 +168,14 @@ def _(t):
     return _full(_matched(t))
 
 
-CHANGED = [5, 42, 77, 138, 301]
+# The jobs that changed within the last half hour before a tick.
+_CHANGED = "updated_at >= $NOW$ - INTERVAL 30 MINUTE"
 
 
-@register("match_for_jobs", pairs_sql(f"SELECT user_id, unnest({CHANGED})::bigint AS job_id FROM {{v_profiles}}") + f"SELECT user_id, job_id, verdict, score, {REASONS} AS reasons FROM z")
+@register("match_for_jobs", pairs_sql(f"SELECT user_id, job_id FROM {{v_profiles}} CROSS JOIN {{v_jobs}} WHERE {_CHANGED}") + f"SELECT user_id, job_id, verdict, score, {REASONS} AS reasons FROM z")
 def _(t):
-    return _full(M.match_for_jobs(CHANGED, spread(t.v_profiles), t.v_jobs, t.v_orgs))
+    changed = t.v_jobs.where(F.expr(f"updated_at >= TIMESTAMP_NTZ '{NOW}' - INTERVAL '30' MINUTE"))
+    return _full(M.match_for_jobs(changed, spread(t.v_profiles), t.v_jobs, t.v_orgs))
 
 
 @register("match_for_user", pairs_sql(f"SELECT 7::bigint AS user_id, job_id FROM {{v_jobs}} WHERE {ACTIVE}") + f"SELECT user_id, job_id, verdict, score, {REASONS} AS reasons FROM z")

@@ -181,22 +181,10 @@ _PRESET_SQL = {
 }
 
 
-def _preset(t):
-    parts = []
-    for name in S.PRESETS:
-        found = S.apply_filters(t.v_jobs, t.v_orgs, S.preset_filters(name), NOW)
-        parts.append(found.agg(F.count("*").alias("jobs"), F.max("job_id").alias("last_job")).select(F.lit(name).alias("preset"), "jobs", "last_job"))
-    one = S.apply_filters(t.v_jobs, t.v_orgs, S.preset_filters("", org_slug="org-0"), NOW)
-    parts.append(one.agg(F.count("*").alias("jobs"), F.max("job_id").alias("last_job")).select(F.lit("org").alias("preset"), "jobs", "last_job"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-register("preset_views", " UNION ALL ".join(
-    f"SELECT '{n}' AS preset, count(*) AS jobs, max(job_id) AS last_job FROM {{v_jobs}} j JOIN {{v_orgs}} o USING (org_id) WHERE {ACTIVE} AND {w}"
-    for n, w in {**_PRESET_SQL, "org": "o.slug = 'org-0'"}.items()))(_preset)
+register("preset_views", "SELECT preset, total, rank::int AS rank, job_id FROM (" + " UNION ALL ".join(
+    f"""SELECT '{n}' AS preset, count(*) OVER () AS total, row_number() OVER (ORDER BY {'deadline NULLS LAST, ' if n == 'closing' else ''}first_discovered_at DESC, job_id DESC) AS rank, job_id
+    FROM {{v_jobs}} j JOIN {{v_orgs}} o USING (org_id) WHERE {ACTIVE} AND {w}""" for n, w in {**_PRESET_SQL, "org:org-0": "o.slug = 'org-0'"}.items()) + f") q WHERE rank <= {R.PAGE_SIZE}")(
+    lambda t: S.preset_pages(t.v_jobs, t.v_orgs, NOW, ["org-0"]))
 
 
 @register("home_stats", f"""SELECT (SELECT count(*) FROM {{v_jobs}} WHERE {ACTIVE}) AS open_jobs,

@@ -55,7 +55,10 @@ def _(t):
     return Mk.list_items_to_postings(items).select("source_job_id", "title", "description", "deadline", "application_url", "source_url")
 
 
-@register("select_detail_links")
+# The pages' links are all paths of the host, with no markup in them.
+@register("select_detail_links", """WITH a AS (SELECT url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, regexp_extract_all(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<a[^>]* href="([^"]*)"', 1) AS hs FROM pages),
+  l AS (SELECT url, concat(lower(origin), h) AS link, min(i) AS pos FROM (SELECT url, origin, unnest(hs) AS h, generate_subscripts(hs, 1) AS i FROM a) q WHERE h NOT IN ('', '#') GROUP BY 1, 2)
+  SELECT url AS page_url, rank::int AS rank, link FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY pos) AS rank FROM l) z WHERE rank <= 20""")
 def _(t):
     return Mk.select_detail_links(t.pages)
 
@@ -179,6 +182,28 @@ def _(t):
     return Rg.export_sitemap(t.v_jobs, t.v_orgs, "https://x.example")
 
 
-@register("export_job_posting_jsonld")
+def _member(key: str, value: str) -> str:
+    """A member of a JSON object as text, null where the value is."""
+    return f"""'"{key}":' || {value}"""
+
+
+def _object(*members: str) -> str:
+    return "'{' || concat_ws(',', " + ", ".join(members) + ") || '}'"
+
+
+_RECORD = _object(
+    _member("@context", "'\"https://schema.org\"'"), _member("@type", "'\"JobPosting\"'"), _member("title", "to_json(title)"), _member("description", "to_json('<p>' || regexp_replace(summary, '[<>&]', '', 'g') || '</p>')"),
+    _member("datePosted", f"to_json({Q.iso_utc('coalesce(published_at, first_discovered_at)')})"), _member("validThrough", f"to_json({Q.iso_utc('deadline')})"), _member("employmentType", "to_json(CASE employment_type WHEN 'CONTRACT' THEN 'CONTRACTOR' ELSE employment_type END)"),
+    _member("hiringOrganization", _object(_member("@type", "'\"Organization\"'"), _member("name", "to_json(o.name)"), _member("sameAs", "to_json(o.website)"))),
+    _member("jobLocation", _object(_member("@type", "'\"Place\"'"), _member("address", _object(_member("@type", "'\"PostalAddress\"'"), _member("addressLocality", "to_json(coalesce(location, 'Dhaka'))"), _member("addressCountry", "'\"BD\"'"))))),
+    _member("jobLocationType", "CASE WHEN work_mode = 'REMOTE' THEN '\"TELECOMMUTE\"' END"), _member("applicantLocationRequirements", "CASE WHEN work_mode = 'REMOTE' THEN " + _object(_member("@type", "'\"Country\"'"), _member("name", "'\"Bangladesh\"'")) + " END"),
+    _member("identifier", "CASE WHEN source_job_id <> '' THEN " + _object(_member("@type", "'\"PropertyValue\"'"), _member("name", "to_json(o.name)"), _member("value", "to_json(source_job_id)")) + " END"),
+    _member("experienceRequirements", "CASE WHEN min_experience_years IS NOT NULL THEN " + _object(_member("@type", "'\"OccupationalExperienceRequirements\"'"), _member("monthsOfExperience", "floor(min_experience_years * 12 + 0.5)::bigint::varchar")) + " END"),
+    _member("skills", "to_json(nullif(array_to_string(required_skills, ', '), ''))"), _member("totalJobOpenings", "CASE WHEN vacancies <> 0 THEN vacancies::varchar END"), _member("directApply", "'false'"), _member("url", "to_json('https://x.example/jobs/' || j.slug)"))
+_RECORD = _RECORD.replace("'{'", "chr(123)").replace("'}'", "chr(125)")
+
+
+@register("export_job_posting_jsonld", f"""SELECT j.slug, replace({_RECORD}, '<', '\\u003c') AS json FROM {{v_jobs}} j JOIN {{v_orgs}} o USING (org_id)
+  WHERE NOT is_demo AND archived_at IS NULL AND review_status = 'APPROVED' AND j.status <> 'REMOVED' AND (deadline IS NULL OR deadline >= $NOW$ - INTERVAL '1' DAY * {R.NOINDEX_AFTER_DAYS})""")
 def _(t):
     return Rg.export_job_posting_jsonld(t.v_jobs, t.v_orgs, "https://x.example", NOW)

@@ -74,10 +74,11 @@ def application_state_stream(events: DataFrame, folder: str) -> DataFrame:
 
 
 def run_monitor_stream(runs: DataFrame, folder: str, window: str = "1 day", lateness: str = "2 hours") -> DataFrame:
-    """Runs, failures and parse errors per window; rows later than the watermark are left out."""
+    """Runs, runs by status and parse errors per window; rows later than the watermark are left out."""
+    states = ["success", "partial", "skipped", "failed"]
     g = (runs.withWatermark("ts", lateness).groupBy(F.window("ts", window)).agg(
-        F.count("*").alias("runs"), F.count_if(c("status") == "FAILED").alias("failed"), F.sum("parse_errors").alias("parse_errors"))
-        .select(c("window.start").alias("window_start"), "runs", "failed", "parse_errors"))
+        F.count("*").alias("runs"), *[F.count_if(c("status") == x.upper()).alias(x) for x in states], F.sum("parse_errors").alias("parse_errors"))
+        .select(c("window.start").alias("window_start"), "runs", *states, "parse_errors"))
     return latest_per(run_to_table(g, folder, "update"), ["window_start"], ["batch"]).drop("batch")
 
 
