@@ -28,7 +28,7 @@ def op1_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def quality_model(documents: DataFrame, labels: DataFrame) -> quality.Model:
-    return quality.train(documents.where(~held_out(c("doc_id"))).select("doc_id", "text").join(labels.select("doc_id", "quality"), "doc_id"))
+    return quality.train(documents, labels.where(~held_out(c("doc_id"))))
 
 
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
