@@ -20,16 +20,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return q.score(docs.select(COLUMNS), model).where(F.col("quality_score") >= queries.QUALITY_THRESHOLD).select(COLUMNS)
 
 
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` but those with the given ids.  The ids are written first: their size then tells Spark whether to send them to all executors or to shuffle."""
+    return docs.select(COLUMNS).join(table(ids.distinct()), "doc_id", "left_anti")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest doc_id; five words and a similarity of 0.8."""
-    gone = near_dup.near_duplicates(docs).where("NOT kept").select("doc_id")
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
+    return _without(docs, near_dup.near_duplicates(docs).where("NOT kept").select("doc_id"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by a benchmark item."""
-    found = decon.decontaminate(docs, read(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return docs.select(COLUMNS).join(found, "doc_id", "left_anti")
+    return _without(docs, decon.decontaminate(docs, read(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

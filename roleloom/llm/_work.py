@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -12,14 +13,8 @@ NO_ID = -(1 << 63)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names.  A local session without one gets a scratch folder; a cluster without one is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="roleloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    """Where intermediate tables go: the folder that spark.checkpoint.dir names, else the warehouse; executors share both."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/roleloom-work").rstrip("/")
 
 
 def table(df: DataFrame, compression: str = "zstd") -> DataFrame:
@@ -27,11 +22,54 @@ def table(df: DataFrame, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
+    release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.shared_path = path
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps: it does so once the driver has collected the plans that named them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def bucketed(df: DataFrame, column: str) -> DataFrame:
+    """Write ``df``, which holds large texts, once to a table in the warehouse that is bucketed by ``column``: joins on it then move the other side only."""
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"roleloom_{uuid.uuid4().hex}"
+    df.repartition(n, column).write.format("parquet").option("compression", "zstd").bucketBy(n, column).saveAsTable(name)
+    release(spark)
+    _TABLES.append((spark, name))
+    return spark.table(name)
+
+
+_TABLES: list[tuple[SparkSession, str]] = []
+
+
+def _drop_bucketed() -> None:
+    while _TABLES:
+        spark, name = _TABLES.pop()
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:  # the session may be gone; the table is then the operator's to clear
+            return
+
+
+atexit.register(_drop_bucketed)
+
+
+def distinct_texts(documents: DataFrame) -> DataFrame:
+    """(id, text, first, copies), bucketed by id: of each document the smallest id with the same text, and how many have it.  Null texts are empty.
+
+    Equal texts are found by 128 bits of hash and their length.
+    """
+    src = one_text(documents).select("id", F.coalesce("text", F.lit("")).alias("text"))
+    keys = src.select("id", F.octet_length("text").alias("n"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"))
+    same = keys.groupBy("n", "h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+    return bucketed(src.join(keys.join(same, ["n", "h1", "h2"]).select("id", "first", "copies"), "id"), "id")
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by ``table`` whose rows are no longer needed."""
     for t in tables:

@@ -24,12 +24,12 @@ from ._work import drop, id_of, one_text, table
 REGISTERS = 256
 #: Base of the logarithmic scale.
 SCALE = 1.001
-#: Registers of a band.  51 bands of 5 miss a pair of similarity 0.8 once in 6e8.
-BAND = 5
+#: Registers of a band and bands.  A pair of similarity 0.8 shares none of 44 bands of 5 once in 4e7.
+BAND, BANDS = 5, 44
 #: A pair is dropped unverified only if the likelihood estimate is this many standard errors below the threshold.
-ERRORS = 6.0
-#: Documents of a bucket that are compared in one block.
-BLOCK = 256
+ERRORS = 5.0
+#: Documents and shingles of a bucket that are compared in one block.
+BLOCK, VOLUME = 2048, 1 << 20
 
 c = F.col
 
@@ -111,17 +111,25 @@ def _sketches(documents: DataFrame, width: int) -> DataFrame:
     return documents.mapInArrow(run, "id long, n long, f1 long, f2 long, registers binary")
 
 
+def _band_hashes(regs: np.ndarray) -> np.ndarray:
+    """A hash of the register values of every band of every sketch."""
+    r = regs.astype(np.int64).view(np.uint64)
+    h = np.zeros((len(r), BANDS), np.uint64)
+    for i in range(BAND):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + r[:, i:BANDS * BAND:BAND])
+    return mix(h + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), 5)
+
+
+def _registers(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<i2").reshape(-1, REGISTERS)
+
+
 def _bands(reps: DataFrame) -> DataFrame:
-    """(band, id): a hash of every band's register values."""
+    """(band, id): the buckets of every sketch."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            regs = np.frombuffer(b"".join(b.column("registers").to_pylist()), "<i2").reshape(-1, REGISTERS).astype(np.int64).view(np.uint64)
-            bands = REGISTERS // BAND
-            h = np.zeros((len(regs), bands), np.uint64)
-            for i in range(BAND):
-                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + regs[:, i:bands * BAND:BAND])
-            h = mix(h + np.arange(bands, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), 5)
-            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().astype(np.int64), pa.int64()), pa.array(np.repeat(b.column("id").to_numpy(), bands), pa.int64())], names=["band", "id"])
+            h = _band_hashes(_registers(b.column("registers")))
+            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().astype(np.int64), pa.int64()), pa.array(np.repeat(b.column("id").to_numpy(), BANDS), pa.int64())], names=["band", "id"])
     return reps.select("id", "registers").mapInArrow(run, "band long, id long")
 
 
@@ -132,7 +140,9 @@ def _plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ra, rb = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<i2").reshape(-1, REGISTERS) for k in ("ra", "rb"))
+            if not b.num_rows:
+                continue
+            ra, rb = (_registers(b.column(k)) for k in ("ra", "rb"))
             ok = likely(ra, rb, b.column("na").to_numpy(), b.column("nb").to_numpy()) >= floor
             yield b.filter(pa.array(ok)).select(["a", "b"])
 
@@ -141,17 +151,19 @@ def _plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union of the full shingle sets (64-bit hashes of them)."""
-    ids = pairs.select(c("a").alias("id")).unionByName(pairs.select(c("b").alias("id"))).distinct()
-
+def _sets(documents: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, s): the distinct shingles of the documents named by ``ids``, as 64-bit hashes."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in pieces(batches):
             h, doc = distinct(*shingles(words(t, lower=True), width))
             offsets = np.append(0, np.cumsum(np.bincount(doc, minlength=t.batch.num_rows))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([t.batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.astype(np.int64), pa.int64()))], names=["id", "s"])
+    return documents.join(ids, "id").mapInArrow(run, "id long, s array<long>")
 
-    sets = table(documents.join(ids, "id").mapInArrow(run, "id long, s array<long>"))
+
+def _verified(pairs: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) with 100 * intersection >= percent * union of the full shingle sets (64-bit hashes of them)."""
+    sets = table(_sets(documents, table(pairs.select(c("a").alias("id")).unionByName(pairs.select(c("b").alias("id"))).distinct()), width))
     inter = F.size(F.array_intersect("sa", "sb"))
     both = pairs.join(sets.select(c("id").alias("b"), c("s").alias("sb")), "b").join(sets.select(c("id").alias("a"), c("s").alias("sa")), "a")
     out = table(both.where(100 * inter >= percent * (F.size("sa") + F.size("sb") - inter)).select("a", "b"))
@@ -159,32 +171,52 @@ def _verified(pairs: DataFrame, documents: DataFrame, width: int, percent: int)
     return out
 
 
-def _across(bands: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs of one bucket whose components differ: the bucket's documents in blocks, block against block."""
-    placed = bands.join(labels, "id")
-    mixed = placed.groupBy("band").agg(F.count("*").alias("rows"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "rows")
-    rows = placed.join(mixed, "band").withColumn("blocks", F.ceil(c("rows") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), c("blocks")))
+def _across(buckets: DataFrame, labels: DataFrame, reps: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """Linked pairs of one bucket whose components differ: the bucket's documents in blocks, block against block.
+
+    A pair is looked at in the first bucket that it shares.  What the likelihood leaves possible is compared on the sets where the documents meet, by
+    32 bits of each shingle, which can only find too many links; so pairs that are not linked leave no row.
+    """
+    placed = table(buckets.select("band", "id").join(labels, "id").join(reps.select("id", "n"), "id"))
+    mixed = (placed.groupBy("band").agg(F.count("*").alias("rows"), F.sum("n").alias("volume"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+             .select("band", F.ceil(F.greatest(c("rows") / BLOCK, c("volume") / VOLUME)).alias("blocks")))
+    rows = table(placed.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("id"), c("blocks"))))
+    sets = table(_sets(documents, table(rows.select("id").distinct()), width).select("id", F.transform("s", lambda x: F.shiftright(x, 32).cast("int")).alias("s")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), c("blocks") - 1)).alias("other")
-    sides = rows.select("band", "id", "component", "block", other).select("band", "id", "component", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    full = sides.join(reps.select("id", "n", "registers"), "id")
+    sides = rows.select("band", "id", "component", "block", "n", other).select("band", "id", "component", "block", "n", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    full = sides.join(reps.select("id", "registers").join(sets, "id"), "id")
     t = percent / 100
     floor = t - ERRORS * np.sqrt(t * (1 - t) / REGISTERS)
 
     def run(block: pa.Table) -> pa.Table:
         ids, comp, n, own = (block.column(k).to_numpy() for k in ("id", "component", "n", "block"))
-        regs = np.frombuffer(b"".join(block.column("registers").to_pylist()), "<i2").reshape(-1, REGISTERS)
-        left, right = own == block.column("x")[0].as_py(), own == block.column("y")[0].as_py()
+        regs = _registers(block.column("registers"))
+        hashes = _band_hashes(regs)
+        band = int(np.flatnonzero(hashes[0] == np.int64(block.column("band")[0].as_py()).astype(np.uint64))[0])
+        earlier = hashes[:, :band].astype(np.uint32)
+        x, y = block.column("x")[0].as_py(), block.column("y")[0].as_py()
+        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        s = block.column("s").combine_chunks()
+        size = s.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        known, number = np.unique(s.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        begin, mark = np.append(0, np.cumsum(size)[:-1]), np.zeros(len(known), np.int64)
         a_all, b_all = [], []
-        at_right = np.flatnonzero(right)
-        for i in np.flatnonzero(left):
-            j = at_right[(comp[at_right] != comp[i]) & (100 * np.minimum(n[at_right], n[i]) >= percent * np.maximum(n[at_right], n[i]))]
-            if len(j):
-                j = j[(regs[j] == regs[i]).sum(1) >= 0.5 * floor * REGISTERS]
+        for i in left:
+            j = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+            j = j[ids[j] > ids[i]] if x == y else j
+            j = j[~(earlier[j] == earlier[i]).any(axis=1)] if band and len(j) else j
+            j = j[(regs[j] == regs[i]).sum(axis=1) >= 0.5 * floor * REGISTERS] if len(j) else j
             if len(j):
                 j = j[likely(np.broadcast_to(regs[i], (len(j), REGISTERS)), regs[j], np.full(len(j), n[i]), n[j]) >= floor]
+            if len(j):
+                own_part = number[begin[i]:begin[i] + size[i]]
+                mark[own_part] = 1
+                shared = np.add.reduceat(mark[number[ranges(begin[j], size[j])]], np.append(0, np.cumsum(size[j])[:-1]))
+                mark[own_part] = 0
+                j = j[100 * shared >= percent * (n[i] + n[j] - shared)]
                 a_all.append(np.minimum(ids[i], ids[j]))
                 b_all.append(np.maximum(ids[i], ids[j]))
-        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
         return pa.table({"a": join(a_all), "b": join(b_all)})
 
     return full.groupBy("band", "x", "y").applyInArrow(run, "a long, b long").distinct()
@@ -202,16 +234,23 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     classes = sk.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
     member = table(sk.select("id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
     reps = table(sk.join(classes.select(c("rep").alias("id")), "id", "left_semi").select("id", "n", "registers"))
+    drop(sk)
     bands = table(_bands(reps))
     leader = bands.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("rows")).where("rows > 1").select("band", "a")
-    star = bands.join(leader, "band").where(c("id") != c("a")).select("a", c("id").alias("b")).distinct()
+    buckets = table(bands.join(leader, "band"))
+    drop(bands)
+    star = table(buckets.where(c("id") != c("a")).select("a", c("id").alias("b")).distinct())
     first = _verified(table(_plausible(star, reps, percent)), src, width, percent)
     linked = table(components(first))
     labels = reps.select("id").join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    rest = table(_across(bands, labels, reps, percent).join(star, ["a", "b"], "left_anti"))
-    second = _verified(rest, src, width, percent) if rest.limit(1).count() else first.limit(0)
-    edges = first.unionByName(second).unionByName(member.where(c("id") != c("rep")).select(c("rep").alias("a"), c("id").alias("b")))
-    final = table(components(edges))
-    drop(sk, reps, bands, rest)
-    out = member.join(final.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rest = table(_across(buckets, labels, reps, src, width, percent).join(star, ["a", "b"], "left_anti"))
+    if rest.limit(1).count():
+        # Links between components: the components themselves are joined to larger ones.
+        second = _verified(rest, src, width, percent)
+        side = lambda x: labels.select(c("id").alias(x), c("component").alias(f"c{x}"))
+        merged = table(components(second.join(side("a"), "a").join(side("b"), "b").select(c("ca").alias("a"), c("cb").alias("b"))))
+        labels = labels.join(merged.select(c("node").alias("component"), c("component").alias("_larger")), "component", "left").select("id", F.coalesce("_larger", "component").alias("component"))
+    drop(buckets, star, rest)
+    # A class goes where its representative, its smallest id, goes.
+    out = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "id"))
     return out.select(id_of("id").alias("doc_id"), c("n").alias("n_shingles"), id_of("component").alias("component_id"), (c("id") == c("component")).alias("kept"))
