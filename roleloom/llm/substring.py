@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._repeats import SCHEMA, Combiner, repeated
 from ._text import Words, mix, pieces, prefix, ranges, runs, span_hash, words
-from ._work import id_of, one_text, table
+from ._work import distinct_texts, id_of, table
 
 WIDTH = 35
+#: Base of the second hash of a window.
+SECOND = 0xC2B2AE3D27D4EB4F
 #: Perfect difference sets: period -> positions whose differences give every shift once (fixed values).
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 
@@ -62,40 +64,28 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _window_rows(width: int):
-    """Per document: the windows that hold a repeated anchor, and the text; ``open`` says whether there is such a window."""
+    """Hashes of the windows that hold a repeated anchor; equal ones of a task are combined."""
     period, _, size = cover(width)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = Combiner()
         for t in pieces(batches):
             w = words(t)
             values, count = _lists(t.batch.column("at"))
             marked = np.zeros(len(w.hash) + 1, np.int64)
             marked[np.repeat(w.first, count) + values] = 1
             sums = np.append(0, np.cumsum(marked))
-            n = np.where(count > 0, np.maximum(w.count - width + 1, 0), 0)
+            n = np.maximum(w.count - width + 1, 0)
             start, doc = ranges(w.first, n), np.repeat(np.arange(len(n)), n)
             hit = sums[start + period] > sums[start]  # an anchor that begins in the first ``period`` words lies inside the window
             start, doc = start[hit], doc[hit]
-            p = prefix(w.hash)
-            h, h2 = span_hash(p, start, start + width, salt=7), span_hash(prefix(mix(w.hash, 99), 0xC2B2AE3D27D4EB4F), start, start + width, base=0xC2B2AE3D27D4EB4F) >> np.uint64(32)
-            per = np.bincount(doc, minlength=len(n))
-            offsets = pa.array(np.append(0, np.cumsum(per)).astype(np.int32))
-            as_list = lambda x, kind: pa.ListArray.from_arrays(offsets, pa.array(x, kind))
-            raw = t.data.tobytes()
-            text = pa.array([(raw[b:e] if per[i] else b" ".join(raw[b:e].split())).decode() for i, (b, e) in enumerate(zip(t.begin, t.end))], pa.string())
-            yield pa.RecordBatch.from_arrays([t.batch.column("id"), pa.array(w.count, pa.int64()), pa.array(per > 0), text, as_list((start - w.first[doc]).astype(np.int32), pa.int32()), as_list(h.astype(np.int64), pa.int64()),
-                                              as_list(h2.astype(np.uint32).view(np.int32), pa.int32())], names=["id", "n_words", "open", "text", "pos", "h", "h2"])
+            h = span_hash(prefix(w.hash), start, start + width, salt=7)
+            h2 = span_hash(prefix(mix(w.hash, 99), SECOND), start, start + width, base=SECOND) >> np.uint64(32)
+            yield from rows.add(h, h2.astype(np.uint32).view(np.int32), t.column("id")[doc], start - w.first[doc], len(t.data))
+        yield from rows.flush()
     return run
 
 
-def _combined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = Combiner()
-    for b in batches:
-        pos, count = _lists(b.column("pos"))
-        yield from rows.add(_lists(b.column("h"))[0].astype(np.int64).view(np.uint64), _lists(b.column("h2"))[0].astype(np.int32), np.repeat(b.column("id").to_numpy(), count), pos, 24 * len(pos))
-    yield from rows.flush()
-
-
 def _kept(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in pieces(batches):
@@ -105,24 +95,30 @@ def _kept(width: int):
             r_doc, r_from, r_to = runs(values[order].astype(np.int64), doc[order], width)
             removed = np.bincount(r_doc, r_to - r_from, minlength=len(count)).astype(np.int64)
             edge = np.searchsorted(r_doc, np.arange(len(count) + 1))
+            copied = t.batch.column("copies").to_numpy(zero_copy_only=False) > 1
+            n_words = np.zeros(len(count), np.int64)
             raw, texts = t.data.tobytes(), []
             for i, (b, e) in enumerate(zip(t.begin, t.end)):
                 ws, kept, at = raw[b:e].split(), [], 0
+                n_words[i] = len(ws)
+                if copied[i] and len(ws) >= width:  # every window also starts in the text's copies
+                    removed[i] = len(ws)
+                    texts.append("")
+                    continue
                 for k in range(edge[i], edge[i + 1]):
                     kept += ws[at:r_from[k]]
                     at = r_to[k]
                 texts.append(b" ".join(kept + ws[at:]).decode())
-            yield pa.RecordBatch.from_arrays([t.batch.column("id"), t.batch.column("n_words"), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], names=["id", "n_words", "n_removed", "text"])
+            yield pa.RecordBatch.from_arrays([t.batch.column("id"), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], names=["id", "n_words", "n_removed", "text"])
     return run
 
 
-def repeated_windows(documents: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """(documents' table, (id, at)): ``at`` lists the first words of the windows of ``width`` words whose word sequence also starts anywhere else."""
-    src = one_text(documents)
-    anchors = repeated(src.mapInArrow(_anchor_rows(width), SCHEMA)).groupBy("id").agg(F.collect_list("pos").alias("at"))
-    docs = table(src.join(anchors, "id", "left").mapInArrow(_window_rows(width), "id long, n_words long, open boolean, text string, pos array<int>, h array<long>, h2 array<int>"))
-    same = repeated(docs.where("open").select("id", "pos", "h", "h2").mapInArrow(_combined, SCHEMA))
-    return docs, same.groupBy("id").agg(F.collect_list("pos").alias("at"))
+def repeated_windows(texts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(id, at): of each distinct text of ``distinct_texts``, under its first id, the first words of the windows whose word sequence also starts elsewhere among them."""
+    firsts = texts.where(c("id") == c("first")).select("id", "text")
+    anchors = table(repeated(firsts.mapInArrow(_anchor_rows(width), SCHEMA)).groupBy("id").agg(F.collect_list("pos").alias("at")))
+    windows = firsts.join(anchors, "id").select("id", "text", "at").mapInArrow(_window_rows(width), SCHEMA)
+    return table(repeated(windows).groupBy("id").agg(F.collect_list("pos").alias("at")))
 
 
 def remove_repeats(documents: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -132,8 +128,7 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     they have (``text`` is then empty, not null).  Rows that repeat a doc_id are one document, of which the least text counts, and give one row; so do rows with a null doc_id.
     Windows are equal if 96 bits of two hashes are.  An empty table gives no rows; other columns are ignored.
     """
-    docs, found = repeated_windows(documents, width)
-    done = docs.where("NOT open").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), "text")
-    rest = docs.where("open").select("id", "n_words", "text").join(found, "id", "left")
-    out = done.unionByName(rest.mapInArrow(_kept(width), "id long, n_words long, n_removed long, text string"))
+    texts = distinct_texts(documents)
+    rows = texts.join(repeated_windows(texts, width), "id", "left").select("id", "text", "copies", "at")
+    out = rows.mapInArrow(_kept(width), "id long, n_words long, n_removed long, text string")
     return out.select(id_of("id").alias("doc_id"), "n_words", "n_removed", "text")
