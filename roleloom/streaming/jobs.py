@@ -95,3 +95,26 @@ def collect_stream(postings: DataFrame, orgs: DataFrame, folder: str) -> DataFra
         ok, _bad = validate_postings(df)
         return enrich(resolve_organization(ok, orgs))
     return run_to_table(postings, folder, "append", one_batch)
+
+
+def collect_pipeline(postings: DataFrame, state: dict[str, DataFrame], folder: str, now, **tables: DataFrame) -> dict[str, DataFrame]:
+    """Whole collection over a stream: every micro-batch is one tick on the state that the tick before it left.
+
+    State ``n`` lies in ``folder/state=<n>`` and is written by batch ``n`` alone, over any first attempt of its own, so a retried batch starts from
+    the same tables; a later run with the same folder goes on from the last state, and no alert is made twice.
+    """
+    from ..operators.collect import STATE, collect_tick
+    spark = postings.sparkSession
+
+    def load(n: int) -> dict[str, DataFrame]:
+        return {k: spark.read.schema(state[k].schema).parquet(f"{folder}/state={n}/{k}") for k in STATE}
+
+    def tick(df: DataFrame, batch_id: int) -> None:
+        out = collect_tick(df, load(batch_id - 1) if batch_id else state, now=now, **tables)
+        for k in STATE:
+            out[k].write.mode("overwrite").parquet(f"{folder}/state={batch_id}/{k}")
+        spark.createDataFrame([(batch_id,)], "batch long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/done/batch={batch_id}")
+    query = postings.writeStream.option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(tick).trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = spark.read.parquet(f"{folder}/done").agg(F.max("batch")).first()[0]
+    return load(last)
