@@ -85,3 +85,48 @@ def test_emit_once_goes_on_after_a_restart(spark, tmp_path):
     assert sorted(r.dedupe_key for r in J.emit_once_stream(alerts(), folder, stored).collect()) == ["a", "b", "c", "d"]
     put(["a", "e", "z"], 9)
     assert sorted(r.dedupe_key for r in J.emit_once_stream(alerts(), folder, stored).collect()) == ["a", "b", "c", "d", "e"]
+
+
+def test_collect_pipeline_over_micro_batches(spark, tmp_path):
+    """Ticks of a stream end in jobs, links, matches and alerts, without doubles; a second run adds nothing."""
+    from roleloom.operators import resolve
+    from roleloom.plans.q_resolution import stored
+    from roleloom.plans.views import NOW
+    from roleloom.sources.tables import materialised
+    from roleloom.streaming import jobs as J
+    t = Tables(spark, SF)
+    jobs = stored(t).where("job_id < 60").select("job_id", "slug", "org_id", *resolve.OWNED, "source_name", "source_url", "source_job_id", "first_discovered_at", "last_verified_at", "missing_runs", "review_status", "archived_at",
+                                                   "is_demo", "submitted_by", "created_at", "updated_at", "status")
+    shape = "user_id bigint, job_id bigint, type string, title string, body string, url string, priority boolean, dedupe_key string, deliver_now boolean, created_at timestamp_ntz"
+    state = {"orgs": t.v_orgs, "jobs": jobs, "links": t.v_links.where("job_id < 60"), "queue": t.v_duplicates.where("job_id < 60"), "matches": t.v_matches.where("job_id < 60"), "notifications": spark.createDataFrame([], shape)}
+    state = {k: materialised(v) for k, v in state.items()}
+    schema = ("posting_id bigint, source_key string, source_name string, source_id bigint, title string, organization_slug string, organization_name string, source_org_slug string, default_org_type string, department string, "
+              "description string, deadline timestamp_ntz, application_url string, source_url string, source_job_id string")
+
+    def row(i, title, org="org-1", name=None, key=None, unit="IT", text="Work with Java and Oracle databases."):
+        return (i, "feed", "Feed", 1, title, org, name, None, None, unit, text, None, f"https://e.example/{i}", f"https://e.example/v/{i}", key or f"k{i}")
+    files = [[row(1, "Cloud Platform Engineer"), row(2, "Cloud Platform Engineer"), row(3, "Branch Cleaner", unit="Facilities", text="Keep the branch clean."), row(4, "x"), row(6, "Java Developer", None, "Brand New Bank")],
+             [row(5, "Cloud Platform Engineer", key="k1"), row(7, "Network Engineer", None, "Brand New Bank")]]
+
+    def put(rows, n):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for n, rows in enumerate(files):
+        put(rows, n)
+    tables = {"profiles": t.v_profiles.where("user_id < 12"), "prefs": t.v_prefs.where("user_id < 60"), "saved": t.v_saved, "applications": t.v_apps}
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        return J.collect_pipeline(stream, state, str(tmp_path / "work"), NOW, **tables)
+    out = run()
+    before = jobs.count()
+    made = [r for r in out["jobs"].collect() if r.slug not in {x.slug for x in jobs.select("slug").collect()}]
+    assert sorted(r.title for r in made) == ["Cloud Platform Engineer", "Java Developer", "Network Engineer"] and out["jobs"].count() == before + 3
+    assert all(r.fingerprint and r.content_hash and r.status == "NEW" for r in made)
+    assert [r.name for r in out["orgs"].where("slug = 'brand-new-bank'").collect()] == ["Brand New Bank"]
+    assert {r.external_key for r in out["links"].collect()} >= {f"feed:id:k{i}" for i in (1, 2, 6, 7)}
+    ids = [r.job_id for r in made]
+    assert out["matches"].where(F.col("job_id").isin(ids)).count() == 3 * tables["profiles"].count()
+    keys = [r.dedupe_key for r in out["notifications"].collect()]
+    assert keys and len(keys) == len(set(keys))
+    again = run()
+    assert sorted(r.dedupe_key for r in again["notifications"].collect()) == sorted(keys) and again["jobs"].count() == before + 3
