@@ -23,6 +23,7 @@ def table(df: DataFrame, compression: str = "zstd") -> DataFrame:
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     release(spark)
+    _PATHS.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out.shared_path = path
     return out
@@ -47,7 +48,21 @@ def bucketed(df: DataFrame, column: str) -> DataFrame:
 _TABLES: list[tuple[SparkSession, str]] = []
 
 
-def _drop_bucketed() -> None:
+_PATHS: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _at_exit() -> None:
+    """Intermediate tables end with the program that made them."""
+    while _PATHS:
+        try:
+            _delete(*_PATHS.pop())
+        except Exception:  # the session may be gone; the folder is then the operator's to clear
+            return
     while _TABLES:
         spark, name = _TABLES.pop()
         try:
@@ -56,7 +71,7 @@ def _drop_bucketed() -> None:
             return
 
 
-atexit.register(_drop_bucketed)
+atexit.register(_at_exit)
 
 
 def distinct_texts(documents: DataFrame) -> DataFrame:
@@ -73,9 +88,7 @@ def distinct_texts(documents: DataFrame) -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by ``table`` whose rows are no longer needed."""
     for t in tables:
-        jvm, path = t.sparkSession._jvm, t.shared_path
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(t.sparkSession, t.shared_path)
 
 
 def key(column: str = "doc_id") -> Column:
