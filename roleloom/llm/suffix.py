@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._repeats import SCHEMA, Combiner, repeated
-from ._text import _BYTE, Texts, mix, pieces, prefix, runs, span_hash
-from ._work import id_of, one_text, table
+from ._text import _BYTE, Texts, pieces, prefix, ranges, span_hash
+from ._work import distinct_texts, id_of, table
 
 LENGTH = 100
 #: Bytes of an anchor.
@@ -34,7 +34,7 @@ KMER = 28
 #: Anchors with more occurrences than this are told apart by whole windows instead, so that no task receives all their contexts.
 FREQUENT = 4000
 #: Bytes of contexts that a task indexes together.
-INDEX_BYTES = 2 << 20
+INDEX_BYTES = 1 << 20
 
 c = F.col
 
@@ -80,7 +80,7 @@ def _anchor_rows(length: int, kmer: int):
 
 
 def _context_rows(length: int, kmer: int):
-    """Per document: text, contexts of its repeated anchors, and windows already known to start earlier."""
+    """Per document with repeated anchors: their contexts, and windows already known to start earlier."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in pieces(batches, most=2 << 20):
             at_list = t.batch.column("at")
@@ -117,9 +117,9 @@ def _context_rows(length: int, kmer: int):
             rel = lo1 - t.begin[doc1]
             o1, o2 = cut(kept), cut(known)
             yield pa.RecordBatch.from_arrays([
-                t.batch.column("id"), t.batch.column("text"), pa.ListArray.from_arrays(o1, pa.array(g[kept].astype(np.int64), pa.int64())), pa.ListArray.from_arrays(o1, pa.array(rel[kept].astype(np.int32), pa.int32())),
+                t.batch.column("id"), pa.ListArray.from_arrays(o1, pa.array(g[kept].astype(np.int64), pa.int64())), pa.ListArray.from_arrays(o1, pa.array(rel[kept].astype(np.int32), pa.int32())),
                 pa.ListArray.from_arrays(o1, pa.array([raw[lo1[k]:hi1[k] + length] for k in kept], pa.binary())), pa.ListArray.from_arrays(o2, pa.array(rel[known].astype(np.int32), pa.int32())),
-                pa.ListArray.from_arrays(o2, pa.array((hi1 - lo1 + 1)[known].astype(np.int32), pa.int32()))], names=["id", "text", "g", "start", "context", "known", "known_n"])
+                pa.ListArray.from_arrays(o2, pa.array((hi1 - lo1 + 1)[known].astype(np.int32), pa.int32()))], names=["id", "g", "start", "context", "known", "known_n"])
     return run
 
 
@@ -141,23 +141,36 @@ class RunLengthIndex:
         self.samples = self.order[self.heads]
 
     def _suffixes(self, longest: int) -> np.ndarray:
-        """Suffix order by doubling: ranks of 8 bytes, then 16, 32 and so on; a suffix ends with its string, and equal ones go by place."""
+        """Suffix order by ranks of 8 bytes, then of three (or two) such stretches together, and so on; a suffix ends with its string, and equal ones go by place."""
         n = len(self.text)
         padded = np.append(self.text, np.zeros(8, np.uint8)).astype(np.uint64)
         left = np.repeat(self.begin[1:], np.diff(self.begin)) - np.arange(n)  # bytes to the string's end, the closing one included
         value = np.zeros(n, np.uint64)
         for i in range(8):
             value = (value << np.uint64(8)) | np.where(left > i, padded[i:n + i], 0)
-        rank = np.unique(value, return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
-        size = 8
-        while size < longest:
-            behind = np.zeros(n, np.uint64)
-            inside = np.flatnonzero(left > size)
-            behind[inside] = rank[inside + size]
-            rank = np.unique((rank << np.uint64(32)) | behind, return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
-            size *= 2
+        rank, bits = self._ranked(value), n.bit_length()
+        parts, size = (3 if 3 * bits <= 64 else 2), 8
+        while size < longest and rank.max(initial=0) < n:
+            joined = rank
+            for k in range(1, parts):
+                behind = np.zeros(n, np.uint64)
+                inside = np.flatnonzero(left > size * k)
+                behind[inside] = rank[inside + size * k]
+                joined = (joined << np.uint64(bits)) | behind
+            rank = self._ranked(joined)
+            size *= parts
         return np.argsort(rank, kind="stable")
 
+    @staticmethod
+    def _ranked(value: np.ndarray) -> np.ndarray:
+        """1, 2, ... in order of the values, equal ones alike."""
+        order = np.argsort(value)
+        new = np.ones(len(value), np.uint64)
+        new[1:] = value[order[1:]] != value[order[:-1]]
+        rank = np.empty(len(value), np.uint64)
+        rank[order] = np.cumsum(new)
+        return rank
+
     def match_lengths(self) -> np.ndarray:
         """For each suffix in order, the length it shares with the one before it: measured at run heads, streamed in text order between them."""
         n = len(self.text)
@@ -194,9 +207,31 @@ class RunLengthIndex:
         return out
 
 
+def _trimmed(rows: list[tuple[int, int, bytes]], length: int) -> list[tuple[int, int, bytes]]:
+    """The rows without what cannot match: a window whose hash occurs once among them is unique, so contexts are cut to their first and last other window."""
+    size = np.array([len(b) for _, _, b in rows], np.int64)
+    begin = np.append(0, np.cumsum(size)[:-1])
+    n = size - length + 1
+    start = ranges(begin, n)
+    h = span_hash(prefix(_BYTE[np.frombuffer(b"".join(b for _, _, b in rows), np.uint8)]), start, start + length)
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    twice = np.zeros(len(h), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    at = np.flatnonzero(twice)
+    row = np.repeat(np.arange(len(rows)), n)[at]
+    place = start[at] - begin[row]
+    keep, first = np.unique(row, return_index=True)
+    last = np.append(first[1:], len(row)) - 1
+    return [(rows[k][0], rows[k][1] + int(place[f]), rows[k][2][place[f]:place[e] + length]) for k, f, e in zip(keep, first, last)] if len(at) else []
+
+
 def _solve(groups: list[tuple[int, list[tuple[int, int, bytes]]]], length: int) -> tuple[np.ndarray, np.ndarray]:
     """(document id, window start) of the windows that also start earlier, for contexts (id, start, bytes) that differ within a group."""
-    rows = sorted((i, s, b) for _, members in groups for i, s, b in members)
+    rows = _trimmed(sorted((i, s, b) for _, members in groups for i, s, b in members), length)
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     index = RunLengthIndex([b for _, _, b in rows])
     size = np.diff(index.begin)
     row = np.repeat(np.arange(len(rows)), size)
@@ -268,17 +303,17 @@ def _repeat_rows(length: int):
 def _kept(length: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in pieces(batches):
-            starts, sizes, docs = [], [], []
-            for a, b in (("known", "known_n"), ("start", "n")):
-                count = t.batch.column(a).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                starts.append(t.batch.column(a).flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-                sizes.append(t.batch.column(b).flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-                docs.append(np.repeat(np.arange(len(count)), count))
-            start, size, doc = np.concatenate(starts), np.concatenate(sizes), np.concatenate(docs)
+            count = t.batch.column("start").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            start, size = (t.batch.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "n"))
+            doc = np.repeat(np.arange(len(count)), count)
             cover = np.zeros(len(t.data) + 1, np.int64)
             at = t.begin[doc] + start
             np.add.at(cover, at, 1)
             np.add.at(cover, at + size - 1 + length, -1)
+            # A later copy of a whole text is gone from end to end, if it is long enough for a window.
+            copy = ~t.batch.column("is_first").to_numpy(zero_copy_only=False) & (t.end - t.begin >= length)
+            np.add.at(cover, t.begin[copy], 1)
+            np.add.at(cover, t.end[copy], -1)
             gone = np.cumsum(cover)[:-1] > 0
             edge = np.zeros(len(gone) + 1, bool)
             edge[:-1] = gone
@@ -298,16 +333,16 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, kmer: int = KMER)
     Rows that repeat a doc_id are one document, of which the least text counts, and give one row; so do rows with a null doc_id, which sort before all others.  An empty table gives
     no rows; other columns are ignored.
     """
-    src = one_text(documents)
+    texts = distinct_texts(documents)
+    # A later copy of a text adds no string that its first does not have; only firsts are looked into.
+    firsts = texts.where(c("id") == c("first")).select("id", "text")
     places = F.collect_list(F.struct("pos", F.least("total", F.lit(1 << 30)).cast("int").alias("total")))
-    anchors = repeated(src.mapInArrow(_anchor_rows(length, kmer), SCHEMA)).groupBy("id").agg(places.alias("at"))
-    docs = table(src.join(anchors, "id", "left").select("id", "text", "at").mapInArrow(_context_rows(length, kmer), "id long, text string, g array<long>, start array<int>, context array<binary>, known array<int>, known_n array<int>"))
-    contexts = docs.where(F.size("g") > 0).select("id", F.explode(F.arrays_zip("g", "start", "context")).alias("x")).select(c("x.g").alias("g"), "id", c("x.start").alias("start"), c("x.context").alias("context"))
+    anchors = table(repeated(firsts.mapInArrow(_anchor_rows(length, kmer), SCHEMA)).groupBy("id").agg(places.alias("at")))
+    parts = table(firsts.join(anchors, "id").select("id", "text", "at").mapInArrow(_context_rows(length, kmer), "id long, g array<long>, start array<int>, context array<binary>, known array<int>, known_n array<int>"))
+    contexts = parts.select("id", F.explode(F.arrays_zip("g", "start", "context")).alias("x")).select(c("x.g").alias("g"), "id", c("x.start").alias("start"), c("x.context").alias("context"))
     found = contexts.repartition("g").sortWithinPartitions("g").mapInArrow(_repeat_rows(length), "id long, start int, n int")
-    lists = found.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("r")).select("id", c("r.start").alias("start"), c("r.n").alias("n"))
-    touched = (F.size("g") > 0) | (F.size("known") > 0)
-    none = F.array().cast("array<int>")
-    plain = docs.where(~touched).select("id", "text", "known", "known_n", none.alias("start"), none.alias("n"))
-    rest = docs.where(touched).select("id", "text", "known", "known_n").join(lists, "id", "left")
-    out = plain.unionByName(rest).mapInArrow(_kept(length), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    known = parts.select("id", F.explode(F.arrays_zip("known", "known_n")).alias("x")).select("id", c("x.known").alias("start"), c("x.known_n").alias("n"))
+    lists = table(found.unionByName(known).groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("r")).select("id", c("r.start").alias("start"), c("r.n").alias("n")))
+    rows = texts.join(lists, "id", "left").select("id", "text", (c("id") == c("first")).alias("is_first"), "start", "n")
+    out = rows.mapInArrow(_kept(length), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.select(id_of("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
