@@ -2,8 +2,8 @@
 
 Adding one coordinate sqrt(M^2 - |x|^2) to every data vector turns the largest inner
 product into the smallest distance.  Data and queries are grouped by their nearest
-pivot; small summaries of the groups (size, radius, k+1 smallest distances to the
-pivot) bound how far a query group's neighbours can lie, so a data vector is sent only
+pivot; small summaries of the groups (size, radius, k+1 smallest distances of different
+ids to the pivot) bound how far a query group's neighbours can lie, so a data vector is sent only
 to the groups whose bound reaches it, and blocks of queries and data are multiplied
 there.  Distances only decide what is sent; scores are integers and exact.
 """
@@ -101,20 +101,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, vector: str = "em
     shape = "vec_id long, cell int, dist double, v array<long>"
     cells = table(data.mapInArrow(assign(False), shape))
     groups = table(asked.mapInArrow(assign(True), shape))
-    # Summaries: k + 1 distances of each of at most ``pivots`` groups.  Ranked in two rounds, so that a large group is not sorted by one task.
+    # Summaries: k + 1 distances of each of at most ``pivots`` groups, each of another id.  Ranked in two rounds, so that a large group is not sorted by one task.
     salted = W.partitionBy("cell", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("dist", "vec_id")
-    near = cells.select("cell", "dist", F.row_number().over(salted).alias("r")).where(c("r") <= k + 1)
-    near = near.withColumn("r", F.row_number().over(W.partitionBy("cell").orderBy("dist"))).where(c("r") <= k + 1).select("cell", "dist").collect()
+    near = cells.groupBy("cell", "vec_id").agg(F.min("dist").alias("dist")).withColumn("r", F.row_number().over(salted)).where(c("r") <= k + 1)
+    near = near.withColumn("r", F.row_number().over(W.partitionBy("cell").orderBy("dist", "vec_id"))).where(c("r") <= k + 1).select("cell", "vec_id", "dist").collect()
     far = {r["cell"]: r["u"] for r in groups.groupBy("cell").agg(F.max("dist").alias("u")).collect()}
     if not far:
         return spark.createDataFrame([], out_schema)
     between = _distances(p, p_lift, p, p_lift)
-    near_cell, near_dist = np.array([r["cell"] for r in near]), np.array([r["dist"] for r in near])
+    near_cell, near_id, near_dist = (np.array([r[x] for r in near]) for x in ("cell", "vec_id", "dist"))
     slack = 1e-6 * (np.sqrt(top) + 1) + 1e-6 * between.max()
     reach = []  # (data cell, query group, least distance to the pivot that can matter)
     for g, u in far.items():
-        bound = np.sort(u + between[g][near_cell] + near_dist)
-        theta = bound[k] if len(bound) > k else np.inf  # the (k+1)th: the query itself may be among them
+        bound = u + between[g][near_cell] + near_dist
+        order = np.argsort(bound, kind="stable")
+        bound = np.sort(bound[order[np.unique(near_id[order], return_index=True)[1]]])  # the least of each id
+        theta = bound[k] if len(bound) > k else np.inf  # the (k+1)th id: one of them may be the query's own, all rows of which are left out
         reach += [(int(j), int(g), float(between[g][j] - u - theta - slack)) for j in np.unique(near_cell)]
     reach_df = F.broadcast(spark.createDataFrame(reach, "cell int, group int, least double"))  # pivots^2 rows at most
 

@@ -85,6 +85,21 @@ def test_top_k(spark, pivots, monkeypatch):
     assert knn.top_k(few, few.where("vec_id = 0"), 20).count() == 4 and knn.top_k(df.limit(0), df, 20).count() == 0 and knn.top_k(df, df.limit(0), 20).count() == 0
 
 
+def test_top_k_of_an_id_with_many_rows(spark):
+    """Rows of the query's own id, however many and near, take no place of a neighbour in other groups; every row is a pivot, so also theirs."""
+    r = np.random.default_rng(6)
+    centre = r.normal(size=(6, 8))
+    data = [(i, [float(x) for x in centre[i % 6] + r.normal(size=8) * 0.1]) for i in range(1, 200) if i % 20]
+    far = [0.0] * 7 + [50.0]
+    data += [(20, far)] * 30 + [(40, [-x for x in far])] * 30 + [(40, data[3][1])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    data = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    got = {}
+    for row in knn.top_k(df, df.where("vec_id % 20 = 0"), 20, pivots=400).orderBy("query_id", "rank").collect():
+        got.setdefault(row["query_id"], []).append((row["vec_id"], row["score"]))
+    assert got == brute_top_k(data, [20, 40], 20) and all(len(x) == 20 for x in got.values())
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, name):
     con = duckdb.connect()
