@@ -75,14 +75,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFram
             .where(F.slice("_w", start + 1, c("size")) == c("window")).select("_d", "_t", start.alias("start"), "size", "item_id"))
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW, percent: int = 5) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW, percent: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
     """Words of each document that stand inside an occurrence of a benchmark window.
 
     Returns doc_id, n_words, n_hit, n_items, items_sha256 and contaminated (at least one word and ``percent`` of all words hit), one row
     per input row.  A null or empty text has no words and is clean; items without words have no windows, a null item_id is left out of
-    the items but its windows count; repeated rows each give a row; an empty benchmark hits nothing; other columns are ignored.
+    the items but its windows count; repeated rows each give a row; an empty benchmark hits nothing; other columns are ignored, but those named in ``carry`` follow the result's.
     """
-    docs = documents.select("doc_id", key().alias("_d"), F.xxhash64("text").alias("_t"), words(c("text")).alias("_w"))
+    docs = documents.select("doc_id", key().alias("_d"), F.xxhash64("text").alias("_t"), words(c("text")).alias("_w"), *carry)
     found = hits(docs, benchmark, width).select("_d", "_t", "start", (c("start") + c("size")).alias("end"), "item_id")
     # Occurrences of one document in order: each adds the words behind the furthest end so far.
     before = F.max("end").over(W.partitionBy("_d", "_t").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1))
@@ -91,6 +91,6 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = WINDO
                .groupBy("_d", "_t").agg(F.sum("_new").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")))
     hit, n = F.coalesce("n_hit", F.lit(0).cast("long")), c("n_words")
     items = F.coalesce("items", F.array().cast("array<string>"))
-    return (docs.select("doc_id", "_d", "_t", F.size("_w").cast("long").alias("n_words")).join(per_doc, ["_d", "_t"], "left")
+    return (docs.select("doc_id", "_d", "_t", F.size("_w").cast("long").alias("n_words"), *carry).join(per_doc, ["_d", "_t"], "left")
             .select("doc_id", "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
-                    ((hit > 0) & (hit * 100 >= n * percent)).alias("contaminated")))
+                    ((hit > 0) & (hit * 100 >= n * percent)).alias("contaminated"), *carry))

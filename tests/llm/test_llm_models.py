@@ -152,6 +152,19 @@ def test_pipeline_stages_take_odd_rows(spark, tmp_path):
             out.count()
 
 
+def test_pipeline_stages_decide_per_row(spark, tmp_path):
+    """Rows without a doc_id, rows that share one, and repeated rows each get the decision of their own text."""
+    spark.createDataFrame([(1, K.PASSAGE)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = [K.prose(60, 700 + i) for i in range(5)]
+    near = clean[3].replace(clean[3].split()[30], "changed", 1)
+    docs = lambda rows: spark.createDataFrame([(i, t, "en", None, len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = lambda stage, rows: sorted((tuple(r) for r in stage(spark, docs(rows), str(tmp_path)).select("doc_id", "text").collect()), key=str)
+    rows = [(None, K.PASSAGE), (None, clean[0]), (5, K.PASSAGE), (5, clean[1]), (6, clean[2]), (6, clean[2]), (7, None), (None, None)]
+    assert kept(P.decontaminate, rows) == sorted([r for r in rows if r[1] != K.PASSAGE], key=str)
+    rows = [(None, clean[0])] * 3 + [(None, clean[1]), (5, clean[2]), (5, clean[3]), (6, near), (7, clean[4]), (7, clean[4]), (8, None), (8, None), (9, None), (None, None), (9, ""), (9, "")]
+    assert kept(P.near_duplicates, rows) == sorted([(None, clean[0]), (None, clean[1]), (5, clean[2]), (5, clean[3]), (7, clean[4]), (8, None), (9, None), (None, None), (9, "")], key=str)
+
+
 def test_held_out(spark):
     import zlib
     got = spark.range(200).select("id", held_out(F.col("id")).alias("h")).collect()
