@@ -16,17 +16,33 @@ ROUNDS = 10
 #: 1800-01-01 to 2199-12-31 has 189 * 773 days.
 FIRST_DAY, DAY_A, DAY_B = "1800-01-01", 189, 773
 
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}"
+#: A mail address begins at a letter or digit, also behind any of ._%+-, which stay.
+EMAIL = r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}"
 SECRET = r"(?<![A-Za-z])(?i:api[_-]?key|access[_-]?key|token|secret|password)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?[A-Za-z0-9+/_.=-]{16,}"
-PHONE = r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])"
-CARD = r"(?<![\w.-])\d{13,19}(?!\w)|(?<![\w.-])\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}(?![\d-])"
+CARD = r"(?<![\w.-])\d{13,19}(?!\w)|(?<![\w.-])\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}(?![\d-])|(?<![\w.-])\d{4}[ -]\d{6}[ -]\d{4,5}(?![\d-])"
 ADDRESS = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d|\w)"
 DATE = r"(?<![\w.-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\w/])\d{2}/\d{2}/\d{4}(?![\d/])|(?<![\w.])\d{2}\.\d{2}\.\d{4}(?!\.?\d)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\d-])"
 #: Back references would count groups of the whole, so the grouped card form is spelled out here.
-ANY = "|".join([EMAIL, SECRET, PHONE, CARD.replace("([ -])", "[ -]").replace(r"\1", "[ -]"), ADDRESS, DATE, SSN])
+_CARD = CARD.replace("([ -])", "[ -]").replace(r"\1", "[ -]")
+#: A phone number of 7 digits or more ends before a blank that another number follows; four groups of four before a fifth may be its own last and a card.
+_NEXT = rf"(?! (?:(?:{_CARD})(?![ -]\d{{4}}(?!\d))|\d{{1,3}}(?:\.\d{{1,3}}){{3}}(?![.\w])|{DATE}|{SSN}|\d{{3}}[-.]\d{{3}}[-.]\d{{4}}(?![\d-])))"
+
+
+def _more(have: int) -> str:
+    """Further digits, single or in groups, that bring ``have`` to 7 at least and 15 at most."""
+    least = max(7 - have, 0)
+    return rf"(?:[ .-]?\d){{{least}}}(?:{_NEXT}[ .-]?\d){{0,{15 - have - least}}}"
+
+
+#: A country code and groups of any size, of 7 to 15 digits in all; the first group behind the code may stand in parentheses.
+_GLOBAL = "|".join([*[rf"\d{{{i}}}[ .-]?\(\d{{{j}}}\){_more(i + j)}" for i in (1, 2, 3) for j in (1, 2, 3, 4)], rf"\d{_more(1)}"])
+PHONE = rf"(?<![\w+])\+(?:{_GLOBAL})(?!\d)|(?<![\w(])\(\d{{3}}\) ?\d{{3}}-\d{{4}}(?!\d)|(?<![\w.-])\d{{3}}[-.]\d{{3}}[-.]\d{{4}}(?![\d-])"
+#: Country codes; they are prefix-free, so the code does not depend on how a number is spaced.
+COUNTRY = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+ANY = "|".join([EMAIL, SECRET, PHONE, _CARD, ADDRESS, DATE, SSN])
 KINDS = {"email": rf"^[^@]+@[^@]+$", "secret": r"^[A-Za-z_-]+[\"']?[ \t]*[=:]", "ssn": r"^\d{3}-\d{2}-\d{4}$", "address": r"^\d{1,3}(\.\d{1,3}){3}$",
-         "date": r"^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})$", "card": r"^(\d{13,19}|\d{4}([ -])\d{4}\2\d{4}\2\d{1,7})$", "phone": r"^[+(]|^\d{3}[-.]\d{3}[-.]\d{4}$"}
+         "date": r"^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})$", "card": r"^(\d{13,19}|\d{4}([ -])\d{4}\2\d{4}\2\d{1,7}|\d{4}([ -])\d{6}\3\d{4,5})$", "phone": r"^[+(]|^\d{3}[-.]\d{3}[-.]\d{4}$"}
 
 c, lit = F.col, F.lit
 
@@ -131,7 +147,7 @@ def _pseudonym(m: Column, kind: Column, key: str, inverse: bool) -> Column:
     digits = F.regexp_replace(m, r"\D", "")
     payload = F.substr(digits, lit(1), F.length(digits) - 1)
     card = F.element_at(F.transform(F.array(_digits_permuted(payload, lit("card"), key, inverse)), lambda p: F.concat(p, ((10 - _luhn_sum(p, True) % 10) % 10).cast("string"))), 1)
-    country = F.length(F.regexp_replace(F.when(m.startswith("+"), F.regexp_extract(m, r"^\+(\d{1,3}?)(?=[ .(-]|\d{10}$|$)", 1)).otherwise(""), r"\D", ""))
+    country = F.length(F.when(m.startswith("+"), F.regexp_extract(digits, COUNTRY, 1)).otherwise(""))
     national = F.substr(digits, country + 1)
     phone = F.concat(F.substr(digits, lit(1), country), _digits_permuted(national, lit("phone"), key, inverse))
     spelled = (F.when(kind == "card", _refilled(m, card)).when(kind == "phone", _refilled(m, phone)).when(kind == "ssn", _refilled(m, _ssn_permuted(digits, key, inverse)))

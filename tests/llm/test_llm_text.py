@@ -182,6 +182,30 @@ def test_pii(spark):
     assert back[5].startswith("on 2021-02-28, 28.02.2021 and 28/02/2021")
 
 
+WIDER = ["+33 6 12 34 56 78", "+33612345678", "+61 2 9876 5432", "+358 9 1234 5678", "+49 171 12 34 56 78", "+4917112345678", "+44 (0) 20 7946 0958", "3782 822463 10005", "378282246310005", "3056-930902-5904",
+         "+13095557741 10.0.0.1", "+1 309 555 7741 4539 1488 0343 6467", "+33 6 12 34 56 78 2021-02-28", "_jane.doe@example.com", "-jane@example.com", "...jane@example.com", "jane@example.com"]
+
+
+def test_pii_wider_forms(spark):
+    """Groups of one digit, other card forms, mail addresses behind punctuation, and numbers behind a phone number."""
+    df = K.frame(spark, [(i, f"to {t}, and") for i, t in enumerate(WIDER)] + [(99, "+1 234 5 and +1234567890123456 and 3782 822463 10006")])
+    out = pii.pseudonymize(df, "key")
+    got = {r["doc_id"]: (r["text"][3:-5], r["n_masked"]) for r in out.collect()}
+    text = dict(zip(WIDER, (got[i][0] for i in range(len(WIDER)))))
+    shape = lambda t: K.re.sub(r"\d", "0", t)
+    digits = lambda t: K.re.sub(r"\D", "", t)
+    assert [got[i][1] for i in range(len(WIDER))] == [1] * 10 + [2] * 3 + [1] * 4 and got[99][1] == 0
+    assert all(shape(text[t]) == shape(t) and digits(text[t]) != digits(t) for t in WIDER[:10] + WIDER[11:13])
+    for a, b in (WIDER[0:2], WIDER[4:6], WIDER[7:9]):
+        assert digits(text[a]) == digits(text[b])
+    assert text[WIDER[0]].startswith("+33 ") and text[WIDER[2]].startswith("+61 ") and text[WIDER[3]].startswith("+358 ") and text[WIDER[5]].startswith("+49")
+    assert luhn(digits(text[WIDER[7]])) and luhn(digits(text[WIDER[9]])) and text[WIDER[12]].startswith(text[WIDER[0]] + " ")
+    mail = text["jane@example.com"]
+    assert text["-jane@example.com"] == "-" + mail and text["...jane@example.com"] == "..." + mail and "doe" not in text["_jane.doe@example.com"] and "example" not in text["_jane.doe@example.com"]
+    back = {r["doc_id"]: r["text"] for r in pii.pseudonymize(out.drop("n_masked", "masked_kinds"), "key", inverse=True).collect()}
+    assert all(back[i] == f"to {WIDER[i]}, and" for i in range(13))
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
     df = spark.range(189 * 50).select(pii.feistel(F.floor(F.col("id") / 50), F.col("id") % 50, F.lit(189), F.lit(50), F.lit("t"), "k").alias("s"))
