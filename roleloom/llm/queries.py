@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, knn, language, near_dup, pii, quality, substring, suffix
+from . import bpe, chat, decontaminate, knn, language, merkle, near_dup, phrases, pii, quality, substring, suffix, token_files
 from ._work import held_out, read
 
 #: Key of the pseudonyms; a deployment passes its own.
@@ -76,7 +76,27 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
                        c("formatted_chars").cast("long").alias("formatted_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_quality, op3_near_dup, op4_top_k, op5_suffix, op6_decontaminate, op7_substring, op8_bpe, op9_pii, op10_chat)}
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = F.when(F.crc32(c("doc_id").cast("string").cast("binary")) % 2 == 0, F.regexp_replace("text", "\n", "")).otherwise(c("text"))
+    values = [tampered if k == "text" else c(k) for k in merkle.COLUMNS]
+    out = merkle.manifest(read(spark, folder, "documents"), carry={"tampered": merkle.leaf_of(*values)})
+    folded = merkle.fold(c("tampered"), c("before"), c("after"))
+    return (out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(c("before"), c("after")), 256).alias("proof_sha256"), folded.alias("folded_root"))
+            .withColumn("verified", c("folded_root") == c("root")))
+
+
+def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+    written = token_files.write(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    back = token_files.read_documents(spark, written)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(read(spark, folder, "documents"), longest=3, least=10, covered_percent=50, best=2000)
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op2_quality, op3_near_dup, op4_top_k, op5_suffix, op6_decontaminate, op7_substring, op8_bpe, op9_pii, op10_chat, op11_merkle, op12_token_files, op13_phrases)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = r"[^\x20\x09-\x0D]+"
@@ -122,4 +142,48 @@ word AS (SELECT doc_id, generate_subscripts(w, 1) p, unnest(w) t FROM d),
 kept AS (SELECT word.doc_id, string_agg(t, ' ' ORDER BY p) k, count(*) n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
 SELECT d.doc_id, len(w) n_words, len(w) - coalesce(n, 0) n_removed, sha256(coalesce(k, '')) kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
 
-ORACLES = {"op3_near_dup": _NEAR, "op4_top_k": _TOP_K, "op6_decontaminate": _DECONTAMINATE, "op7_substring": _REPEATED_WORDS}
+#: Leaves, their trees level by level, the siblings of each leaf on every level, and the fold of the tampered leaves.
+_MERKLE = """
+WITH RECURSIVE d AS (SELECT doc_id, source, lang, n_chars, text, CASE WHEN crc % 2 = 1 THEN replace(text, chr(10), '') ELSE text END t
+  FROM (SELECT *, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: ascii(CAST(doc_id AS VARCHAR)[i])::UBIGINT)),
+        lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))) crc FROM documents)),
+f AS (SELECT doc_id, source, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+             || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') head, coalesce(strlen(text) || ':' || text, '-') a, coalesce(strlen(t) || ':' || t, '-') b FROM d),
+h AS (SELECT doc_id, source, sha256(head || a) leaf, sha256(head || b) tampered FROM f),
+s AS (SELECT source, n, row_number() OVER (ORDER BY source NULLS FIRST) - 1 tree FROM (SELECT source, count(*) n FROM h GROUP BY 1)),
+l AS (SELECT tree, n, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 i, doc_id, leaf, tampered FROM h JOIN s ON h.source IS NOT DISTINCT FROM s.source),
+t AS (SELECT tree, 0 lv, n, i, leaf g FROM l
+      UNION ALL SELECT tree, any_value(lv) + 1, (any_value(n) + 2) // 3, i // 3, sha256(string_agg(g, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY tree, i // 3),
+r AS (SELECT tree, max(lv) top, arg_max(g, lv) subroot FROM t GROUP BY 1),
+u AS (SELECT 0 lv, (SELECT count(*) FROM r) n, tree i, subroot g FROM r
+      UNION ALL SELECT any_value(lv) + 1, (any_value(n) + 2) // 3, i // 3, sha256(string_agg(g, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY i // 3),
+root AS (SELECT max(lv) top, arg_max(g, lv) root FROM u),
+step AS (SELECT l.tree, l.i, x.lv, coalesce(string_agg(y.g, '' ORDER BY y.i) FILTER (y.i < x.i), '') b, coalesce(string_agg(y.g, '' ORDER BY y.i) FILTER (y.i > x.i), '') a
+         FROM l JOIN r USING (tree) JOIN t x ON x.tree = l.tree AND x.lv < r.top AND x.i = l.i // CAST(3 ** x.lv AS BIGINT) JOIN t y ON y.tree = x.tree AND y.lv = x.lv AND y.i // 3 = x.i // 3 GROUP BY 1, 2, 3),
+high AS (SELECT r.tree, r.top + x.lv lv, coalesce(string_agg(y.g, '' ORDER BY y.i) FILTER (y.i < x.i), '') b, coalesce(string_agg(y.g, '' ORDER BY y.i) FILTER (y.i > x.i), '') a
+         FROM r JOIN root ON true JOIN u x ON x.lv < root.top AND x.i = r.tree // CAST(3 ** x.lv AS BIGINT) JOIN u y ON y.lv = x.lv AND y.i // 3 = x.i // 3 GROUP BY 1, 2),
+p AS (SELECT tree, i, lv, b, a FROM step UNION ALL SELECT l.tree, l.i, lv, b, a FROM l JOIN high USING (tree)),
+k AS (SELECT l.tree, l.i, 0 lv, tampered g FROM l UNION ALL SELECT k.tree, k.i, k.lv + 1, sha256(p.b || k.g || p.a) FROM k JOIN p ON p.tree = k.tree AND p.i = k.i AND p.lv = k.lv),
+folded AS (SELECT tree, i, arg_max(g, lv) folded_root FROM k GROUP BY 1, 2),
+proof AS (SELECT tree, i, string_agg(b || a, '' ORDER BY lv) q FROM p GROUP BY 1, 2)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(q, '')) proof_sha256, folded_root, folded_root = root verified
+FROM l JOIN r USING (tree) JOIN root ON true JOIN folded USING (tree, i) LEFT JOIN proof USING (tree, i)"""
+
+#: Every phrase of one to three words of a piece, its count, and its lowest cut.
+_PHRASES = r"""
+WITH w AS (SELECT lang, doc_id, p, regexp_extract_all(x, '[^\x20\x09]+') w FROM (
+  SELECT coalesce(lang, 'und') lang, doc_id, unnest(range(1, len(pieces) + 1)) p, unnest(pieces) x
+  FROM (SELECT lang, doc_id, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') pieces FROM documents))),
+o AS (SELECT lang, k, array_to_string(w[s:s + k - 1], ' ') g FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) s FROM w, (SELECT unnest([1, 2, 3]) k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, g, count(*) a FROM o GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) n FROM f WHERE k = 1 GROUP BY 1),
+cand AS (SELECT lang, k, g, a, string_split(g, ' ') w FROM f WHERE k > 1 AND a >= 10),
+cut AS (SELECT c.lang, c.k, c.g, c.a, c.w, x.a l, y.a r, s, (1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a) score
+        FROM (SELECT *, unnest(range(1, k)) s FROM cand) c JOIN f x ON x.lang = c.lang AND x.g = array_to_string(c.w[1:s], ' ') JOIN f y ON y.lang = c.lang AND y.g = array_to_string(c.w[s + 1:], ' ')),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, s) = 1),
+over AS (SELECT lang, sub, max(a) m FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) sub FROM cand WHERE k = 3) GROUP BY 1, 2),
+kept AS (SELECT low.* FROM low LEFT JOIN over ON over.lang = low.lang AND sub = g AND k = 2 WHERE m IS NULL OR 100 * m < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n, CAST(score AS BIGINT) score
+FROM kept JOIN n USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) <= 2000"""
+
+ORACLES = {"op11_merkle": _MERKLE, "op13_phrases": _PHRASES, "op3_near_dup": _NEAR, "op4_top_k": _TOP_K, "op6_decontaminate": _DECONTAMINATE, "op7_substring": _REPEATED_WORDS}
