@@ -29,15 +29,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from ._text import flat, ranges
-from ._work import drop, release, shared_folder, table
+from ._text import _LOWER, flat, ranges
+from ._work import release, shared_folder, table
 
 MAGIC = b"RLTOKEN1"
 HEADER = 40
 SAMPLE = 64
 #: A file is closed once it has this many ids; one document is never cut.
 FILE_IDS = 4 << 20
-#: Text that is encoded at once, and words that a worker remembers between batches.
+#: Text that is encoded at once, and units that a worker remembers between batches.
 BATCH_BYTES = 8 << 20
 REMEMBERED = 1 << 20
 
@@ -46,10 +46,42 @@ c = F.col
 
 # --- ids ---------------------------------------------------------------------------------------------
 
+#: Kinds of bytes: white space, letters (a-z, and in UTF-8 the letters of Latin-1), digits, other ASCII, the apostrophe, all else.
+_SPACE, _LETTER, _DIGIT, _MARK, _APOSTROPHE, _ELSE = range(6)
+_KIND = np.full(256, _ELSE, np.uint8)
+_KIND[:128] = _MARK
+_KIND[[9, 10, 11, 12, 13, 32]] = _SPACE
+_KIND[97:123] = _LETTER
+_KIND[48:58] = _DIGIT
+_KIND[39] = _APOSTROPHE
+#: Neighbours that the vocabulary's pattern always parts.  An apostrophe stays with what follows; where anything else is near, nothing is cut.
+_CUT = np.zeros((6, 6), bool)
+for _a, _b in ((_LETTER, _DIGIT), (_LETTER, _MARK), (_LETTER, _APOSTROPHE), (_DIGIT, _LETTER), (_DIGIT, _DIGIT), (_DIGIT, _MARK), (_DIGIT, _APOSTROPHE), (_MARK, _LETTER), (_MARK, _DIGIT)):
+    _CUT[_a, _b] = True
+
+
+def units(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(where units begin, the units): stretches of lower-cased text that are encoded on their own.  ``begin`` has the texts' first bytes."""
+    kind = _KIND[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    inside = kind != _SPACE
+    new = inside.copy()
+    if len(new):
+        new[1:] &= ~inside[:-1] | _CUT[kind[:-1], kind[1:]]
+        first = begin[begin < len(new)]
+        new[first] = inside[first]
+    start = np.flatnonzero(new)
+    offsets = np.append(np.cumsum(inside)[start] - 1, inside.sum()).astype(np.int64)
+    return start, pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[inside].tobytes()))
+
+
 class Encoder:
-    """The tokenizers library on the distinct words of a batch; ids of words are remembered between batches.
+    """The tokenizers library on the distinct units of a batch; ids of units are remembered between batches.
 
-    White space separates pieces of this kind of vocabulary and is dropped, so a text's ids are those of its words.
+    White space separates pieces of this kind of vocabulary and is dropped, case does not matter, and its pattern parts letters, single digits
+    and other signs, so a text's ids are those of its units.  Texts that may hold a special token's string go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -57,34 +89,50 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.marks = sorted({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.start, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, words: list[str]) -> np.ndarray:
-        """Number of each word; new ones are encoded."""
-        new = [w for w in words if w not in self.known]
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        count = np.fromiter(map(len, made), np.int64, len(made))
+        return np.fromiter((i for m in made for i in m), np.uint32, int(count.sum())), count
+
+    def _learn(self, found: list[str]) -> np.ndarray:
+        """Number of each unit; new ones are encoded."""
+        new = [w for w in found if w not in self.known]
         if new:
-            made = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            count = np.fromiter(map(len, made), np.int64, len(made))
-            ids = np.fromiter((i for m in made for i in m), np.uint32, int(count.sum()))
+            ids, count = self._ids(new)
             self.start = np.append(self.start, len(self.ids) + np.cumsum(count) - count)
             self.ids, self.count = np.append(self.ids, ids), np.append(self.count, count)
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each has)."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
-        coded = split.values.slice(split.offsets[0].as_py(), split.offsets[-1].as_py() - split.offsets[0].as_py()).dictionary_encode()
-        word = self._learn(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
-        ids = self.ids[ranges(self.start[word], self.count[word])]
-        ends = np.append(0, np.cumsum(self.count[word]))[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        return ids, np.diff(ends)
+        whole = np.zeros(len(texts), bool)
+        for mark in self.marks:
+            whole |= pc.match_substring(texts, mark).fill_null(False).to_numpy(zero_copy_only=False)
+        data, offsets = flat(pc.if_else(pa.array(whole), "", texts) if whole.any() else texts)
+        data, offsets = _LOWER[data[offsets[0]:offsets[-1]]], offsets - offsets[0]
+        start, found = units(data, offsets[:-1])
+        coded = found.dictionary_encode()
+        unit = self._learn(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+        size = self.count[unit]
+        ids = self.ids[ranges(self.start[unit], size)]
+        count = np.diff(np.append(0, np.cumsum(size))[np.searchsorted(start, offsets)])
+        if whole.any():
+            at = np.flatnonzero(whole)
+            more, n = self._ids(texts.take(pa.array(at)).to_pylist())
+            place = np.append(0, np.cumsum(count))[at]
+            ids = np.insert(ids, np.repeat(place, n), more)
+            count[at] = n
+        return ids, count
 
 
 _MADE: dict[str, Encoder] = {}
@@ -99,25 +147,18 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = to
 
 
-def encode(documents: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, n, ids): the ids of every text with ``end_id`` behind them, as little-endian integers of two or four bytes."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+def _encoder(path: str) -> Encoder:
+    if path not in _MADE:
+        _MADE[path] = Encoder(path)
+    return _MADE[path]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _MADE:
-            _MADE[path] = Encoder(path)
-        made = _MADE[path]
-        for batch in batches:
-            for part in _slices(batch):
-                ids, n = made.encode(part.column("text"))
-                ends = np.cumsum(n)
-                ids = np.insert(ids, ends, end_id).astype(f"<u{made.width}")
-                size = (n + 1) * made.width
-                stop = np.cumsum(size)
-                raw = ids.tobytes()
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n + 1), pa.array([raw[b - k:b] for b, k in zip(stop.tolist(), size.tolist())], pa.binary())], schema=schema)
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, ids binary")
+def _coded(batches: Iterable[pa.RecordBatch], made: Encoder, end_id: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(doc_ids, how many ids each has, ids) of some documents at a time; ``end_id`` is behind each."""
+    for batch in batches:
+        for part in _slices(batch):
+            ids, n = made.encode(part.column("text"))
+            yield part.column("doc_id").cast(pa.int64()), n + 1, np.insert(ids, np.cumsum(n), end_id).astype(f"<u{made.width}")
 
 
 # --- files -------------------------------------------------------------------------------------------
@@ -227,39 +268,46 @@ class File:
         return cls(np.frombuffer(content, "<i8", n, HEADER), nulls, boundaries, np.frombuffer(content, f"<u{width}", total, HEADER + 8 * n + size))
 
 
-def _images(width: int, most: int):
+def _images(path: str, end_id: int, most: int):
+    """Files of documents that come in order."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = _encoder(path)
         doc_ids, counts, ids, total = [], [], [], 0
-        for batch in batches:
-            for i, n, x in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("ids")):
-                doc_ids.append(i)
-                counts.append(n)
-                ids.append(x.as_py())
-                total += n
+
+        def closed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"image": [image(pa.concat_arrays(doc_ids).to_pylist(), np.concatenate(counts), np.concatenate(ids).tobytes(), made.width)]})
+        for names, n, x in _coded(batches, made, end_id):
+            at, ends = 0, np.append(0, np.cumsum(n))
+            while at < len(n):  # up to the document that fills the file
+                to = min(int(np.searchsorted(ends, ends[at] + most - total)), len(n))
+                doc_ids.append(names.slice(at, to - at))
+                counts.append(n[at:to])
+                ids.append(x[ends[at]:ends[to]])
+                total += int(ends[to] - ends[at])
+                at = to
                 if total >= most:
-                    yield pa.RecordBatch.from_pydict({"image": [image(doc_ids, np.array(counts), b"".join(ids), width)]})
+                    yield closed()
                     doc_ids, counts, ids, total = [], [], [], 0
-        if doc_ids:
-            yield pa.RecordBatch.from_pydict({"image": [image(doc_ids, np.array(counts), b"".join(ids), width)]})
+        if total:
+            yield closed()
     return run
 
 
 def write(documents: DataFrame, path: str, end_id: int, folder: str | None = None, file_ids: int = FILE_IDS) -> str:
     """Encode every text and write the files; returns their folder, a new one in the shared folder unless ``folder`` names one.
 
-    Documents are in ascending order of doc_id, those without one first; rows with one doc_id by their number of ids, then by the ids' hash.  A
+    Documents are in ascending order of doc_id, those without one first; rows with one doc_id by their text's length, then its hash.  A
     null or empty text is its end id alone; equal rows are a document each.  An empty table leaves an empty folder; other columns are ignored.
-    The numbers in the files' names ascend in the order of the documents.
+    The numbers in the files' names ascend in the order of the documents.  Documents are dealt by ranges of that order, once; each task encodes its range as it
+    writes it.
     """
     spark = documents.sparkSession
     folder = folder or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    coded = table(encode(documents, path, end_id).withColumns({"h": F.xxhash64("ids"), "u": F.monotonically_increasing_id()}))
-    width = coded.select((F.octet_length("ids") / c("n")).cast("int").alias("w")).limit(1).collect()
-    by = [c("doc_id").asc_nulls_first(), c("n"), c("h"), c("u")]
-    ordered = coded.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by)
-    made = ordered.mapInArrow(_images(width[0]["w"] if width else 2, file_ids), "image binary")
+    by = [c("doc_id").asc_nulls_first(), c("size").asc_nulls_first(), c("h"), c("u")]
+    keyed = documents.select("doc_id", "text", F.octet_length("text").alias("size"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("u"))
+    ordered = keyed.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by).select("doc_id", "text")
+    made = ordered.mapInArrow(_images(path, end_id, file_ids), "image binary")
     made.select(c("image").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(folder)
-    drop(coded)
     release(spark)
     return folder
 

@@ -107,7 +107,7 @@ def vocabulary():
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-ODD = ["<|endoftext|> x<|startoftext|>y", "a b c\x0b\x0c\x1c\x85d", "é É ́x ΑΣ ΑΣ. ΣΑΣ' İstanbul", "I'll we're 'S don't's 12345 ½ ²", "​zero   line", "漢字 かな 한글 🙂👍🏽", "a\tb\r\nc\x00d", "x" * 3000, "'" * 50, " lead and trail "]
+ODD = ["<|endoftext|> x<|startoftext|>y", "a b c\x0b\x0c\x1c\x85d", "é É ́x ΑΣ ΑΣ. ΣΑΣ' İstanbul", "I'll we're 'S don't's 12345 ½ ²", "​zero   line", "漢字 かな 한글 🙂👍🏽", "a\tb\r\nc\x00d", "x" * 3000, "'" * 50, " lead and trail ", "Σ.a ΑΣ'b Σ1 aΣ.", "=\u0338 <\u0338> a\u0301 A\u0300b 1\u20e3 ,\u0301x é\u0301", "don't 'tis ,'tis x''s 5's '5 l'été d'Été. «où» «où», Ça×b÷c…, —, é, É! ÿ: à1 1à a1b2 12.5", "<|ENDOFTEXT|> <| a<|endoftext|>B |>", "\xa0a\xa0, a\u2009b,", "ab\x1cc, \x7f.a"]
 
 
 def token_rows():
@@ -129,7 +129,7 @@ def test_token_files(spark, file_ids):
     assert Counter((r["doc_id"], bytes(r["ids"])) for r in back) == Counter((i, np.array(x, "<u4").tobytes()) for (i, _), x in zip(rows, ids))
     order = sorted(back, key=lambda r: r["start"])
     assert [r["start"] for r in order] == [0, *np.cumsum([r["n_tokens"] for r in order])[:-1].tolist()]
-    key = [(r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"]) for r in order]
+    key = [(r["doc_id"] is not None, r["doc_id"] or 0) for r in order]
     assert key == sorted(key) and all(r["n_tokens"] * 4 == len(r["ids"]) for r in back)
     catalog = token_files.catalog(spark, folder).collect()
     assert sum(r["documents"] for r in catalog) == len(rows) and sum(r["ids"] for r in catalog) == sum(map(len, ids))
@@ -149,6 +149,19 @@ def test_token_positions(spark):
         assert (r["doc_id"], r["doc_start"], r["doc_end"], r["id"]) == (d["doc_id"], d["start"], d["start"] + d["n_tokens"], whole[r["position"]])
 
 
+def test_units_are_encoded_as_whole_texts_are():
+    import pyarrow as pa
+    r = np.random.default_rng(3)
+    signs = list("aBz019 .,'<|>=-_\t\n\x00\x1c\x85\xa0é×÷ÀßŁσΣς漢🙂\u0301\u0338\u20e3½²İ—…«'sdtmlrev")
+    texts = ["".join(r.choice(signs, int(n))) for n in r.integers(0, 60, 4000)] + ["<|endoftext|>x", "é<|startoftext|>", "", None]
+    made = token_files.Encoder(vocabulary())
+    want = [x[:-1] for x in plain_ids(texts)]
+    for a in range(0, len(texts), 700):
+        ids, n = made.encode(pa.array(texts[a:a + 700]))
+        ends = np.cumsum(n)
+        assert [ids[e - k:e].tolist() for e, k in zip(ends, n)] == want[a:a + 700]
+
+
 def test_no_token_files(spark):
     folder = token_files.write(K.frame(spark, []), vocabulary(), 1)
     assert token_files.read_documents(spark, folder).count() == 0 and token_files.catalog(spark, folder).count() == 0
