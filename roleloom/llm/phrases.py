@@ -25,7 +25,7 @@ from ._work import drop, release, table
 #: Bits of the bitmap that stands for the frequent groups of one length: 16 MB, whatever their number.
 FILTER_BITS = 27
 #: Groups that a task holds at most before it hands them on.
-HELD = 1 << 21
+HELD = 1 << 20
 NO_LANG = "und"
 _KIND = np.zeros(256, np.uint8)
 _KIND[[9, 32]] = 1
@@ -123,7 +123,7 @@ def _word_counts(documents: DataFrame) -> DataFrame:
     schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in pieces(batches, most=16 << 20):
+        for texts in pieces(batches):
             t = Tokens(texts)
             names = texts.batch.column("lang").to_pylist()
             key = mix(t.key + _lang_key(names)[t.doc])
@@ -225,7 +225,7 @@ def _phrase_counts(documents: DataFrame, filters: list[Broadcast]) -> DataFrame:
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in pieces(batches, most=16 << 20):
+        for texts in pieces(batches):
             t = Tokens(texts)
             names = texts.batch.column("lang").to_pylist()
             langs = pa.array(names, pa.string())
