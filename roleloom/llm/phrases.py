@@ -24,8 +24,8 @@ from ._work import drop, release, table
 
 #: Bits of the bitmap that stands for the frequent groups of one length: 16 MB, whatever their number.
 FILTER_BITS = 27
-#: Groups that a task holds at most before it hands them on.
-HELD = 1 << 20
+#: Groups that a task combines before it hands them on.
+HELD = 1 << 19
 NO_LANG = "und"
 _KIND = np.zeros(256, np.uint8)
 _KIND[[9, 32]] = 1
@@ -88,34 +88,27 @@ def _extended(place: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class _Counter:
-    """Counts of groups, combined in the task; a task holds at most HELD groups and those of one piece."""
+    """Counts of groups, combined in the task as long as it holds at most HELD of them."""
 
     def __init__(self):
-        self.keys, self.counts, self.size = [], [], 0
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def add(self, keys: np.ndarray) -> bool:
-        k, n = np.unique(keys, return_counts=True)
-        self.keys.append(k)
-        self.counts.append(n)
-        self.size += len(k)
-        if self.size > 2 * HELD:
-            k, n = self.merged()
-            self.keys, self.counts, self.size = [k], [n], len(k)
-        return self.size > HELD
-
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.keys) == 1:
-            return self.keys[0], self.counts[0]
-        keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-        return keys[at], np.add.reduceat(counts, at) if len(at) else counts
+        """Whether the counts have to be handed on."""
+        keys, counts = np.unique(keys, return_counts=True)
+        if len(self.keys):
+            keys, counts = np.append(self.keys, keys), np.append(self.counts, counts)
+            order = np.argsort(keys, kind="stable")
+            keys, counts = keys[order], counts[order]
+            at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            keys, counts = keys[at], np.add.reduceat(counts, at)
+        self.keys, self.counts = keys, counts
+        return len(keys) > HELD
 
     def batch(self) -> pa.RecordBatch:
-        k, n = self.merged() if self.keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        out = pa.RecordBatch.from_arrays([pa.array(self.keys.view(np.int64)), pa.array(self.counts.astype(np.int64))], names=["key", "n"])
         self.__init__()
-        return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+        return out
 
 
 def _word_counts(documents: DataFrame) -> DataFrame:
@@ -174,26 +167,29 @@ def _packed(place: np.ndarray, key: np.ndarray, kept: np.ndarray, borders: np.nd
     return pa.RecordBatch.from_arrays([cut(place), cut(key)], schema=_RELATION)
 
 
-def _tuples(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of packed arrays, and where each row's begin."""
+    size = np.dtype(kind).itemsize
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw.view(kind), (offsets - offsets[0]) // size
+
+
+def _tuples(batch: pa.RecordBatch, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(place, key, borders) of some documents at a time; places leave a gap between documents."""
-    places, keys, sizes, total = [], [], [], 0
-    for p, k in zip(batch.column("place"), batch.column("key")):
-        places.append(np.frombuffer(p.as_py(), "<i4"))
-        keys.append(np.frombuffer(k.as_py(), "<u8"))
-        sizes.append(len(places[-1]))
-        total += sizes[-1]
-        if total >= most:
-            yield _joined(places, keys, sizes)
-            places, keys, sizes, total = [], [], [], 0
-    if sizes:
-        yield _joined(places, keys, sizes)
-
-
-def _joined(places: list, keys: list, sizes: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    borders = np.append(0, np.cumsum(sizes))
-    place = np.concatenate(places).astype(np.int64)
-    width = np.array([int(p[-1]) + 2 if len(p) else 0 for p in places])
-    return place + np.repeat(np.cumsum(width) - width, sizes), np.concatenate(keys), borders
+    places, borders = _flat(batch.column("place"), "<i4")
+    keys, _ = _flat(batch.column("key"), "<u8")
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(borders, borders[at] + most, "right")) - 1)
+        cut = borders[at:to + 1] - borders[at]
+        place = places[borders[at]:borders[to]].astype(np.int64)
+        size = np.diff(cut)
+        width = np.zeros(len(size), np.int64)
+        width[size > 0] = place[cut[1:][size > 0] - 1] + 2
+        yield place + np.repeat(np.cumsum(width) - width, size), keys[borders[at]:borders[to]], cut
+        at = to
 
 
 def _group_counts(relation: DataFrame, least: int) -> DataFrame:
@@ -204,9 +200,12 @@ def _group_counts(relation: DataFrame, least: int) -> DataFrame:
             for place, key, _ in _tuples(batch):
                 if counter.add(_extended(place, key)[1]):
                     yield counter.batch()
-        yield counter.batch()
+        if len(counter.keys):
+            yield counter.batch()
 
-    return relation.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(c("n") >= least)
+    # Tasks have combined their rows already: dealt by key first, they are not combined a second time before the shuffle.
+    parts = int(relation.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return relation.mapInArrow(run, "key long, n long").repartition(parts, "key").groupBy("key").agg(F.sum("n").alias("n")).where(c("n") >= least)
 
 
 def _next_relation(relation: DataFrame, frequent: Broadcast) -> DataFrame:
