@@ -106,9 +106,12 @@ class _Counter:
         return len(keys) > HELD
 
     def batch(self) -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(self.keys.view(np.int64)), pa.array(self.counts.astype(np.int64))], names=["key", "n"])
+        """A number for each group: 48 bits of its key, and its count in 16; a larger count takes several rows."""
+        full, rest = np.divmod(self.counts, 0xFFFF)
+        again = np.repeat(self.keys, full)
+        value = np.append(self.keys << np.uint64(16) | rest.astype(np.uint64), again << np.uint64(16) | np.uint64(0xFFFF))
         self.__init__()
-        return out
+        return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64))], names=["packed"])
 
 
 def _word_counts(documents: DataFrame) -> DataFrame:
@@ -144,7 +147,8 @@ def _probe(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (bits[(low >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (low & np.uint64(63))) & np.uint64(1) != 0
 
 
-_RELATION = pa.schema([("place", pa.binary()), ("key", pa.binary())])
+#: Places are kept as steps of a byte from tuple to tuple: 1 to a neighbour, 2 over any gap.
+_RELATION = pa.schema([("step", pa.binary()), ("key", pa.binary())])
 
 
 def _first_relation(documents: DataFrame, frequent: Broadcast) -> DataFrame:
@@ -155,16 +159,17 @@ def _first_relation(documents: DataFrame, frequent: Broadcast) -> DataFrame:
             key = mix(t.key + _lang_key(texts.batch.column("lang").to_pylist())[t.doc])
             yield _packed(t.place, key, _probe(frequent.value, key), np.append(0, np.cumsum(t.count)))
 
-    return documents.select("lang", "text").mapInArrow(run, "place binary, key binary")
+    return documents.select("lang", "text").mapInArrow(run, "step binary, key binary")
 
 
 def _packed(place: np.ndarray, key: np.ndarray, kept: np.ndarray, borders: np.ndarray) -> pa.RecordBatch:
     """Tuples that are kept, a row for each document; ``borders`` are where documents begin and end among the tuples."""
     ends = np.append(0, np.cumsum(kept))[borders]
-    place, key = place[kept].astype("<i4"), key[kept].astype("<u8")
-    place -= np.repeat(place[np.minimum(ends[:-1], max(len(place) - 1, 0))] if len(place) else np.zeros(len(ends) - 1, np.int32), np.diff(ends))  # from 0 in each document
+    step = np.minimum(np.diff(place[kept], prepend=0), 2).astype(np.uint8)
+    key = key[kept].astype("<u8")
+    step[ends[:-1][ends[:-1] < len(step)]] = 2
     cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())
-    return pa.RecordBatch.from_arrays([cut(place), cut(key)], schema=_RELATION)
+    return pa.RecordBatch.from_arrays([cut(step), cut(key)], schema=_RELATION)
 
 
 def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -178,22 +183,18 @@ def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
 
 def _tuples(batch: pa.RecordBatch, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(place, key, borders) of some documents at a time; places leave a gap between documents."""
-    places, borders = _flat(batch.column("place"), "<i4")
+    steps, borders = _flat(batch.column("step"), "u1")
     keys, _ = _flat(batch.column("key"), "<u8")
     at = 0
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(borders, borders[at] + most, "right")) - 1)
-        cut = borders[at:to + 1] - borders[at]
-        place = places[borders[at]:borders[to]].astype(np.int64)
-        size = np.diff(cut)
-        width = np.zeros(len(size), np.int64)
-        width[size > 0] = place[cut[1:][size > 0] - 1] + 2
-        yield place + np.repeat(np.cumsum(width) - width, size), keys[borders[at]:borders[to]], cut
+        part = slice(borders[at], borders[to])
+        yield np.cumsum(steps[part], dtype=np.int64), keys[part], borders[at:to + 1] - borders[at]
         at = to
 
 
 def _group_counts(relation: DataFrame, least: int) -> DataFrame:
-    """(key, n) of the groups of the next length with at least ``least`` tuples."""
+    """(key, n) of the groups of the next length with at least ``least`` tuples; groups are told apart by 48 bits here."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _Counter()
         for batch in batches:
@@ -205,7 +206,8 @@ def _group_counts(relation: DataFrame, least: int) -> DataFrame:
 
     # Tasks have combined their rows already: dealt by key first, they are not combined a second time before the shuffle.
     parts = int(relation.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return relation.mapInArrow(run, "key long, n long").repartition(parts, "key").groupBy("key").agg(F.sum("n").alias("n")).where(c("n") >= least)
+    counts = relation.mapInArrow(run, "packed long").repartition(parts, F.expr("shiftrightunsigned(packed, 16)"))
+    return counts.selectExpr("shiftrightunsigned(packed, 16) AS key", "packed & 65535L AS n").groupBy("key").agg(F.sum("n").alias("n")).where(c("n") >= least)
 
 
 def _next_relation(relation: DataFrame, frequent: Broadcast) -> DataFrame:
@@ -216,7 +218,7 @@ def _next_relation(relation: DataFrame, frequent: Broadcast) -> DataFrame:
                 at, longer = _extended(place, key)
                 yield _packed(place[at], longer, _probe(frequent.value, longer), np.searchsorted(at, borders))
 
-    return relation.mapInArrow(run, "place binary, key binary")
+    return relation.mapInArrow(run, "step binary, key binary")
 
 
 def _phrase_counts(documents: DataFrame, filters: list[Broadcast]) -> DataFrame:
