@@ -16,7 +16,7 @@ from ._work import ascii_lower, key
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
 SHINGLE = 3
-#: Benchmarks of up to this many windows are sent to all executors (under 64 MB); larger ones are joined by a shuffle.
+#: Default bound of the windows that are sent to all executors: under 64 MB.
 BROADCAST_WINDOWS = 200_000
 
 c = F.col
@@ -53,12 +53,17 @@ def _tokens(docs: DataFrame, sizes: list[int]) -> DataFrame:
     return out.withColumn("token", F.explode(F.array(*[_token(c("_pos"), s) for s in sizes])))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """(_d, _t, start, size, item_id): every occurrence of a benchmark window in a document; _w holds the document's words."""
+def hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, broadcast_windows: int | None = None) -> DataFrame:
+    """(_d, _t, start, size, item_id): every occurrence of a benchmark window in a document; _w holds the document's words.
+
+    Up to ``broadcast_windows`` windows are sent to all executors and a document's words are compared where they are read.  More are joined by a
+    shuffle of (document, place, token) rows; the candidates that fit then meet the words of their document, each of which is moved once.
+    """
+    most = BROADCAST_WINDOWS if broadcast_windows is None else broadcast_windows
     win = windows(benchmark, width)
     n, sizes = win.agg(F.count("*"), F.sort_array(F.collect_set(F.least("size", F.lit(SHINGLE))))).first()  # at most three sizes
     sizes = sizes or [SHINGLE]
-    small = (lambda d: F.broadcast(d)) if n <= BROADCAST_WINDOWS else (lambda d: d)
+    small = (lambda d: F.broadcast(d)) if n <= most else (lambda d: d)
     kinds = [_offsets(s) for s in sizes]
     choice = kinds[-1]
     for s, kind in reversed(list(zip(sizes, kinds))):
@@ -71,19 +76,24 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFram
               .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "off")).alias("_r")).where(c("_r.n") > 0)
               .select("item_id", "window", "size", c("_r.token").alias("token"), c("_r.off").alias("off")))
     start = c("_pos") - c("off")
+    if n > most:
+        places = tokens.select("_d", "_t", "_pos", F.size("_w").alias("_n"), "token")
+        fits = places.join(rarest, "token").where((start >= 0) & (start + c("size") <= c("_n"))).select("_d", "_t", start.alias("start"), "size", "item_id", "window").distinct()
+        return fits.join(docs.select("_d", "_t", "_w"), ["_d", "_t"]).where(F.slice("_w", c("start") + 1, c("size")) == c("window")).select("_d", "_t", "start", "size", "item_id")
     return (tokens.join(small(rarest), "token").where((start >= 0) & (start + c("size") <= F.size("_w")))
             .where(F.slice("_w", start + 1, c("size")) == c("window")).select("_d", "_t", start.alias("start"), "size", "item_id"))
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW, percent: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW, percent: int = 5, carry: tuple[str, ...] = (), broadcast_windows: int | None = None) -> DataFrame:
     """Words of each document that stand inside an occurrence of a benchmark window.
 
     Returns doc_id, n_words, n_hit, n_items, items_sha256 and contaminated (at least one word and ``percent`` of all words hit), one row
     per input row.  A null or empty text has no words and is clean; items without words have no windows, a null item_id is left out of
     the items but its windows count; repeated rows each give a row; an empty benchmark hits nothing; other columns are ignored, but those named in ``carry`` follow the result's.
+    ``broadcast_windows`` is as in ``hits``; the rows do not depend on it.
     """
     docs = documents.select("doc_id", key().alias("_d"), F.xxhash64("text").alias("_t"), words(c("text")).alias("_w"), *carry)
-    found = hits(docs, benchmark, width).select("_d", "_t", "start", (c("start") + c("size")).alias("end"), "item_id")
+    found = hits(docs, benchmark, width, broadcast_windows).select("_d", "_t", "start", (c("start") + c("size")).alias("end"), "item_id")
     # Occurrences of one document in order: each adds the words behind the furthest end so far.
     before = F.max("end").over(W.partitionBy("_d", "_t").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1))
     per_doc = (found.groupBy("_d", "_t", "start").agg(F.max("end").alias("end"), F.collect_set(c("item_id").cast("string")).alias("items"))
