@@ -87,6 +87,25 @@ def run_summary(outcomes: DataFrame) -> DataFrame:
                         .when(c("parse_errors") > 0, "PARTIAL").otherwise("SUCCESS")).drop("f")
 
 
+def missed_in_run(runs: DataFrame, links: DataFrame, now) -> DataFrame:
+    """(job_id, misses): for each job the sources whose run of this tick had items but did not see it.
+
+    ``runs(source_id, status, items_found)`` are those of the tick, ``links`` the state behind it, in which sightings of the tick carry ``now``.
+    """
+    ran = runs.where(~c("status").isin("FAILED", "SKIPPED") & (c("items_found") > 0)).select("source_id")
+    last = links.join(ran, "source_id").groupBy("source_id", "job_id").agg(F.max("last_seen_at").alias("last_seen_at"))
+    return last.where(c("last_seen_at") < ts_lit(now)).groupBy("job_id").agg(F.count("*").alias("misses"))
+
+
+def sources_after(sources: DataFrame, runs: DataFrame, now) -> DataFrame:
+    """The sources that ran in this tick, with their times and failure counts: success sets the count to zero, a failure adds one, a refusal leaves it."""
+    t = ts_lit(now)
+    ok, failed = c("_status").isin("SUCCESS", "PARTIAL"), c("_status") == "FAILED"
+    out = sources.join(runs.select("source_id", c("status").alias("_status")), "source_id")
+    failures = F.when(ok, 0).when(failed, F.coalesce("consecutive_failures", F.lit(0)) + 1).otherwise(c("consecutive_failures"))
+    return out.withColumns({"last_run_at": t, "last_success_at": F.when(ok, t).otherwise(c("last_success_at")), "consecutive_failures": failures.cast("int")}).drop("_status")
+
+
 def consecutive_failures(runs: DataFrame) -> DataFrame:
     """Failures since the last success per source: two map-side combined aggregates and no per-source window."""
     good = runs.where(c("status").isin("SUCCESS", "PARTIAL")).groupBy("source_id").agg(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -80,6 +81,19 @@ def _remove_made() -> None:
 atexit.register(_remove_made)
 
 
+@contextmanager
+def temporary_tables():
+    """Intermediate tables made inside end with the block: a long-running stream keeps none of its earlier ticks' tables."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        mine, _MADE[before:] = _MADE[before:], []
+        for spark, path in mine:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """``df`` written to a table of its own in the shared folder and read again: the lineage is cut, lost executors cost nothing, and later steps read only their columns."""
     spark = df.sparkSession

@@ -15,7 +15,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ..operators.alerts import latest_per
 from ..operators.enrich import enrich, resolve_organization
 from ..sources.registry import validate_postings
-from ..sources.tables import SCHEMAS, shared_folder
+from ..sources.state import StateStore
+from ..sources.tables import SCHEMAS, shared_folder, temporary_tables
 
 c = F.col
 
@@ -97,24 +98,22 @@ def collect_stream(postings: DataFrame, orgs: DataFrame, folder: str) -> DataFra
     return run_to_table(postings, folder, "append", one_batch)
 
 
-def collect_pipeline(postings: DataFrame, state: dict[str, DataFrame], folder: str, now, **tables: DataFrame) -> dict[str, DataFrame]:
-    """Whole collection over a stream: every micro-batch is one tick on the state that the tick before it left.
+def collect_pipeline(postings: DataFrame, state: dict[str, DataFrame], folder: str, now, compact_after: int = 8, **tables: DataFrame | None) -> dict[str, DataFrame]:
+    """Whole collection over a stream: every micro-batch is one tick on the state that the tick before it left.  Returns the last state.
 
-    State ``n`` lies in ``folder/state=<n>`` and is written by batch ``n`` alone, over any first attempt of its own, so a retried batch starts from
-    the same tables; a later run with the same folder goes on from the last state, and no alert is made twice.
+    The state lies in ``folder`` as a ``StateStore``: a tick writes the rows that it changes, its own intermediate tables go when it is complete, and old versions of the
+    state are deleted.  A retried batch starts from the manifest before its own; a later run with the same folder goes on from the last one, and no alert
+    is made twice.  ``now`` is the time of all ticks, or a function of the batch's number.
     """
-    from ..operators.collect import STATE, collect_tick
+    from ..operators.collect import KEYS, collect_changes
     spark = postings.sparkSession
-
-    def load(n: int) -> dict[str, DataFrame]:
-        return {k: spark.read.schema(state[k].schema).parquet(f"{folder}/state={n}/{k}") for k in STATE}
+    store = StateStore(spark, f"{folder}/state", {k: v.schema for k, v in state.items()}, {k: KEYS[k] for k in state}, compact_after)
+    store.begin(state)
 
     def tick(df: DataFrame, batch_id: int) -> None:
-        out = collect_tick(df, load(batch_id - 1) if batch_id else state, now=now, **tables)
-        for k in STATE:
-            out[k].write.mode("overwrite").parquet(f"{folder}/state={batch_id}/{k}")
-        spark.createDataFrame([(batch_id,)], "batch long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/done/batch={batch_id}")
+        with temporary_tables():
+            out = collect_changes(df, store.load(batch_id - 1), now=now(batch_id) if callable(now) else now, tick=batch_id, **tables)
+            store.commit(batch_id, {k: out[k] for k in state if k in out})
     query = postings.writeStream.option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(tick).trigger(availableNow=True).start()
     query.awaitTermination()
-    last = spark.read.parquet(f"{folder}/done").agg(F.max("batch")).first()[0]
-    return load(last)
+    return store.load(store.last())
