@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rules as R, text as T
 from ..functions.patterns import let
+from ..sources.tables import materialised
 from .enrich import canonical_discipline, category_scores
 from .search import active_where
 
@@ -310,13 +311,33 @@ def match_for_user(user_id, profiles: DataFrame, jobs: DataFrame, orgs: DataFram
     return match(live.select(F.lit(user_id).cast(profiles.schema["user_id"].dataType).alias("user_id"), "job_id"), profiles.where(c("user_id") == user_id), live, orgs)
 
 
+#: Profile fields that the rules read; candidates who agree in all of them get the same result for every job.
+SCORED_FIELDS = ["discipline", "has_masters", "bachelor_cgpa", "cgpa_scale", "ssc_gpa", "hsc_gpa", "has_third_division", "experience_years", "banking_experience", "skills", "primary_focus", "preferred_roles",
+                 "preferred_org_slugs", "preferred_locations", "open_to_remote", "age"]
+
+
+def profile_classes(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes, members): one profile for each different set of scored fields, that of the smallest user_id, and (class_id, user_id) of every candidate.
+
+    Sets of fields are compared by a 256-bit digest; classes are combined before the shuffle, so one that holds most candidates costs no more than others.
+    """
+    keyed = profiles.select("user_id", *SCORED_FIELDS).withColumn("_key", F.sha2(F.to_json(F.struct(*SCORED_FIELDS)), 256))
+    classes = keyed.groupBy("_key").agg(F.min_by(F.struct("user_id", *SCORED_FIELDS), "user_id").alias("r")).select("_key", "r.*")
+    members = keyed.select("_key", "user_id").join(classes.select("_key", c("user_id").alias("class_id")), "_key").select("class_id", "user_id")
+    return classes.drop("_key"), members
+
+
 def match_for_jobs(changed: DataFrame, profiles: DataFrame, jobs: DataFrame, orgs: DataFrame, blocks: int = 64) -> DataFrame:
     """The changed jobs of one tick, ``changed(job_id)``, against every candidate.
 
-    The result has (candidates x changed jobs) rows by definition.  Candidates are dealt into blocks and every changed id is sent to each
-    block, so the pairs of a block are made and scored by one task and nothing is left out.
+    The result has (candidates x changed jobs) rows by definition, but only (profile classes x changed jobs) are scored; they meet the members of
+    their class at the end.  Classes are dealt into blocks and every changed id is sent to each block, so the pairs of a block are made and scored
+    by one task and nothing is left out.
     """
+    classes, members = profile_classes(profiles)
+    classes = materialised(classes)
     asked = changed.select("job_id").distinct()
-    dealt = profiles.select("user_id", F.pmod(F.xxhash64("user_id"), F.lit(blocks)).alias("_b"))
+    dealt = classes.select("user_id", F.pmod(F.xxhash64("user_id"), F.lit(blocks)).alias("_b"))
     pairs = dealt.join(asked.select("job_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_b")), "_b").select("user_id", "job_id")
-    return match(pairs, profiles, jobs.join(asked, "job_id", "left_semi"), orgs)
+    scored = match(pairs, classes, jobs.join(asked, "job_id", "left_semi"), orgs).withColumnRenamed("user_id", "class_id")
+    return scored.join(members, "class_id").select("user_id", "job_id", "verdict", "score", "reasons")

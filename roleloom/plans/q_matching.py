@@ -34,7 +34,8 @@ def yrs(e):
 _EQ = "CASE code " + " ".join(f"WHEN '{k}' THEN {Q.listed(v)}" for k, v in R.DISCIPLINE_EQUIVALENTS.items()) + " ELSE [code] END"
 _ROLE_CAT = f"(CASE WHEN k[1] >= 1000 THEN ({Q.listed(_CATS)})[100 - k[1] % 100] ELSE 'GENERAL_IT_OFFICER' END)"
 _SIM = Q.similarity("rn", "tn")
-_HIT = "list_filter({0}, lambda s: len(list_filter(mine, lambda m: " + Q.skill_matches("m", Q.norm_skill("s")) + ")) > 0)"
+_HIT = "list_filter({0}, lambda s: list_contains(coalesce(known, []), s))"
+_KNOWS = "len(list_filter(mine, lambda m: " + Q.skill_matches("m", Q.norm_skill("s")) + ")) > 0"
 
 
 def _school(label, need, mine):
@@ -47,18 +48,20 @@ def pairs_sql(pairs, jobs="{v_jobs}"):
     """CTE chain ending in ``z``: one row per pair with every flag, point and reason."""
     fit = " ".join(f"WHEN primary_focus = '{k}' AND category IN {Q.strings(v['fit'])} THEN 15" for k, v in R.FOCUS.items())
     clash = " OR ".join(f"(primary_focus = '{k}' AND category IN {Q.strings(v['conflict'])})" for k, v in R.FOCUS.items())
-    return f"""WITH pj AS ({pairs}),
-  pr AS (SELECT *, {CANON_SQL} AS code, CASE WHEN cgpa_scale = 5 THEN bachelor_cgpa * 4 / 5 ELSE bachelor_cgpa END AS cgpa, list_transform(skills, lambda s: {Q.norm_skill('s')}) AS mine FROM {{v_profiles}}),
+    return f"""WITH pj AS MATERIALIZED ({pairs}),
+  pr AS MATERIALIZED (SELECT *, {CANON_SQL} AS code, CASE WHEN cgpa_scale = 5 THEN bachelor_cgpa * 4 / 5 ELSE bachelor_cgpa END AS cgpa, list_transform(skills, lambda s: {Q.norm_skill('s')}) AS mine FROM {{v_profiles}}),
   ro AS (SELECT role, {Q.normalize_title('role')} AS rn, {score_codes('lower(role)', "''", "''")} AS k FROM (SELECT DISTINCT unnest(preferred_roles) AS role FROM {{v_profiles}}) q),
   rc AS (SELECT role, rn, {_ROLE_CAT} AS rcat FROM ro),
-  jb AS (SELECT j.*, o.slug AS org_slug, {Q.normalize_title('j.title')} AS tn FROM {jobs} j JOIN {{v_orgs}} o USING (org_id)),
+  jb AS MATERIALIZED (SELECT j.*, o.slug AS org_slug, {Q.normalize_title('j.title')} AS tn FROM {jobs} j JOIN {{v_orgs}} o USING (org_id)),
   ur AS (SELECT p.user_id, rc.rn, rc.rcat FROM (SELECT user_id, unnest(preferred_roles) AS role FROM pr) p JOIN rc USING (role)),
   combos AS (SELECT rn, tn, {_SIM} AS sim FROM (SELECT DISTINCT ur.rn, jb.tn FROM pj JOIN ur USING (user_id) JOIN jb USING (job_id)) q),
   rs AS (SELECT pj.user_id, pj.job_id, max(sim) AS sim, bool_or(ur.rcat = jb.category OR list_contains(jb.secondary_categories, ur.rcat)) AS rhit
     FROM pj JOIN ur USING (user_id) JOIN jb USING (job_id) JOIN combos ON combos.rn = ur.rn AND combos.tn = jb.tn GROUP BY 1, 2),
+  stated AS (SELECT DISTINCT s FROM (SELECT unnest(required_skills || preferred_skills) AS s FROM jb) q),
+  sm AS MATERIALIZED (SELECT mine, list(s) AS known FROM (SELECT DISTINCT mine FROM pr) q, stated WHERE {_KNOWS} GROUP BY 1),
   a AS (SELECT pr.*, jb.* EXCLUDE (age_limit, requirements_parsed), jb.age_limit, jb.requirements_parsed, rs.sim, rs.rhit, list_filter(education_disciplines, lambda x: x <> 'RELATED') AS codes,
      {_HIT.format('required_skills')} AS hreq, {_HIT.format('preferred_skills')} AS hpref
-     FROM pj JOIN pr USING (user_id) JOIN jb USING (job_id) LEFT JOIN rs ON rs.user_id = pr.user_id AND rs.job_id = jb.job_id),
+     FROM pj JOIN pr USING (user_id) JOIN jb USING (job_id) LEFT JOIN sm ON sm.mine = pr.mine LEFT JOIN rs ON rs.user_id = pr.user_id AND rs.job_id = jb.job_id),
   s AS (SELECT *,
      CASE WHEN len(codes) = 0 THEN 'missing' WHEN code IS NULL THEN 'manual' WHEN list_contains(codes, 'ANY') THEN 'any' WHEN list_has_any(codes, {_EQ}) THEN 'ok'
        WHEN list_contains(education_disciplines, 'RELATED') AND code IN {Q.strings(R.TECH_DISCIPLINES)} AND list_has_any(codes, {Q.listed(R.TECH_DISCIPLINES)}) THEN 'cap' ELSE 'fail' END AS disc,
@@ -172,7 +175,7 @@ def _(t):
 _CHANGED = "updated_at >= $NOW$ - INTERVAL 30 MINUTE"
 
 
-@register("match_for_jobs", pairs_sql(f"SELECT user_id, job_id FROM {{v_profiles}} CROSS JOIN {{v_jobs}} WHERE {_CHANGED}") + f"SELECT user_id, job_id, verdict, score, {REASONS} AS reasons FROM z")
+@register("match_for_jobs", pairs_sql(f"SELECT user_id, job_id FROM {{v_profiles}} CROSS JOIN (SELECT job_id FROM {{v_jobs}} WHERE {_CHANGED}) q", f"(SELECT * FROM {{v_jobs}} WHERE {_CHANGED})") + f"SELECT user_id, job_id, verdict, score, {REASONS} AS reasons FROM z")
 def _(t):
     changed = t.v_jobs.where(F.expr(f"updated_at >= TIMESTAMP_NTZ '{NOW}' - INTERVAL '30' MINUTE"))
     return _full(M.match_for_jobs(changed, spread(t.v_profiles), t.v_jobs, t.v_orgs))
