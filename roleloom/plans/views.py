@@ -242,26 +242,31 @@ SELECT j.job_id AS posting_id, j.job_id % 8 AS kind,
   CASE WHEN j.job_id % 8 = 3 THEN 'ours' ELSE 'theirs' END AS copy_hash
 FROM {{v_jobs0}} j"""
 
-# Circular text: one sentence per requirement, wording and numbers vary with the key.
+# Circular text: a sentence for each requirement, or none, from these lists; every branch of the rules is met.
+_POINTS = ("2.40", "2.85", "3.15", "3.65")
+_SPANS = ((1, 4), (4, 9), (6, 11))
+_DEGREES = [*[f"{d} graduates only. " for d in ("BSc in Statistics or Mathematics", "Degree in ETE, ECE", "Bachelor of Software Engineering, ICT")], "", "A degree in Physics or a relevant field. ", "Degree: any discipline. ", "A bachelor degree in EEE with an MBA on top. "]
+_RESULTS = [*[f"Minimum CGPA {p}. " for p in _POINTS], "", f"Result of {_POINTS[1]}/4.00 in the last degree. ", "HSC with GPA 4.75 out of 5.00. "]
+_SCHOOL = ["GPA 3.25 in SSC. ", "", "GPA 4.25 out of 5 in HSC. ", "SSC and HSC GPA 2.75 each. "]
+_MASTERS = ["Masters is a must. ", "Masters is not compulsory. ", "", "Masters desirable. "]
+_CLASSES = ["A third class is not allowed. ", "", "Third division results will not be considered. ", "No third class. "]
+_YEARS = [*[f"{a} to {b} years of experience. " for a, b in _SPANS], "Fresh graduates are welcome. ", "", "Minimum six years of experience in operations. ", "At least 12+ years of experience. ", "Freshers are eligible, or 1-3 years of work. "]
+_AGES = [*[f"Age limit: {a} years. " for a in (27, 33, 45)], "", "Age within 38 years. "]
+_TOOLS = ["PHP, Laravel and MySQL. Git is a plus. ", "Linux, VMware and CCNP. Azure preferred. ", "ETL with Oracle, Tableau for charts. ", "", "Kafka and MongoDB. Docker would be an advantage. ", "CISSP, SIEM, firewall. ", "Flutter, Android. React is desirable. "]
+_LENDERS = ["Banking experience desirable. ", "", "Experience in a financial institution is desirable. "]
+_SEATS = ["Vacancy: 3. ", "", "Number of vacancies: 17. "]
+_PAY = ["Salary: BDT 42000 to 61000. ", "", "Salary: as per scale. "]
+_PLACES = ["Job location: Khulna and Barishal. ", "Anywhere in Bangladesh. ", "", "Office in Rajshahi. "]
+_DESKS = ["Hybrid weeks. ", "", "Work from home. ", "On-site only. "]
+_CLOSING = ["Application deadline: 28 November 2026", "Last date of submission: 09/08/2026", "", "Apply by 2027-01-19", "Deadline: 30 February 2027"]
 VIEWS["v_circulars"] = f"""
 SELECT o_orderkey AS posting_id,
   concat({pick('o_orderkey', 'Senior ', 'Sr. ', 'Contractual ', '', 'Intern ', 'Head of ', 'AVP - ')}, {pick(div('o_orderkey', 7), *ROLES, 'Civil Engineer', 'Branch Manager', 'Probationary Officer', 'Cash Officer')}) AS title,
   CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE {pick(div('o_orderkey', 3), 'IT', 'Human Resources', 'Digital Banking', 'Operations')} END AS department,
   concat(
-    {pick('o_orderkey', 'Candidates hold a BSc in CSE, CS or EEE. ', 'Four-year degree in Computer Science and Engineering or a related discipline. ', 'Graduates of any discipline may apply. ', '', 'B.Sc. in IT or Software Engineering; an MBA helps. ')},
-    {pick(div('o_orderkey', 2), 'CGPA 3.00 out of 4.00 at least. ', 'We ask for a CGPA of 2.75 on a scale of 4.00. ', '', 'CGPA from 3.25 upwards. ', 'SSC with GPA 5.00 out of 5.00. ', 'Final result 3.5/4.0. ')},
-    {pick(div('o_orderkey', 3), 'SSC and HSC both with a GPA of 4.00. ', '', 'In HSC a GPA of 3.50 out of 5. ', 'Secondary school GPA 3.00/5. ')},
-    {pick(div('o_orderkey', 5), 'A Masters degree is mandatory here. ', 'Masters degree is not mandatory for this post. ', '', 'Masters holders are welcome. ')},
-    {pick(div('o_orderkey', 4), 'We accept no third division at any level! ', '', 'A third class will not be accepted by us. ')},
-    {pick(div('o_orderkey', 7), 'You bring 3 to 5 years of experience with software. ', 'Minimum two years experience at a lender. ', 'Freshers may apply. ', '', 'At least 7+ years of experience in this field. ', 'No experience required, though 1-2 years are fine. ')},
-    {pick(div('o_orderkey', 6), 'Age: at most 30 years, maximum 30. ', 'Age not more than 35 on joining. ', '', 'Age limit: 40 years on the closing day. ')},
-    {pick(div('o_orderkey', 8), 'Daily work uses Java, Spring Boot and Oracle. Kubernetes knowledge is preferred. ', 'Cisco gear, CCNA, routing and firewall rules. ', 'Reports in Python, SQL and Power BI for MIS. ', '', 'C# / ASP.NET on SQL Server, REST APIs. Knowing Docker is a plus. ', 'SIEM, VAPT, ISO 27001, PCI-DSS. ')},
-    {pick(div('o_orderkey', 9), 'Banking experience is preferred. ', '', 'Experience in a bank is an added advantage. ')},
-    {pick(div('o_orderkey', 10), 'No. of vacancies: 5. ', '', 'Vacancy 12. ')},
-    {pick(div('o_orderkey', 11), 'Salary range: BDT 50000 to 70000 a month. ', '', 'Salary: Negotiable. ')},
-    {pick(div('o_orderkey', 12), 'Job location: Dhaka and Chittagong. ', 'You may work anywhere in Bangladesh. ', '', 'Based in our Sylhet office. ')},
-    {pick(div('o_orderkey', 13), 'Hybrid work is possible. ', '', 'A fully remote role. ', 'Work is on-site. ')},
-    {pick(div('o_orderkey', 14), 'Application deadline: 15 October 2026', 'Last date of submission: 05/11/2026', '', 'Apply by 2026-12-01', 'Deadline: 31 February 2026')}) AS description
+    {pick('o_orderkey', *_DEGREES)}, {pick(div('o_orderkey', 2), *_RESULTS)}, {pick(div('o_orderkey', 3), *_SCHOOL)}, {pick(div('o_orderkey', 5), *_MASTERS)}, {pick(div('o_orderkey', 4), *_CLASSES)},
+    {pick(div('o_orderkey', 7), *_YEARS)}, {pick(div('o_orderkey', 6), *_AGES)}, {pick(div('o_orderkey', 8), *_TOOLS)}, {pick(div('o_orderkey', 9), *_LENDERS)}, {pick(div('o_orderkey', 10), *_SEATS)},
+    {pick(div('o_orderkey', 11), *_PAY)}, {pick(div('o_orderkey', 12), *_PLACES)}, {pick(div('o_orderkey', 13), *_DESKS)}, {pick(div('o_orderkey', 14), *_CLOSING)}) AS description
 FROM {{orders}}"""
 
 # Robots text per organisation host, with fetch outcomes.
