@@ -6,8 +6,9 @@ covers Unicode white space in both spellings, and ``$`` is the end of the text
 (Java's ``$`` would also match before a final line break).
 """
 
-from functools import reduce
+from functools import reduce, wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column, functions as F
 
 _SPACE = r"\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
@@ -98,6 +99,19 @@ def let(value: Column, fn) -> Column:
     return F.transform(F.array(value), fn)[0]
 
 
+def once(build):
+    """Keep what ``build(*names)`` returns: columns that refer to other columns by name alone are the same for every table, and large ones take seconds to put together."""
+    made: dict = {}
+
+    @wraps(build)
+    def kept(*names: str):
+        key = (id(SparkContext._gateway), names)
+        if key not in made:
+            made[key] = build(*names)
+        return made[key]
+    return kept
+
+
 def _sequence_needs(branch: str) -> list[str] | None:
     """Literals of which any match of one alternative contains at least one; the most selective choice."""
     options, run, i = [], "", 0

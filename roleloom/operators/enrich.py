@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rules as R, text as T
 from ..functions.dates import parse_local_date
-from ..functions.patterns import group, has, let, spell, sub
+from ..functions.patterns import group, has, let, once, spell, sub
 
 c = F.col
 Q_NONE = lambda kind: F.lit(None).cast(kind)
@@ -61,13 +61,26 @@ def category_scores(title: Column, department: Column, text: Column) -> Column:
     return let(F.struct(title.alias("t"), body.alias("b"), department.alias("d")), build)
 
 
+def _low(*names: str) -> list[Column]:
+    return [F.lower(F.coalesce(c(n), F.lit(""))) for n in names]
+
+
+@once
+def _scores_of(title: str, department: str, text: str) -> Column:
+    return category_scores(*_low(title, department, text))
+
+
+@once
+def _relevant(title: str, department: str, text: str) -> Column:
+    return is_tech_job(*_low(title, department, text))
+
+
 def categorize(df: DataFrame, title: str = "title", department: str = "department", text: str = "text", fallback=None) -> DataFrame:
     """Adds ``scores``, ``category`` and ``secondary_categories``.
 
     ``fallback(title, text) -> Column`` (for example an Arrow UDF) is asked only where no title rule fired.
     """
-    low = [F.lower(F.coalesce(c(n), F.lit(""))) for n in (title, department, text)]
-    scored = df.withColumn("scores", category_scores(*low))
+    scored = df.withColumn("scores", _scores_of(title, department, text))
     best = F.filter("scores", lambda x: x["minus"] <= -10)
     default = F.lit(R.DEFAULT_CATEGORY)
     other = default if fallback is None else F.coalesce(fallback(c(title), c(text)), default)
@@ -219,16 +232,21 @@ def requirements_parsed(codes: Column, *values: Column) -> Column:
     return reduce(lambda a, b: a | b, [v.isNotNull() for v in values], F.coalesce(F.size(codes) > 0, F.lit(False)))
 
 
+@once
+def _requirements(raw: str, lowered: str, sentences: str) -> dict[str, Column]:
+    r, low, sents = c(raw), c(lowered), c(sentences)
+    return {
+        "_edu": extract_disciplines(sents), "_school": extract_ssc_hsc(sents), "_exp": extract_experience(low), "_skills": split_skills(sents),
+        "min_cgpa": extract_cgpa(low), "masters_required": extract_masters(low), "no_third_division": extract_third_division(low),
+        "age_limit": extract_age(low), "banking_experience_preferred": banking_preferred(low), "x_vacancies": extract_vacancies(low),
+        "x_salary": extract_salary(r), "x_deadline": extract_deadline(r), "x_location": extract_location(low), "x_work_mode": extract_work_mode(low)}
+
+
 def extract_requirements(df: DataFrame, text: str = "full_text") -> DataFrame:
     """Adds one column per requirement; null or empty means "not stated"."""
     base = (df.withColumn("_raw", F.replace(c(text), F.lit("\r"), F.lit("")))
             .withColumn("_low", F.lower("_raw")).withColumn("_sent", T.sentences(c("_raw"))))
-    r, low, sents = c("_raw"), c("_low"), c("_sent")
-    out = base.withColumns({
-        "_edu": extract_disciplines(sents), "_school": extract_ssc_hsc(sents), "_exp": extract_experience(low), "_skills": split_skills(sents),
-        "min_cgpa": extract_cgpa(low), "masters_required": extract_masters(low), "no_third_division": extract_third_division(low),
-        "age_limit": extract_age(low), "banking_experience_preferred": banking_preferred(low), "x_vacancies": extract_vacancies(low),
-        "x_salary": extract_salary(r), "x_deadline": extract_deadline(r), "x_location": extract_location(low), "x_work_mode": extract_work_mode(low)})
+    out = base.withColumns(_requirements("_raw", "_low", "_sent"))
     out = out.withColumns({
         "education_disciplines": c("_edu.codes"), "discipline_note": c("_edu.note"), "min_ssc_gpa": c("_school.min_ssc"), "min_hsc_gpa": c("_school.min_hsc"),
         "ssc_hsc_requirement": c("_school.note"), "min_experience_years": c("_exp.min"), "max_experience_years": c("_exp.max"),
@@ -254,8 +272,7 @@ def complete(postings: DataFrame) -> DataFrame:
 def enrich(postings: DataFrame, org_slug: str = "org_slug", fallback=None) -> DataFrame:
     """Relevance gate, requirements, category, level, summary, fingerprint and content hash of every posting that passes."""
     p = complete(postings).withColumn("title", T.collapse(c("title"))).withColumn("text", T.html_to_text(F.coalesce("description", F.lit(""))))
-    low = [F.lower(F.coalesce(c(n), F.lit(""))) for n in ("title", "department", "text")]
-    p = p.where(F.coalesce("skip_relevance", F.lit(False)) | is_tech_job(*low))
+    p = p.where(F.coalesce("skip_relevance", F.lit(False)) | _relevant("title", "department", "text"))
     p = extract_requirements(p.withColumn("full_text", F.concat("title", F.lit("\n"), "text")))
     has_hint = lambda n: F.coalesce(F.size(n) > 0, F.lit(False))
     p = p.withColumns({
