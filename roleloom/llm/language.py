@@ -51,8 +51,9 @@ def _grams(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     has = np.bincount(doc[low > 0], minlength=len(lengths)) > 0
     keep = low > 0
     keep[1:] |= low[:-1] > 0  # the first of a run of others stays, as a space
+    first = (np.cumsum(lengths) - lengths)[lengths > 0]
+    keep[first] = low[first] > 0  # what the text before it ends with is no matter
     low, doc = low[keep], doc[keep]
-    # A space before each text and between texts, so that n-grams end with their text.
     buckets, owners = [], []
     h = np.zeros(len(low), np.uint64)
     for n in range(1, max(ORDERS) + 1):

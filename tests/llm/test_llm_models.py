@@ -36,6 +36,37 @@ def test_language_odd_cases(spark):
     assert language.predict(K.frame(spark, []), names, matrix).count() == 0
 
 
+def test_a_text_scores_alike_alone_and_behind_others(spark):
+    texts = ["3 cat", "dog", "- the end", "", "x1", "'s Haus", None, "  la fin.", "ende"]
+    train = spark.createDataFrame([(i, t, ["en", "de", "fr"][i % 3]) for i, t in enumerate(["the cat and the dog", "der hund, das haus und das ende", "la fin du chat", "an end", "ein haus", "le chat"])], "doc_id long, text string, lang string")
+    model = language.train(train)
+
+    def scored(rows):
+        df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        return {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(df, *model).collect()}
+    alone = {}
+    for i, t in enumerate(texts):
+        alone |= scored([(i, t)])
+    rows = list(enumerate(texts))
+    assert scored(rows) == scored(rows[::-1]) == alone
+
+    def grams(t):  # a text's n-grams by hand: letters in lower case, other runs behind a letter as one space
+        out, last = "", ""
+        for ch in t:
+            if ch.isalpha():
+                out += ch.lower()
+            elif last.isalpha():
+                out += " "
+            last = ch
+        return [out[a:a + n] for n in language.ORDERS for a in range(len(out) - n + 1) if n > 1 or out[a] != " "]
+    from roleloom.llm._text import pieces
+    import pyarrow as pa
+    for t in texts[:3] + ["Ab  c.d", "..", "é1é"]:
+        piece = next(pieces([pa.RecordBatch.from_pydict({"text": ["zz", t]})]))
+        bucket, doc, has = language._grams(piece)
+        assert (doc == 1).sum() == len(grams(t)) and len(set(bucket[doc == 1])) == len(set(grams(t))) and has[1] == any(ch.isalpha() for ch in t)
+
+
 def test_quality(spark):
     label = {r["doc_id"]: r["quality"] for r in read(spark, SF, "labels").collect()}
     got = queries.op2_quality(spark, SF).collect()
