@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._graph import components
 from ._text import Words, mix, pieces, prefix, ranges, span_hash, words
-from ._work import drop, id_of, one_text, table
+from ._work import bucketed, drop, id_of, one_text, table
 
 REGISTERS = 256
 #: Base of the logarithmic scale.
@@ -30,6 +30,8 @@ BAND, BANDS = 5, 44
 ERRORS = 5.0
 #: Documents and shingles of a bucket that are compared in one block.
 BLOCK, VOLUME = 2048, 1 << 20
+#: Classes of equal sets that may hold a share of more than 1 / HOT of all documents, so there are no more than HOT of them; their rows are not shuffled by class.
+HOT = 1000
 
 c = F.col
 
@@ -171,20 +173,22 @@ def _verified(pairs: DataFrame, documents: DataFrame, width: int, percent: int)
     return out
 
 
-def _across(buckets: DataFrame, labels: DataFrame, reps: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """Linked pairs of one bucket whose components differ: the bucket's documents in blocks, block against block.
+def _across(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): components that a linked pair of one bucket joins; the bucket's documents but its leader in blocks, block against block.
 
-    A pair is looked at in the first bucket that it shares.  What the likelihood leaves possible is compared on the sets where the documents meet, by
-    32 bits of each shingle, which can only find too many links; so pairs that are not linked leave no row.
+    Pairs with a bucket's leader have been compared before, so buckets of two documents end here.  A pair is looked at in the first bucket that it shares.  What the
+    likelihood leaves possible is compared on the full sets (64-bit hashes) where the documents meet.  A block keeps the components that it has joined, compares
+    their documents no more, and returns a spanning forest: fewer rows than it has components, however many pairs are linked.
     """
-    placed = table(buckets.select("band", "id").join(labels, "id").join(reps.select("id", "n"), "id"))
+    placed = table(buckets.where(c("id") != c("a")).select("band", "id").join(labels, "id").join(sketches.select("id", "n"), "id"))
     mixed = (placed.groupBy("band").agg(F.count("*").alias("rows"), F.sum("n").alias("volume"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
              .select("band", F.ceil(F.greatest(c("rows") / BLOCK, c("volume") / VOLUME)).alias("blocks")))
     rows = table(placed.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("id"), c("blocks"))))
-    sets = table(_sets(documents, table(rows.select("id").distinct()), width).select("id", F.transform("s", lambda x: F.shiftright(x, 32).cast("int")).alias("s")))
+    drop(placed)
+    sets = table(_sets(documents, table(rows.select("id").distinct()), width))
     other = F.explode(F.sequence(F.lit(0).cast("long"), c("blocks") - 1)).alias("other")
     sides = rows.select("band", "id", "component", "block", "n", other).select("band", "id", "component", "block", "n", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    full = sides.join(reps.select("id", "registers").join(sets, "id"), "id")
+    full = sides.join(sketches.select("id", "registers").join(sets, "id"), "id")
     t = percent / 100
     floor = t - ERRORS * np.sqrt(t * (1 - t) / REGISTERS)
 
@@ -200,9 +204,11 @@ def _across(buckets: DataFrame, labels: DataFrame, reps: DataFrame, documents: D
         size = s.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         known, number = np.unique(s.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
         begin, mark = np.append(0, np.cumsum(size)[:-1]), np.zeros(len(known), np.int64)
+        node, code = np.unique(comp, return_inverse=True)
+        joined = np.arange(len(node))  # the component that each one belongs to by now
         a_all, b_all = [], []
         for i in left:
-            j = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+            j = right[(joined[code[right]] != joined[code[i]]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
             j = j[ids[j] > ids[i]] if x == y else j
             j = j[~(earlier[j] == earlier[i]).any(axis=1)] if band and len(j) else j
             j = j[(regs[j] == regs[i]).sum(axis=1) >= 0.5 * floor * REGISTERS] if len(j) else j
@@ -213,13 +219,22 @@ def _across(buckets: DataFrame, labels: DataFrame, reps: DataFrame, documents: D
                 mark[own_part] = 1
                 shared = np.add.reduceat(mark[number[ranges(begin[j], size[j])]], np.append(0, np.cumsum(size[j])[:-1]))
                 mark[own_part] = 0
-                j = j[100 * shared >= percent * (n[i] + n[j] - shared)]
-                a_all.append(np.minimum(ids[i], ids[j]))
-                b_all.append(np.maximum(ids[i], ids[j]))
-        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        return pa.table({"a": join(a_all), "b": join(b_all)})
+                for k in np.unique(code[j[100 * shared >= percent * (n[i] + n[j] - shared)]]):
+                    if joined[k] != joined[code[i]]:
+                        joined[joined == joined[k]] = joined[code[i]]
+                        a_all.append(node[code[i]])
+                        b_all.append(node[k])
+        return pa.table({"a": pa.array(a_all, pa.int64()), "b": pa.array(b_all, pa.int64())})
+
+    out = table(full.groupBy("band", "x", "y").applyInArrow(run, "a long, b long").distinct())
+    drop(rows, sets)
+    return out
+
 
-    return full.groupBy("band", "x", "y").applyInArrow(run, "a long, b long").distinct()
+def _by_key(rows: DataFrame, side: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """``rows`` left-joined to ``side``, which has a row per key; rows of the ``hot`` keys stay where they are and get theirs by a broadcast."""
+    few = F.broadcast(side.join(F.broadcast(hot), keys, "left_semi"))
+    return rows.join(few, keys).unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(side, keys, "left"))
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -230,27 +245,27 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     are one document, of which the least text counts, and give one row; so do rows with a null doc_id, which sort before all others.  An empty table gives no rows; other columns are ignored.
     """
     src = one_text(documents)
-    sk = table(_sketches(src, width))
-    classes = sk.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
-    member = table(sk.select("id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
-    reps = table(sk.join(classes.select(c("rep").alias("id")), "id", "left_semi").select("id", "n", "registers"))
-    drop(sk)
-    bands = table(_bands(reps))
+    # By id, so that later joins move ids and not registers.
+    sk = bucketed(_sketches(src, width), "id")
+    content = ["n", "f1", "f2"]
+    classes = table(sk.where("n > 0").groupBy(*content).agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    # At most HOT classes hold more than this share of the rows.
+    least = (classes.agg(F.sum("copies")).first()[0] or 0) // HOT
+    hot = classes.where(c("copies") > least).select("rep", *content) if least else classes.limit(0).select("rep", *content)
+    member = table(_by_key(sk.select("id", *content), classes.drop("copies"), content, hot.drop("rep")).select("id", "n", F.coalesce("rep", "id").alias("rep")))
+    bands = table(_bands(sk.join(classes.select(c("rep").alias("id")), "id", "left_semi")))
     leader = bands.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("rows")).where("rows > 1").select("band", "a")
     buckets = table(bands.join(leader, "band"))
     drop(bands)
     star = table(buckets.where(c("id") != c("a")).select("a", c("id").alias("b")).distinct())
-    first = _verified(table(_plausible(star, reps, percent)), src, width, percent)
+    first = _verified(table(_plausible(star, sk, percent)), src, width, percent)
     linked = table(components(first))
-    labels = reps.select("id").join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    rest = table(_across(buckets, labels, reps, src, width, percent).join(star, ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
-        # Links between components: the components themselves are joined to larger ones.
-        second = _verified(rest, src, width, percent)
-        side = lambda x: labels.select(c("id").alias(x), c("component").alias(f"c{x}"))
-        merged = table(components(second.join(side("a"), "a").join(side("b"), "b").select(c("ca").alias("a"), c("cb").alias("b"))))
-        labels = labels.join(merged.select(c("node").alias("component"), c("component").alias("_larger")), "component", "left").select("id", F.coalesce("_larger", "component").alias("component"))
-    drop(buckets, star, rest)
+    labels = member.where(c("id") == c("rep")).select("id").join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    rest = _across(buckets, labels, sk, src, width, percent)
+    # Links between components: the components themselves are joined to larger ones.
+    merged = table(components(rest)).select(c("node").alias("component"), c("component").alias("_larger"))
+    labels = labels.join(merged, "component", "left").select(c("id").alias("rep"), F.coalesce("_larger", "component").alias("component"))
+    drop(buckets, star)
     # A class goes where its representative, its smallest id, goes.
-    out = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "id"))
+    out = _by_key(member, labels, ["rep"], hot.select("rep"))
     return out.select(id_of("id").alias("doc_id"), c("n").alias("n_shingles"), id_of("component").alias("component_id"), (c("id") == c("component")).alias("kept"))
