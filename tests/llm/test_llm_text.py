@@ -22,6 +22,14 @@ def test_near_duplicates(spark, width):
     assert rows(near_dup.near_duplicates(K.frame(spark, all_rows), width)) == K.near_duplicates(all_rows, width, 80)
 
 
+@pytest.mark.parametrize("hot", [2, 1000])
+def test_near_duplicates_hot_class(spark, monkeypatch, hot):
+    """A class of copies that holds most rows gives the same result whether its rows are shuffled by class or not."""
+    monkeypatch.setattr(near_dup, "HOT", hot)
+    all_rows = [(i, K.BASE if i % 4 else " ".join(K.NEAR)) for i in range(1, 60)] + [(60, None), (61, K.LONG), (62, K.LONG), (63, "word")]
+    assert rows(near_dup.near_duplicates(K.frame(spark, all_rows), 5)) == K.near_duplicates(all_rows, 5, 80)
+
+
 def test_near_duplicates_across_components(spark):
     """A chain of texts, each similar to the next only: the group is whole though most pairs are not linked."""
     words = [f"w{i}" for i in range(400)]
