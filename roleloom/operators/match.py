@@ -1,9 +1,9 @@
 """Candidate x job scoring with explained reasons.
 
 Everything is a column over a *pairs* table (user_id, job_id).  Texts are
-prepared once per profile and once per job (normalised titles, bigrams, skills,
-role categories); a pair only compares prepared arrays, so no extra shuffle and no
-text work happens per pair.
+prepared once per profile and once per job (normalised titles, skills, role
+categories), and their distinct values are compared once, dictionary against dictionary
+(``crosswalk``); a pair only looks values up in prepared lists.
 """
 
 from __future__ import annotations
@@ -13,9 +13,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rules as R, text as T
-from ..functions.patterns import let
+from ..functions.patterns import once
 from ..sources.tables import materialised
-from .enrich import canonical_discipline, category_scores
+from .crosswalk import with_known, with_roles, with_similar_roles
+from .enrich import canonical_discipline
 from .search import active_where
 
 c = F.col
@@ -85,21 +86,13 @@ def two_places(n: Column) -> Column:
     return F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
 
 
-def _prepared_title(t: Column) -> Column:
-    return let(T.normalize_title(t), lambda n: F.struct(n.alias("n"), T.numbered_bigrams(n).alias("g"), T.tokens(n).alias("t")))
-
-
 def prepare_profiles(profiles: DataFrame) -> DataFrame:
-    none = F.lit("")
-    role_category = lambda r: let(category_scores(F.lower(r), none, none), lambda s: F.when(
-        F.size(s) > 0, F.when(s[0]["minus"] <= -10, s[0]["category"])).otherwise(F.lit(None)))
-    return profiles.select(
+    return with_roles(profiles, "preferred_roles").select(
         "user_id", canonical_discipline(c("discipline")).alias("p_code"), "has_masters",
         F.when(c("cgpa_scale") == 5, c("bachelor_cgpa") * 4 / 5).otherwise(c("bachelor_cgpa")).alias("p_cgpa"),
         c("ssc_gpa").alias("p_ssc"), c("hsc_gpa").alias("p_hsc"), "has_third_division", c("experience_years").alias("p_exp"), "banking_experience",
         F.transform("skills", T.norm_skill).alias("p_skills"), "primary_focus",
-        F.transform("preferred_roles", _prepared_title).alias("p_roles"),
-        F.array_distinct(F.transform("preferred_roles", lambda r: F.coalesce(role_category(r), F.lit(R.DEFAULT_CATEGORY)))).alias("p_role_categories"),
+        (F.size("preferred_roles") == 0).alias("p_no_roles"), "p_roles", "p_role_categories",
         "preferred_org_slugs", F.transform("preferred_locations", F.lower).alias("p_locations"), "open_to_remote", c("age").alias("p_age"))
 
 
@@ -107,13 +100,21 @@ def prepare_jobs(jobs: DataFrame, orgs: DataFrame) -> DataFrame:
     skill = lambda s: F.struct(s.alias("name"), T.norm_skill(s).alias("norm"))
     j = jobs.join(orgs.select("org_id", c("slug").alias("org_slug")), "org_id")
     return j.select(
-        "job_id", _prepared_title(c("title")).alias("j_title"), "category", "secondary_categories", "org_slug", "education_disciplines", "min_cgpa", "min_ssc_gpa",
+        "job_id", T.normalize_title(c("title")).alias("j_title"), "category", "secondary_categories", "org_slug", "education_disciplines", "min_cgpa", "min_ssc_gpa",
         "min_hsc_gpa", "masters_required", "no_third_division", "min_experience_years", "max_experience_years", "age_limit", "banking_experience_preferred",
         F.transform("required_skills", skill).alias("j_required"), F.transform("preferred_skills", skill).alias("j_preferred"), "location", "work_mode", "requirements_parsed")
 
 
+#: Similarities of a title with a preferred role that earn points.
+ROLE_LEVELS = {"roles_close": 0.6, "roles_near": 0.4}
+
+
 def join_pairs(pairs: DataFrame, profiles: DataFrame, jobs: DataFrame, orgs: DataFrame) -> DataFrame:
-    return pairs.join(prepare_profiles(profiles), "user_id").join(prepare_jobs(jobs, orgs), "job_id")
+    """Every pair with its prepared profile and job: ``p_known`` holds the stated skills that the candidate's stand for, ``roles_close`` and ``roles_near`` the roles that the title resembles."""
+    p, j = materialised(prepare_profiles(profiles)), materialised(prepare_jobs(jobs, orgs))
+    stated = j.select(F.explode(F.concat("j_required", "j_preferred")).alias("s")).select(c("s.norm").alias("value")).distinct()
+    roles = p.select(F.explode("p_roles").alias("value")).distinct()
+    return pairs.join(with_known(p, "p_skills", stated, "p_known"), "user_id").join(with_similar_roles(j, "j_title", roles, ROLE_LEVELS), "job_id")
 
 
 class Part:
@@ -205,7 +206,7 @@ def elig_experience() -> Part:
 def with_skill_hits(pairs: DataFrame) -> DataFrame:
     """Adds the stated skills a candidate has: ``hit_required`` and ``hit_preferred``."""
     def hits(col: str) -> Column:
-        return F.transform(F.filter(col, lambda s: F.exists("p_skills", lambda m: T.skill_matches(m, s["norm"]))), lambda s: s["name"])
+        return F.transform(F.filter(col, lambda s: F.array_contains("p_known", s["norm"])), lambda s: s["name"])
     return pairs.withColumns({"hit_required": hits("j_required"), "hit_preferred": hits("j_preferred")})
 
 
@@ -237,20 +238,12 @@ def score_category() -> Part:
     return Part([F.when(conflict, say("focus", label, c("primary_focus")))], points=points)
 
 
-def with_role_similarity(pairs: DataFrame) -> DataFrame:
-    """Adds the best similarity of the title with a preferred role."""
-    def one(r: Column) -> Column:
-        j = c("j_title")
-        return F.greatest(T.dice_of(r["n"], j["n"], r["g"], j["g"]), T.jaccard_of(r["t"], j["t"]))
-    return pairs.withColumn("role_similarity", F.array_max(F.transform("p_roles", one)))
-
-
 def score_role() -> Part:
-    none = F.size("p_roles") == 0
-    sim = c("role_similarity")
+    none = c("p_no_roles")
+    close, near = (F.coalesce(F.arrays_overlap("p_roles", x), F.lit(False)) for x in ROLE_LEVELS)
     hit = F.array_contains("p_role_categories", c("category")) | F.arrays_overlap("p_role_categories", "secondary_categories")
-    points = F.when(none, 10.0).when(sim >= 0.6, 20.0).when(hit, 14.0).when(sim >= 0.4, 8.0).otherwise(0.0)
-    return Part([F.when(~none & ((sim >= 0.6) | hit), say("role"))], points=points)
+    points = F.when(none, 10.0).when(close, 20.0).when(hit, 14.0).when(near, 8.0).otherwise(0.0)
+    return Part([F.when(~none & (close | hit), say("role"))], points=points)
 
 
 def score_location() -> Part:
@@ -285,12 +278,19 @@ def verdict(fail: Column, manual: Column, cap: Column, score: Column) -> Column:
 
 
 def prepare(pairs: DataFrame, profiles: DataFrame, jobs: DataFrame, orgs: DataFrame) -> DataFrame:
-    return with_role_similarity(with_skill_hits(join_pairs(pairs, profiles, jobs, orgs)))
+    return with_skill_hits(join_pairs(pairs, profiles, jobs, orgs))
 
 
 def match(pairs: DataFrame, profiles: DataFrame, jobs: DataFrame, orgs: DataFrame) -> DataFrame:
     """(user_id, job_id, verdict, score, reasons) of every given pair."""
-    p = prepare(pairs, profiles, jobs, orgs)
+    flags, verdicts, reasons = _rules()
+    p = prepare(pairs, profiles, jobs, orgs).withColumns(flags).withColumn("verdict", verdicts)
+    return p.select("user_id", "job_id", "verdict", "score", reasons.alias("reasons"))
+
+
+@once
+def _rules() -> tuple[dict[str, Column], Column, Column]:
+    """All rules over a prepared pair: (score and flags, verdict, reasons)."""
     before = [elig_discipline()]
     cgpa = elig_cgpa()
     after = [elig_masters(), elig_ssc_hsc(), elig_third_class(), elig_age(), elig_experience(), score_skills(), warn_banking(), score_category(),
@@ -298,11 +298,9 @@ def match(pairs: DataFrame, profiles: DataFrame, jobs: DataFrame, orgs: DataFram
     every = before + [cgpa] + after
     any_of = lambda name: reduce(lambda a, b: a | b, [getattr(x, name) for x in every])
     gaps = reduce(lambda a, b: a + b, [x.missing.cast("int") for x in every])
-    p = p.withColumns({"score": match_score(*every), "_fail": any_of("fail"), "_manual": any_of("manual"), "_cap": any_of("cap") | (gaps >= 2)})
-    p = p.withColumn("verdict", verdict(c("_fail"), c("_manual"), c("_cap"), c("score")))
+    flags = {"score": match_score(*every), "_fail": any_of("fail"), "_manual": any_of("manual"), "_cap": any_of("cap") | (gaps >= 2)}
     listed = [r for x in before + [elig_cgpa(c("verdict") == "POSSIBLE")] + after for r in x.reasons]
-    reasons = F.filter(F.array(*listed), lambda r: r.isNotNull())
-    return p.select("user_id", "job_id", "verdict", "score", reasons.alias("reasons"))
+    return flags, verdict(c("_fail"), c("_manual"), c("_cap"), c("score")), F.filter(F.array(*listed), lambda r: r.isNotNull())
 
 
 def match_for_user(user_id, profiles: DataFrame, jobs: DataFrame, orgs: DataFrame) -> DataFrame:

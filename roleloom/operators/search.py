@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import rules as R
 from ..functions.dates import hours, local_day_key, start_of_local_day, to_local, to_utc, ts_lit
+from ..sources.tables import materialised
 from .lifecycle import days, health_column
+from .rank import ranked, ranked_within
 
 c = F.col
 VISIBLE = lambda: c("archived_at").isNull() & (c("review_status") == "APPROVED")
@@ -169,12 +171,18 @@ def sort_match(jobs: DataFrame, matches: DataFrame, user_id) -> DataFrame:
     return jobs.join(mine, "job_id")
 
 
-def page_of(df: DataFrame, keys: list[Column], page: float | None = 1, size: int = R.PAGE_SIZE) -> DataFrame:
-    """One page with its running position; Spark plans ``order by … limit`` as a bounded top-k per partition."""
+def page_of(df: DataFrame, keys: list[Column], page: float | None = 1, size: int = R.PAGE_SIZE, top: int = 10_000) -> DataFrame:
+    """One page with its running position.
+
+    A page that ends within the first ``top`` rows comes from a top-k, which no task holds more of; any later one from positions over sampled ranges.
+    """
     page = max(1, int(page or 1))
-    top = df.orderBy(*keys).limit(page * size)
-    ranked = top.withColumn("rank", F.row_number().over(W.orderBy(*keys)))  # at most page*size rows
-    return ranked.where(c("rank") > (page - 1) * size)
+    if page * size <= top:
+        first = df.orderBy(*keys).limit(page * size)
+        numbered = first.withColumn("rank", F.row_number().over(W.orderBy(*keys)))  # at most ``top`` rows
+    else:
+        numbered = ranked(df, keys)
+    return numbered.where((c("rank") > (page - 1) * size) & (c("rank") <= page * size))
 
 
 def page_totals(df: DataFrame, size: int = R.PAGE_SIZE) -> DataFrame:
@@ -352,14 +360,11 @@ def _month_jobs(jobs: DataFrame, year: int, month: int) -> DataFrame:
 def deadline_calendar(jobs: DataFrame, orgs: DataFrame, year: int, month: int) -> DataFrame:
     """Deadlines of one month: a row per job with its local day and position on it.
 
-    Rows rather than one list per day: a day's list has no size bound.  Ranks come
-    from per-(day, deadline) counts plus a window inside one deadline instant.
+    Rows rather than one list per day: a day's list has no size bound, and its rows are ranked by as many tasks as their share of the month asks for.
     """
-    j = _month_jobs(jobs, year, month).withColumn("day", local_day_key(c("deadline")))
-    per_instant = j.groupBy("day", "deadline").agg(F.count("*").alias("n"))
-    before = per_instant.withColumn("before", F.sum("n").over(W.partitionBy("day").orderBy("deadline")) - c("n")).drop("n")
-    ranked = j.withColumn("_r", F.row_number().over(W.partitionBy("day", "deadline").orderBy("job_id")))
-    out = ranked.join(before, ["day", "deadline"]).withColumn("position", c("before") + c("_r"))
+    j = _month_jobs(jobs, year, month).select("job_id", "org_id", "slug", "title", "status", "deadline").withColumn("day", local_day_key(c("deadline")))
+    # Written first: the bounds of the ranges are sampled, which reads the rows once more.
+    out = ranked_within(materialised(j), ["day"], [c("deadline"), c("job_id")])
     return with_org(out, orgs).select("day", "position", "slug", "title", "status", F.coalesce("org_short", "org_name").alias("org"))
 
 
