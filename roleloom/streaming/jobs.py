@@ -8,9 +8,9 @@ Stream checkpoints and results live in the shared folder the session names.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.alerts import latest_per
 from ..operators.enrich import enrich, resolve_organization
@@ -43,25 +43,40 @@ def run_to_table(stream: DataFrame, folder: str, mode: str, transform=None) -> D
     return stream.sparkSession.read.parquet(out)
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession):
+    """Streams started inside keep their state in RocksDB, so it is not bound by an executor's memory; a provider that the session names itself stays."""
+    named = spark.conf.get(_PROVIDER, "")
+    ours = named == "" or named.endswith("HDFSBackedStateStoreProvider")
+    if ours:
+        spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        yield
+    finally:
+        if ours:
+            spark.conf.set(_PROVIDER, named) if named else spark.conf.unset(_PROVIDER)
+
+
 def emit_once_stream(alerts: DataFrame, folder: str, stored: DataFrame | None = None) -> DataFrame:
     """Each key at most once, ever: a micro-batch keeps the first alert per key and leaves out keys of earlier batches and of ``stored``.
 
-    ``folder`` carries the memory: a later run with the same folder goes on where the last one stopped.
+    The keys met so far are the state of a streaming aggregation, which looks up the keys of the batch and no others.  A key is new where the
+    first batch that had it is the present one: Spark logs the time of a batch, so a retried batch has the same.  ``folder`` carries the
+    memory: a later run with the same folder goes on where the last one stopped.
     """
-    spark = alerts.sparkSession
     rest = [x for x in alerts.columns if x != "dedupe_key"]
-    shape = StructType([x for x in alerts.schema.fields if x.name == "dedupe_key"] + [StructField("batch", LongType())])
-
-    def first_new(df: DataFrame, batch_id: int) -> DataFrame:
-        one = df.groupBy("dedupe_key").agg(F.min_by(F.struct(*rest), F.struct("created_at", "event_id")).alias("r")).select("dedupe_key", "r.*")
-        if stored is not None:
-            one = one.join(stored.select("dedupe_key"), "dedupe_key", "left_anti")
-        if batch_id == 0:
-            return one
-        # The keys alone, of earlier batches only: a retried batch must not see its own first attempt.
-        seen = spark.read.schema(shape).parquet(f"{folder}/rows").where(c("batch") < batch_id).select("dedupe_key")
-        return one.join(seen, "dedupe_key", "left_anti")
-    return run_to_table(alerts, folder, "append", first_new).drop("batch")
+    met = alerts.withColumn("_at", F.current_timestamp()).groupBy("dedupe_key").agg(
+        F.min_by(F.struct(*rest), F.struct("created_at", "event_id")).alias("r"), F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    new = met.where(c("_first") == c("_last")).select("dedupe_key", "r.*")
+
+    def unstored(df: DataFrame, batch_id: int) -> DataFrame:
+        return df if stored is None else df.join(stored.select("dedupe_key"), "dedupe_key", "left_anti")
+    with state_on_disk(alerts.sparkSession):
+        return run_to_table(new, folder, "update", unstored).drop("batch")
 
 
 def saved_state_stream(toggles: DataFrame, folder: str) -> DataFrame:

@@ -85,6 +85,14 @@ def test_emit_once_goes_on_after_a_restart(spark, tmp_path):
     assert sorted(r.dedupe_key for r in J.emit_once_stream(alerts(), folder, stored).collect()) == ["a", "b", "c", "d"]
     put(["a", "e", "z"], 9)
     assert sorted(r.dedupe_key for r in J.emit_once_stream(alerts(), folder, stored).collect()) == ["a", "b", "c", "d", "e"]
+    # A batch whose commit was lost runs again, and finds its own keys as new as the first time.
+    log = tmp_path / "work" / "checkpoint" / "commits"
+    last = max((f for f in log.iterdir() if f.name.isdigit()), key=lambda f: int(f.name))
+    last.unlink()
+    (log / f".{last.name}.crc").unlink(missing_ok=True)
+    assert sorted(r.dedupe_key for r in J.emit_once_stream(alerts(), folder, stored).collect()) == ["a", "b", "c", "d", "e"]
+    # The session's own provider is as it was.
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("HDFSBackedStateStoreProvider") or not spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")
 
 
 def test_collect_pipeline_over_micro_batches(spark, tmp_path):
