@@ -210,7 +210,7 @@ def title_similarity(a: Column, b: Column) -> Column:
 def _folding() -> tuple[str, str, dict[str, str]]:
     """Characters with a compatibility decomposition: those of one plain character (from, to), and the longer ones."""
     one_from, one_to, longer = [], [], {}
-    for i in range(0x80, 0x110000):
+    for i in range(0x80, 0x20000):  # the planes beyond have no letters or digits of the Latin script
         ch = chr(i)
         if unicodedata.category(ch) in ("Cs", "Co", "Cn") or 0xAC00 <= i <= 0xD7A3:  # nothing of Hangul is plain
             continue
@@ -232,7 +232,7 @@ def slugify(c: Column) -> Column:
     folded, plain, longer = _folding()
     t = F.translate(F.lower(c), folded, plain)
     # Ligatures and the like become several characters; a text without any skips the lookup.
-    table = F.create_map(*[F.lit(x) for kv in longer.items() for x in kv])
+    table = F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in longer.items())), F.lit("\x02"), F.lit("\x01"))
     opened = F.array_join(F.transform(F.split(t, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
     t = F.when(t.rlike("[" + "".join(longer) + "]"), opened).otherwise(t)
     t = F.regexp_replace(t, _MARKS, "")

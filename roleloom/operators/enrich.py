@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import rules as R, text as T
 from ..functions.dates import parse_local_date
 from ..functions.patterns import group, has, let, once, spell, sub
+from ..sources.tables import materialised
+from .containment import GRAM, contained_values
 
 c = F.col
 Q_NONE = lambda kind: F.lit(None).cast(kind)
@@ -307,31 +309,29 @@ def _alias_text(col: Column) -> Column:
 def match_aliases(names: DataFrame, orgs: DataFrame) -> DataFrame:
     """(organization_name, alias_org_id, alias_slug): the first organisation, in list order, whose alias occurs in the name.
 
-    Substring containment without a nested-loop join: every position of a distinct name offers its next n characters for each
-    length n that an alias has, and they have to equal a whole alias, so no two aliases share a key.
+    Aliases and names are compared as dictionaries, by the rarest gram of each alias.
     """
     aliases = (orgs.select("org_id", "slug", F.explode(F.array("name", "short_name")).alias("a")).where(c("a").isNotNull())
-               .select("org_id", "slug", _alias_text(c("a")).alias("alias")).where(F.length("alias") >= 3))
-    first = aliases.groupBy("alias").agg(F.min(F.struct("org_id", "slug")).alias("o")).select("alias", "o.org_id", "o.slug")
-    lengths = [r[0] for r in first.select(F.length("alias")).distinct().collect()]  # as many as the longest alias has characters at most
+               .select("org_id", "slug", _alias_text(c("a")).alias("alias")).where(F.length("alias") >= GRAM))
+    first = aliases.groupBy("alias").agg(F.min(F.struct("org_id", "slug")).alias("o"))
     distinct = names.select("organization_name").where(c("organization_name").isNotNull() & (c("organization_name") != "")).distinct()
-    plain = distinct.withColumn("plain", T.collapse(F.regexp_replace(F.lower("organization_name"), r"[^a-z0-9 ]+", " "))).where(F.length("plain") >= 3)
-    fitting = plain.select("organization_name", "plain", F.explode(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>")).alias("n")).where(c("n") <= F.length("plain"))
-    keys = fitting.select("organization_name", "plain", "n", F.explode(F.sequence(F.lit(1), F.length("plain") - c("n") + 1)).alias("pos"))
-    hit = keys.select("organization_name", F.substr("plain", c("pos"), c("n")).alias("alias")).join(first, "alias")
-    return hit.groupBy("organization_name").agg(F.min(F.struct("org_id", "slug")).alias("m")).select(
-        "organization_name", c("m.org_id").alias("alias_org_id"), c("m.slug").alias("alias_slug"))
+    # Read twice, for the grams and for the names, so both dictionaries are written first.
+    first, plain = materialised(first), materialised(distinct.withColumn("plain", T.collapse(F.regexp_replace(F.lower("organization_name"), r"[^a-z0-9 ]+", " "))))
+    inside = contained_values(first.select(c("alias").alias("value")), plain.select(c("plain").alias("value")))
+    best = inside.join(first, c("part") == c("alias")).groupBy("whole").agg(F.min("o").alias("m"))
+    return plain.join(best, c("plain") == c("whole")).select("organization_name", c("m.org_id").alias("alias_org_id"), c("m.slug").alias("alias_slug"))
 
 
 def resolve_organization(postings: DataFrame, orgs: DataFrame) -> DataFrame:
     """Adds ``org_slug`` and ``new_org``: explicit slug, else the source's, else an alias, else a new or the catch-all organisation."""
-    p = postings.join(match_aliases(postings, orgs), "organization_name", "left")
+    # What depends on the name alone is worked out once per name.
+    names = postings.select("organization_name").where(c("organization_name").isNotNull() & (c("organization_name") != "")).distinct().withColumn("_name_slug", T.slugify(c("organization_name")))
+    p = postings.join(names.join(match_aliases(postings, orgs), "organization_name", "left"), "organization_name", "left")
     wanted = F.coalesce("organization_slug", "source_org_slug", "alias_slug")
     p = p.withColumn("_wanted", wanted).join(orgs.select(c("slug").alias("_known")), c("_wanted") == c("_known"), "left")
-    named = c("organization_name").isNotNull() & (c("organization_name") != "")
-    slug = F.when(c("_known").isNotNull(), c("_known")).when(named, T.slugify(c("organization_name"))).otherwise(F.lit(R.CATCH_ALL_ORG[0]))
+    slug = F.coalesce("_known", "_name_slug", F.lit(R.CATCH_ALL_ORG[0]))
     p = p.withColumn("org_slug", slug).join(orgs.select(c("slug").alias("_have")), c("org_slug") == c("_have"), "left")
-    return p.withColumn("new_org", c("_have").isNull()).drop("_wanted", "_known", "_have", "alias_slug", "alias_org_id")
+    return p.withColumn("new_org", c("_have").isNull()).drop("_wanted", "_known", "_have", "_name_slug", "alias_slug", "alias_org_id")
 
 
 def new_organizations(resolved: DataFrame, orgs: DataFrame) -> DataFrame:
