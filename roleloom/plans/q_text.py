@@ -22,8 +22,8 @@ def _(t):
 @register("normalize_title", f"""SELECT job_id, {Q.normalize_title('title')} AS normalized FROM {{v_jobs0}}
   UNION ALL SELECT -1 - doc_id, {Q.normalize_title('text')} FROM documents""")
 def _(t):
-    return (t.v_jobs0.select("job_id", T.normalize_title(c("title")).alias("normalized"))
-            .unionByName(t.documents.select((F.lit(-1) - c("doc_id")).alias("job_id"), T.normalize_title(c("text")).alias("normalized"))))
+    return (t.dealt("v_jobs0").select("job_id", T.normalize_title(c("title")).alias("normalized"))
+            .unionByName(t.dealt("documents", "documents").select((F.lit(-1) - c("doc_id")).alias("job_id"), T.normalize_title(c("text")).alias("normalized"))))
 
 
 @register("normalize_org_name", f"SELECT org_id, {Q.normalize_org_name('name')} AS normalized FROM {{v_orgs}}")
@@ -34,7 +34,7 @@ def _(t):
 @register("normalize_url", f"""SELECT page_id AS id, {Q.normalize_url('url')} AS url FROM pages
   UNION ALL SELECT -1 - posting_id, {Q.normalize_url("coalesce(application_url, concat(' ', title))")} FROM {{v_postings0}}""")
 def _(t):
-    postings = t.v_postings0.select((F.lit(-1) - c("posting_id")).alias("id"),
+    postings = t.dealt("v_postings0").select((F.lit(-1) - c("posting_id")).alias("id"),
                                     T.normalize_url(F.coalesce("application_url", F.concat(F.lit(" "), "title"))).alias("url"))
     return t.pages.select(c("page_id").alias("id"), T.normalize_url(c("url")).alias("url")).unionByName(postings)
 
@@ -59,20 +59,20 @@ def _(t):
 @register("job_fingerprint", f"""SELECT job_id, {Q.fingerprint("concat('org-', org_id)", Q.normalize_title('title'), 'deadline')} AS fingerprint FROM {{v_jobs0}}""")
 def _(t):
     slug = F.concat(F.lit("org-"), c("org_id"))
-    return t.v_jobs0.select("job_id", T.job_fingerprint(slug, T.normalize_title(c("title")), c("deadline")).alias("fingerprint"))
+    return t.dealt("v_jobs0").select("job_id", T.job_fingerprint(slug, T.normalize_title(c("title")), c("deadline")).alias("fingerprint"))
 
 
 @register("content_hash", f"""SELECT job_id, {Q.content_hash("concat('org-', org_id)", 'title', 'department', 'summary', Q.iso_utc('deadline'))} AS digest FROM {{v_jobs0}}""")
 def _(t):
     slug = F.concat(F.lit("org-"), c("org_id"))
-    return t.v_jobs0.select("job_id", T.content_hash(slug, c("title"), c("department"), c("summary"), T.iso_utc(c("deadline"))).alias("digest"))
+    return t.dealt("v_jobs0").select("job_id", T.content_hash(slug, c("title"), c("department"), c("summary"), T.iso_utc(c("deadline"))).alias("digest"))
 
 
 @register("external_key", f"""SELECT posting_id, CASE WHEN source_job_id IS NOT NULL THEN concat(source_key, ':id:', source_job_id)
   ELSE concat(source_key, ':u:', substr(sha256(concat(coalesce({Q.normalize_url('application_url')}, {Q.normalize_url('source_url')}, source_url), '|', {Q.normalize_title('title')})), 1, 32)) END AS external_key
   FROM {{v_postings0}}""")
 def _(t):
-    return t.v_postings0.select("posting_id", T.external_key(
+    return t.dealt("v_postings0").select("posting_id", T.external_key(
         c("source_key"), c("source_job_id"), c("application_url"), c("source_url"), T.normalize_title(c("title"))).alias("external_key"))
 
 
@@ -81,8 +81,8 @@ _PAIRS = f"""WITH p AS (SELECT j.job_id, {Q.normalize_title('j.title')} AS a, {Q
 
 
 def _pairs(t):
-    a = t.v_jobs0.select("job_id", T.normalize_title(c("title")).alias("a"))
-    b = t.v_postings0.select(c("posting_id").alias("job_id"), T.normalize_title(c("title")).alias("b"))
+    a = t.dealt("v_jobs0").select("job_id", T.normalize_title(c("title")).alias("a"))
+    b = t.dealt("v_postings0").select(c("posting_id").alias("job_id"), T.normalize_title(c("title")).alias("b"))
     return a.join(b, "job_id")
 
 
