@@ -37,9 +37,10 @@ HEADER = 40
 SAMPLE = 64
 #: A file is closed once it has this many ids; one document is never cut.
 FILE_IDS = 4 << 20
-#: Text that is encoded at once, and units that a worker remembers between batches.
-BATCH_BYTES = 8 << 20
-REMEMBERED = 1 << 20
+#: Text that is encoded at once, units that a worker remembers between batches, and texts that the library is given at once.
+BATCH_BYTES = 4 << 20
+REMEMBERED = 1 << 19
+GIVEN = 1 << 13
 
 c = F.col
 
@@ -58,23 +59,31 @@ _KIND[39] = _APOSTROPHE
 _CUT = np.zeros((6, 6), bool)
 for _a, _b in ((_LETTER, _DIGIT), (_LETTER, _MARK), (_LETTER, _APOSTROPHE), (_DIGIT, _LETTER), (_DIGIT, _DIGIT), (_DIGIT, _MARK), (_DIGIT, _APOSTROPHE), (_MARK, _LETTER), (_MARK, _DIGIT)):
     _CUT[_a, _b] = True
+_CUT_OF = np.append(_CUT.ravel(), np.zeros(256 - _CUT.size, bool)).tobytes()
+
+
+def _looked_up(codes: np.ndarray, table: bytes) -> np.ndarray:
+    """The byte of ``table`` for each code; unlike indexing, this makes no index of eight bytes for each."""
+    return np.frombuffer(bytearray(codes.tobytes().translate(table)), np.uint8)
 
 
 def units(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """(where units begin, the units): stretches of lower-cased text that are encoded on their own.  ``begin`` has the texts' first bytes."""
-    kind = _KIND[data]
+    kind = _looked_up(data, _KIND.tobytes())
     lead = np.flatnonzero(data[:-1] == 0xC3)
     lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
     kind[lead] = kind[lead + 1] = _LETTER
     inside = kind != _SPACE
     new = inside.copy()
     if len(new):
-        new[1:] &= ~inside[:-1] | _CUT[kind[:-1], kind[1:]]
+        new[1:] &= ~inside[:-1] | _looked_up(kind[:-1] * np.uint8(len(_CUT)) + kind[1:], _CUT_OF).view(bool)
         first = begin[begin < len(new)]
         new[first] = inside[first]
     start = np.flatnonzero(new)
-    offsets = np.append(np.cumsum(inside)[start] - 1, inside.sum()).astype(np.int64)
-    return start, pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[inside].tobytes()))
+    offsets = np.zeros(len(start) + 1, np.int64)
+    if len(start):
+        np.cumsum(np.add.reduceat(inside, start, dtype=np.int64), out=offsets[1:])
+    return start, pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(data[inside]))
 
 
 class Encoder:
@@ -97,9 +106,12 @@ class Encoder:
         self.ids, self.start, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        count = np.fromiter(map(len, made), np.int64, len(made))
-        return np.fromiter((i for m in made for i in m), np.uint32, int(count.sum())), count
+        ids, count = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(texts), GIVEN):  # what the library returns for a text takes far more than its ids
+            made = [e.ids for e in self.tokenizer.encode_batch_fast(texts[at:at + GIVEN], add_special_tokens=False)]
+            count.append(np.fromiter(map(len, made), np.int64, len(made)))
+            ids.append(np.fromiter((i for m in made for i in m), np.uint32, int(count[-1].sum())))
+        return np.concatenate(ids), np.concatenate(count)
 
     def _learn(self, found: list[str]) -> np.ndarray:
         """Number of each unit; new ones are encoded."""
@@ -119,7 +131,7 @@ class Encoder:
         for mark in self.marks:
             whole |= pc.match_substring(texts, mark).fill_null(False).to_numpy(zero_copy_only=False)
         data, offsets = flat(pc.if_else(pa.array(whole), "", texts) if whole.any() else texts)
-        data, offsets = _LOWER[data[offsets[0]:offsets[-1]]], offsets - offsets[0]
+        data, offsets = _looked_up(data[offsets[0]:offsets[-1]], _LOWER.tobytes()), offsets - offsets[0]
         start, found = units(data, offsets[:-1])
         coded = found.dictionary_encode()
         unit = self._learn(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
@@ -244,8 +256,11 @@ def image(doc_ids: list[int | None], counts: np.ndarray, ids: bytes, width: int)
     bits, coded = Boundaries.write(ends)
     known = np.array([i or 0 for i in doc_ids], "<i8")
     head = MAGIC + np.array([len(counts), ends[-1], sum(i is None for i in doc_ids)], "<u8").tobytes() + bytes([width, bits]) + bytes(6)
-    body = head + known.tobytes() + coded + ids
-    return body + zlib.crc32(body).to_bytes(4, "little")
+    parts = [head, known.tobytes(), coded, ids]
+    check = 0
+    for part in parts:
+        check = zlib.crc32(part, check)
+    return b"".join([*parts, check.to_bytes(4, "little")])
 
 
 @dataclass

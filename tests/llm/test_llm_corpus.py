@@ -162,6 +162,34 @@ def test_units_are_encoded_as_whole_texts_are():
         assert [ids[e - k:e].tolist() for e, k in zip(ends, n)] == want[a:a + 700]
 
 
+def test_units_take_little_more_memory_than_their_text():
+    import tracemalloc
+    text = np.frombuffer("somewhat lengthy wordings, consisting alphabetical signatures; ".encode() * 60_000, np.uint8)
+    begin = np.arange(0, len(text), 1000)
+    tracemalloc.start()
+    try:
+        start, found = token_files.units(text, begin)
+        assert tracemalloc.get_traced_memory()[1] < 17 * len(text)
+    finally:
+        tracemalloc.stop()
+    assert len(found) == len(start) and found[0].as_py() == "somewhat"
+
+
+def test_the_library_gets_few_units_at_once():
+    import pyarrow as pa
+    made, most = token_files.Encoder(vocabulary()), []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **how):
+            most.append(len(texts))
+            return library.encode_batch_fast(texts, **how)
+    library, made.tokenizer = made.tokenizer, Counting()
+    texts = [" ".join(f"{a}{b}q" for b in "abcdefghijklmnopqrstuvwxyz") for a in map("".join, [(x, y, z) for x in "abcdefgh" for y in "abcdefghi" for z in "abcdefgh"])]
+    ids, n = made.encode(pa.array(texts))
+    assert len(made.known) > token_files.GIVEN >= max(most)
+    assert [ids[e - k:e].tolist() for e, k in zip(np.cumsum(n)[:20], n)] == [x[:-1] for x in plain_ids(texts[:20])]
+
+
 def test_no_token_files(spark):
     folder = token_files.write(K.frame(spark, []), vocabulary(), 1)
     assert token_files.read_documents(spark, folder).count() == 0 and token_files.catalog(spark, folder).count() == 0
