@@ -351,6 +351,10 @@ def _numbered(contents: DataFrame) -> DataFrame:
     return contents.select("path", "content").mapInArrow(run, "file string, doc_id long, offset long, n_tokens long, ids binary")
 
 
+#: Of a file's name, as Spark makes it, the task and the file of the task; the middle is random and may hold a "-c" with digits too.
+TASK, FILE_OF_TASK = r"^part-(\d+)", r"-c(\d+)\.[^-]*$"
+
+
 def catalog(spark: SparkSession, folder: str) -> DataFrame:
     """One row per file: its name, its documents, its ids, and the ids of all files before it.  Only headers are looked at.
 
@@ -364,7 +368,7 @@ def catalog(spark: SparkSession, folder: str) -> DataFrame:
                 n, total = np.frombuffer(content.as_buffer(), "<u8", 2, 8).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[-1]]), pa.array([n]), pa.array([total])], names=["file", "documents", "ids"])
 
-    numbers = {"task": F.regexp_extract("file", r"^part-(\d+)", 1).cast("long"), "k": F.regexp_extract("file", r"-c(\d+)", 1).cast("long")}
+    numbers = {"task": F.regexp_extract("file", TASK, 1).cast("long"), "k": F.regexp_extract("file", FILE_OF_TASK, 1).cast("long")}
     rows = table(files(spark, folder).select("path", "content").mapInArrow(run, schema)).withColumns(numbers)
     per_task = rows.groupBy("task").agg(F.sum("ids").alias("n")).select("task", (F.sum("n").over(W.orderBy("task")) - c("n")).alias("before"))
     inside = F.sum("ids").over(W.partitionBy("task").orderBy("k")) - c("ids")

@@ -162,6 +162,21 @@ def test_units_are_encoded_as_whole_texts_are():
         assert [ids[e - k:e].tolist() for e, k in zip(ends, n)] == want[a:a + 700]
 
 
+def test_files_follow_each_other_whatever_their_random_names(spark):
+    """Random names with "-c" and digits once hid the numbers of a task's files."""
+    folder = token_files.write(K.frame(spark, token_rows()).coalesce(1), vocabulary(), 1, file_ids=700)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in fs.listStatus(path(folder)):
+        name = f.getPath().getName()
+        if name.startswith("part-"):
+            head, tail = name[:len("part-00000")], name[name.rindex("-c"):]
+            assert fs.rename(f.getPath(), path(f"{folder}/{head}-c7e6e0ab-c10b-4c78-c10b-62117fd9182a{tail}"))
+    docs = sorted(token_files.read_documents(spark, folder).collect(), key=lambda r: r["start"])
+    assert [r["start"] for r in docs] == [0, *np.cumsum([r["n_tokens"] for r in docs])[:-1].tolist()]
+    assert len(token_files.catalog(spark, folder).collect()) > 8
+
+
 def test_units_take_little_more_memory_than_their_text():
     import tracemalloc
     text = np.frombuffer("somewhat lengthy wordings, consisting alphabetical signatures; ".encode() * 60_000, np.uint8)
