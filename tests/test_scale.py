@@ -1,11 +1,14 @@
 """Plans and evaluation counts that decide whether a query lasts on larger tables."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from roleloom.functions import text as T
+from roleloom.functions import rules as R, text as T
+from roleloom.operators import resolve
 from roleloom.plans.registry import QUERIES
-from roleloom.sources.tables import spread
+from roleloom.sources.tables import materialised, spread
 
 SF = "/root/testdata/sf0.001"
 c = F.col
@@ -56,3 +59,28 @@ def test_wide_pairs_are_shuffled_once(spark):
     text = plan(QUERIES["preference_matches"](spark, SF))
     joins = [line for line in text.splitlines() if "Join" in line and ("user_id" in line or "job_id" in line)]
     assert "LeftOuter" in joins[-1] and not any("LeftOuter" in line for line in joins[:-1])
+
+
+def test_a_batch_looks_for_titles_that_can_decide_only(spark, monkeypatch):
+    """Less similar titles and rows without a deadline can't change a parent; undated rows that are as similar still hide later ones."""
+    asked, real = [], resolve.similar_titles
+
+    def watched(left, right, threshold=R.REVIEW_SIMILARITY):
+        asked.append((left.where("deadline IS NULL").count(), threshold))
+        return real(left, right, threshold)
+    monkeypatch.setattr(resolve, "similar_titles", watched)
+    t, near, far = "senior software engineer platform", "senior software engineer platforms", "software engineer"
+    rows = [(1, 1, t, "2024-01-01"), (2, 1, far, "2024-01-01"), (3, 1, near, "2024-01-03"), (4, 2, t, None), (5, 2, near, "2024-01-01"), (6, 2, t, "2024-01-02"), (7, 1, t, "2024-02-01"), (8, 3, t, "2024-01-01"), (9, 1, near, None)]
+    df = spark.createDataFrame(rows, "seq long, org_id long, normalized_title string, d string")
+    df = df.select("seq", "org_id", "normalized_title", c("d").cast("timestamp_ntz").alias("deadline"), *[F.concat(F.lit(k), "seq").alias(k) for k in resolve.RUNGS])
+    assert {r.seq: r.parent for r in resolve.batch_parents(df).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8, 9: 9}
+    assert asked == [(0, R.AUTO_MERGE_SIMILARITY)]
+
+
+def test_finished_shuffles_are_deleted(spark):
+    shuffles = lambda: spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    before = shuffles()
+    for _ in range(8):
+        materialised(spark.range(1000).groupBy((c("id") % 7).alias("k")).count())
+    time.sleep(2)  # Spark deletes them beside other work
+    assert shuffles() <= before + 2
