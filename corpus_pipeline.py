@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from roleloom.llm import bpe, decontaminate as decon, near_dup, pii, quality as q, queries
-from roleloom.llm._work import read, table
+from roleloom.llm._work import bucketed, read, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TEXT_KEY = "struct<n:int,h1:bigint,h2:bigint>"
@@ -31,8 +31,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     doc_id stays (a null before all), of those the shortest text, then that with the least hash.  Texts without words are in no group, but of rows
     that repeat both doc_id and text one stays.
     """
-    rows = table(docs.select(COLUMNS).withColumn("_row", F.monotonically_increasing_id()))  # written, so that the numbers stay
-    found = near_dup.near_duplicates(rows.select(c("_row").alias("doc_id"), "text")).select(c("doc_id").alias("_row"), "n_shingles", "component_id")
+    # Written, so that the numbers stay, and bucketed by them: texts are shuffled once, later joins move the numbers only.
+    rows = bucketed(docs.select(COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "_row")
+    found = near_dup.groups(rows.select(c("_row").alias("id"), "text")).select(c("doc_id").alias("_row"), "n_shingles", "component_id")
     text = F.struct(F.octet_length("text").alias("n"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"))
     group = F.when(c("n_shingles") > 0, F.struct(c("component_id").alias("g"), F.lit(None).cast("long").alias("i"), F.lit(None).cast(TEXT_KEY).alias("t"))).otherwise(F.struct(F.lit(None).cast("long").alias("g"), c("doc_id").alias("i"), c("t")))
     ranked = rows.select("_row", "doc_id", text.alias("t"), "lang", "source", "n_chars").join(found, "_row").select(group.alias("group"), F.struct("doc_id", "t", "lang", "source", "n_chars", "_row").alias("r"))

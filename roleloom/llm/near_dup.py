@@ -244,7 +244,11 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     component_id is the smallest doc_id reachable.  Documents with equal shingle sets are one class first, so copies cost nothing further.  Rows that repeat a doc_id
     are one document, of which the least text counts, and give one row; so do rows with a null doc_id, which sort before all others.  An empty table gives no rows; other columns are ignored.
     """
-    src = one_text(documents)
+    return groups(one_text(documents), width, percent)
+
+
+def groups(src: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``near_duplicates`` of rows (id, text) whose ids are distinct and not null; texts that are bucketed by id stay where they are."""
     # By id, so that later joins move ids and not registers.
     sk = bucketed(_sketches(src, width), "id")
     content = ["n", "f1", "f2"]

@@ -202,3 +202,14 @@ def test_held_out(spark):
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 4 == 2) for r in got)
 
 
+def test_near_duplicates_shuffles_texts_once(spark):
+    """Without any broadcast, what stays is found where the texts lie; only row numbers move."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = [K.prose(40, 800 + i) for i in range(6)]
+        docs = spark.createDataFrame([(i, t, "en", None, len(t)) for i, t in enumerate(texts + texts[:3])], "doc_id long, text string, lang string, source string, n_chars long")
+        out = P.near_duplicates(spark, docs, SF)
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert sorted(r["doc_id"] for r in out.collect()) == [0, 1, 2, 3, 4, 5]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
