@@ -1,5 +1,7 @@
 """Queries do the whole job they name: nothing of it is described, left out or switched off."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from roleloom.operators import resolve
@@ -27,3 +29,23 @@ def test_every_candidate_pair_is_listed(spark):
     for cell in (resolve._CELL, 7):  # as one task's work, and dealt over a grid
         got = [(r.posting_id, r.evidence, r.candidates, r.first_job_id, r.job_id) for r in resolve.dup_candidates(incoming, stored, links, NOW, cell).collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_collection_scores_new_jobs_for_all_candidates(spark, tmp_path, monkeypatch):
+    """The registered query takes every step of a tick: each new job has a match for each profile, and alerts tell it."""
+    from roleloom.plans.registry import QUERIES
+    from roleloom.sources.tables import SCHEMAS
+    from roleloom.streaming import jobs as J
+    at = datetime.datetime(2024, 1, 3)
+    rows = {"customer": [(u, f"c{u}", u % 5, 0.0, "BUILDING") for u in range(40, 44)], "supplier": [(s, f"s{s}", s, 0.0) for s in range(3)], "orders": [(1, 40, "O", 1.0, at, "5-LOW")],
+            "lineitem": [(1, 40, 1, 1, 1.0, 1.0, 0.0, 0.0, "R", "O", at, )], "events": [(i, at, i % 3, "purchase", 1.0, "") for i in (4, 6, 8, 10)]}
+    for name, some in rows.items():
+        spark.createDataFrame(some, SCHEMAS[name]).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    kept, run = {}, J.collect_pipeline
+    monkeypatch.setattr(J, "collect_pipeline", lambda *a, **kw: kept.setdefault("out", run(*a, **kw)))
+    QUERIES["collect_pipeline"](spark, str(tmp_path))
+    jobs = {r.job_id for r in kept["out"]["jobs"].select("job_id").collect()}
+    matches = {(r.user_id, r.job_id): f"{r.score}/100" for r in kept["out"]["matches"].collect()}
+    assert jobs and set(matches) == {(u, j) for u in range(40, 44) for j in jobs}
+    told = kept["out"]["notifications"].collect()
+    assert told and all(matches[r.user_id, r.job_id] in r.body for r in told)
