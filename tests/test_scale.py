@@ -115,3 +115,35 @@ def test_match_pairs_are_not_shuffled(spark):
     assert len(own) == 5 * len(ids) > 0 and all(":" in reasons for _, _, reasons in own.values())
     twins = [((u + 1000 * n, j), *own[u, j]) for u in (1, 2) for n in range(2, 40) for j in ids] + [((0, j), *own[u, j]) for u in (1, 2) for j in ids]
     assert got == sorted([(k, *rest) for k, rest in own.items()] + twins)
+
+
+def _joins(df) -> list[str]:
+    return [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+
+
+def test_exact_evidence_meets_by_short_keys(spark):
+    """URLs, fingerprints and hashes are not shuffled, 128 bits stand for each piece of evidence."""
+    row = (1, 1, "u", "u", "f", "h", "k")
+    ours = spark.createDataFrame([row], "posting_id bigint, org_id bigint, application_url string, norm_url string, fingerprint string, content_hash string, external_key string")
+    theirs = spark.createDataFrame([(*row, None, None)], "job_id bigint, org_id bigint, application_url string, norm_url string, fingerprint string, content_hash string, external_key string, archived_at timestamp_ntz, created_at timestamp_ntz")
+    got = resolve.dedupe_exact(ours, theirs, theirs.select("job_id", "external_key"), "2024-01-01 00:00:00")
+    assert [tuple(r) for r in got.collect()] == [(1, 1, 1)]
+    met = [j for j in _joins(got) if "key#" in j]
+    assert met and not any("kind#" in j for j in met) and got.schema["rung"].dataType.simpleString() == "int"
+    assert "unhex(md5(" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("common", [3, 1 << 16])
+def test_similar_titles_are_all_found_and_meet_as_numbers(spark, monkeypatch, common):
+    monkeypatch.setattr(resolve, "_COMMON", common)
+    words = ["software", "engineer", "senior", "data", "base", "officer", "it", "a", "aaaa", "aa aa", "naïve"]
+    texts = sorted({" ".join(words[(i * k + k * k) % len(words)] for k in range(1, 2 + i % 4)) for i in range(60)} | {"", "x", "it"})
+    rows = lambda step: spark.createDataFrame([(i % 3, t) for i, t in enumerate(texts * 2) if i % 4 != step] + [(None, "it"), (1, None)], "org_id bigint, normalized_title string")
+    left, right = rows(0), rows(1)
+    got = resolve.similar_titles(left, right, 0.6)
+    a, b = (d.dropna().distinct().select("org_id", c("normalized_title").alias(n)) for d, n in ((left, "x"), (right, "y")))
+    score = F.when(c("x") == c("y"), 1.0).otherwise(F.greatest(T.dice_of(c("x"), c("y"), T.numbered_bigrams(c("x")), T.numbered_bigrams(c("y"))), T.jaccard_of(T.tokens(c("x")), T.tokens(c("y")))))
+    want = a.join(b, "org_id").withColumn("s", score).where("s >= 0.6")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
+    met = [j for j in _joins(got) if "Cross" not in j]
+    assert met and not any("title" in j for j in met)
