@@ -23,18 +23,20 @@ def parse_feed(feeds: DataFrame) -> DataFrame:
     cut = feeds.select(c("url").alias("feed_url"), F.explode(F.regexp_extract_all("xml", F.lit(r"(?s)(<(item|entry)[\s>].*?</\2>)"), 1)).alias("x"))
 
     def elements(tag: str, schema: str) -> DataFrame:
-        return cut.where(c("x").startswith(f"<{tag}")).select("feed_url", F.from_xml("x", schema, {"rowTag": tag, "mode": "PERMISSIVE", "valueTag": "_text"}).alias("e"))
+        # Filters on what is read would be pushed below and read the XML again for each mention; an explode holds them up.
+        read = cut.where(c("x").startswith(f"<{tag}")).select("feed_url", F.explode(F.array(F.from_xml("x", schema, {"rowTag": tag, "mode": "PERMISSIVE", "valueTag": "_text"}))).alias("e"))
+        return read.select("feed_url", "e", F.explode(F.array(T.clean_text(c("e.title")))).alias("title")).where(c("title") != "")
     none = F.array().cast("array<string>")
     blank = lambda x: F.nullif(T.clean_text(x), F.lit(""))
-    rss = elements("item", _RSS).select("feed_url", T.clean_text(c("e.title")).alias("title"), T.absolute_url(T.clean_text(c("e.link")), c("feed_url")).alias("link"), blank(c("e.guid")).alias("guid"),
+    rss = elements("item", _RSS).select("feed_url", "title", T.absolute_url(T.clean_text(c("e.link")), c("feed_url")).alias("link"), blank(c("e.guid")).alias("guid"),
                                         F.coalesce(F.nullif(c("e.description"), F.lit("")), c("e.`content:encoded`"), F.lit("")).alias("description"), blank(c("e.pubDate")).alias("published"),
                                         F.coalesce(F.transform("e.category", T.clean_text), none).alias("categories"))
     alternate = F.filter("e.link", lambda x: x["_rel"] == "alternate")
     href = F.coalesce(F.get(alternate, F.lit(0))["_href"], F.get(c("e.link"), F.lit(0))["_href"])
-    atom = elements("entry", _ATOM).select("feed_url", T.clean_text(c("e.title")).alias("title"), T.absolute_url(href, c("feed_url")).alias("link"), blank(c("e.id")).alias("guid"),
+    atom = elements("entry", _ATOM).select("feed_url", "title", T.absolute_url(href, c("feed_url")).alias("link"), blank(c("e.id")).alias("guid"),
                                            F.coalesce(F.nullif(c("e.summary"), F.lit("")), c("e.content"), F.lit("")).alias("description"), blank(F.coalesce("e.published", "e.updated")).alias("published"),
                                            F.coalesce(F.transform("e.category", lambda x: F.coalesce(x["_term"], F.lit(""))), none).alias("categories"))
-    return rss.unionByName(atom).where(c("title") != "")
+    return rss.unionByName(atom)
 
 
 def title_filter(items: DataFrame, pattern: str | None) -> DataFrame:
@@ -46,12 +48,14 @@ _RFC822 = "d MMM yyyy HH:mm:ss"
 
 def feed_to_postings(items: DataFrame, organization_slug: str | None = None) -> DataFrame:
     """Notices dropped; without a fixed organisation the last part of a split title names the employer."""
-    parts = F.split("title", r"\s+[-–—|]\s+|\s+(?i:at)\s+")
+    # Cut once a title: an explode keeps the parts from being worked out again at each mention.
+    items = items.where(~T.is_non_job_notice(c("title"))).withColumn("_parts", F.explode(F.array(F.split("title", r"\s+[-–—|]\s+|\s+(?i:at)\s+"))))
+    parts = c("_parts")
     split = F.lit(organization_slug is None) & (F.size(parts) > 1)
     title = F.when(split, F.array_join(F.slice(parts, 1, F.size(parts) - 1), " - ")).otherwise(c("title"))
     stamp = F.regexp_extract("published", r"(\d{1,2} \w{3} \d{4} \d{2}:\d{2}:\d{2})", 1)
     published = F.coalesce(parse_local_date(c("published")), F.try_to_timestamp(stamp, F.lit(_RFC822)).cast("timestamp_ntz"))
-    return items.where(~T.is_non_job_notice(c("title"))).select(
+    return items.select(
         c("guid").alias("source_job_id"), title.alias("title"), F.lit(organization_slug).cast("string").alias("organization_slug"), F.when(split, F.element_at(parts, -1)).alias("organization_name"),
         F.get("categories", F.lit(0)).alias("department"), F.concat(title, F.lit("\n"), T.html_to_text(c("description"))).alias("description"), published.alias("published_at"),
         F.lit(None).cast("timestamp_ntz").alias("deadline"), c("link").alias("application_url"), F.coalesce("link", "feed_url").alias("source_url"))

@@ -147,3 +147,17 @@ def test_similar_titles_are_all_found_and_meet_as_numbers(spark, monkeypatch, co
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
     met = [j for j in _joins(got) if "Cross" not in j]
     assert met and not any("title" in j for j in met)
+
+
+def test_feed_elements_and_titles_are_read_once(spark):
+    """Filters on titles don't read the XML of an element again, nor cut the title at each mention."""
+    text = QUERIES["feed_to_postings"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("from_xml(") == text.count("Generate explode(array(from_xml(") == 2  # items and entries
+    assert text.count("(?i:at)") == 2
+
+
+def test_single_selectors_look_at_the_element_alone(monkeypatch):
+    from roleloom.sources import markup
+    page = markup.parse("<table><tr id='r'><td><a href='x'>1</a></td><th>2</th></tr></table><p class='b c'>t</p>")
+    monkeypatch.setattr(markup, "_any", None)  # looks at what is above
+    assert [[n.tag for n in page.find(s)] for s in ("tr", "a[href]", ".b", "#r", "*")] == [["tr"], ["a"], ["p"], ["tr"], ["table", "tr", "td", "a", "th", "p"]]
