@@ -161,3 +161,12 @@ def test_single_selectors_look_at_the_element_alone(monkeypatch):
     page = markup.parse("<table><tr id='r'><td><a href='x'>1</a></td><th>2</th></tr></table><p class='b c'>t</p>")
     monkeypatch.setattr(markup, "_any", None)  # looks at what is above
     assert [[n.tag for n in page.find(s)] for s in ("tr", "a[href]", ".b", "#r", "*")] == [["tr"], ["a"], ["p"], ["tr"], ["table", "tr", "td", "a", "th", "p"]]
+
+
+def test_rows_of_a_batch_meet_by_short_keys(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "materialised", lambda df: df)
+    rows = spark.createDataFrame([(1, 1, "a b", None, "k", "u", "f", "h"), (2, 1, "c d", None, "l", "u", "g", "i")], "seq bigint, org_id bigint, normalized_title string, deadline timestamp_ntz, external_key string, norm_url string, fingerprint string, content_hash string")
+    got = resolve.batch_parents(rows)
+    met = [j for j in _joins(got) if "key#" in j]
+    assert met and not any("rung#" in j for j in met)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1), (2, 1)]
